@@ -81,3 +81,30 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n:
     """First n rows per key. Spark limits each group before the shuffle as well."""
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window).cast("long")).where(F.col(rank) <= n)
+
+
+def with_previous(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    bucket: Column,
+    columns: Sequence[str],
+    prefix: str = "prev_",
+) -> DataFrame:
+    """Values of the row before, per key, in two levels like ``numbered``.
+
+    Inside a bucket the row before comes from ``lag``; the first row of a bucket
+    takes the last row of the nearest earlier bucket.
+    """
+    keys, order = list(keys), list(order)
+    rows = df.withColumn("__bucket", bucket)
+    value = F.struct(*columns)
+    ends = rows.groupBy(*keys, "__bucket").agg(F.max_by(value, F.struct(*order)).alias("__end"))
+    across = Window.partitionBy(*keys).orderBy("__bucket")
+    ends = ends.select(*keys, "__bucket", F.lag("__end").over(across).alias("__carry"))
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(*order)
+    found = F.coalesce(F.col("__lag"), F.col("__carry"))
+    out = rows.withColumn("__lag", F.lag(value).over(inside)).join(ends, [*keys, "__bucket"])
+    for name in columns:
+        out = out.withColumn(prefix + name, found.getField(name))
+    return out.drop("__bucket", "__lag", "__carry")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("ledger",)
+MODULES = ("ledger", "governance")
 
 
 def load_all() -> None:
