@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("ledger", "governance")
+MODULES = ("ledger", "governance", "text", "scan")
 
 
 def load_all() -> None:
