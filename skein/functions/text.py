@@ -192,7 +192,7 @@ def keywords(content: Column) -> Column:
     text = F.regexp_replace(content, "(?s)```.*?```", " ")
     text = F.regexp_replace(text, r"https?://\S+", " ")
     text = F.regexp_replace(text, "`[^`]+`", " ")
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"\b([a-zA-Z][a-zA-Z0-9_-]{2,})\b"), 1)
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b([a-zA-Z][a-zA-Z0-9_-]{2,})\b"), 1)
     stop = F.array(*[F.lit(w) for w in V.KEYWORD_STOPWORDS])
     return F.filter(words, lambda w: ~F.array_contains(stop, w))
 

@@ -32,23 +32,71 @@ def _search(line: Column, pattern: str) -> Column:
     return line.rlike(f"(?iu){pattern}")
 
 
+# Letters that match an ASCII letter without regard to case but do not lower to it.
+FOLDING = "[\u0130\u0131\u017f\u212a]"
+
+
+def required_text(pattern: str) -> str:
+    """Longest plain text that every match of a pattern must hold, lower case, or ''.
+
+    Reads only what is plain for certain: escapes of signs, letters, digits, '-', '_' and
+    blanks outside of groups and classes and not made optional by what follows.
+    """
+    runs, run, i, depth = [], "", 0, 0
+    while i < len(pattern):
+        c, size, plain = pattern[i], 1, None
+        if c == "\\":
+            size = 2
+            if not pattern[i + 1].isalnum():
+                plain = pattern[i + 1]
+        elif c == "[":
+            size = pattern.index("]", i + 2) - i + 1
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and depth == 0:
+            return ""
+        elif c not in ".^$|?*+{}":
+            plain = c
+        after = pattern[i + size : i + size + 1]
+        if plain is not None and depth == 0 and after not in ("?", "*", "{"):
+            run += plain.lower()
+            if after == "+":
+                runs.append(run)
+                run = ""
+        else:
+            runs.append(run)
+            run = ""
+        i += size
+    runs.append(run)
+    return max(runs, key=len)
+
+
 def scan_lines(lines: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row per line and pattern that matches anywhere in it.
 
-    All patterns are literals of the plan, so each compiles once. A line first meets one
-    alternation of the whole pack; the few lines that pass are matched pattern by pattern.
+    All patterns are literals of the plan, so each compiles once and the test stays in
+    generated code. A pattern is only searched in lines that hold its required text,
+    which a plain substring search finds much faster.
     """
-    line = F.col("line")
-    union = "|".join(f"(?:{p})" for r in rules for p in r.patterns)
-    hits = [
-        F.when(_search(line, p), F.struct(
+    line, low = F.col("line"), F.col("__low")
+    table = [(r, i, p) for r in rules for i, p in enumerate(r.patterns)]
+    tests = []
+    for place, (_, _, pattern) in enumerate(table):
+        text = required_text(pattern)
+        test = _search(line, pattern)
+        if text:
+            test = (low.contains(text) | F.col("__folding")) & test
+        tests.append(F.when(test, F.lit(str(place))))
+    entries = F.array(*[
+        F.struct(
             F.lit(r.rule_id).alias("rule_id"), F.lit(r.name).alias("rule_name"), F.lit(r.severity).alias("severity"),
-            F.lit(i).cast("long").alias("pattern_idx"), F.lit(p).alias("pattern")))
-        for r in rules for i, p in enumerate(r.patterns)
-    ]
-    found = F.array_compact(F.array(*hits))
-    passed = lines.where(_search(line, f"(?:{union})"))
-    return passed.select(*lines.columns, F.explode(found).alias("hit")).select(*lines.columns, "hit.*")
+            F.lit(i).cast("long").alias("pattern_idx"), F.lit(p).alias("pattern"))
+        for r, i, p in table
+    ])
+    tagged = lines.withColumn("__low", F.lower("line")).withColumn("__folding", line.rlike(FOLDING))
+    places = tagged.select(*lines.columns, F.explode(F.split(F.concat_ws(",", *tests), ",")).alias("__place"))
+    found = places.where(F.col("__place") != "").withColumn("hit", F.get(entries, F.col("__place").cast("int")))
+    return found.select(*lines.columns, "hit.*")
 
 
 def match_details(findings: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from skein.functions import text_values as V
 MANY_MARKS = 256
 FENCE = "^\\s*```"
 HEADING = "^(#{1,4})\\s+(.+)$"
+MARKS = "(?m)^(\\s*```|#{1,4}\\s)"
 
 
 def explode_lines(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -40,16 +41,19 @@ def lines_with_context(documents: DataFrame, key: str, text: str = "text", many:
     ``key`` identifies the document. Headings inside code do not count.
     """
     keep = [c for c in documents.columns if c != text]
-    lines = F.split(text, "\n", -1)
-    docs = documents.withColumn("__lines", lines)
+    few = F.regexp_count(text, F.lit(MARKS)) <= many
+    return _by_arrays(documents.where(few), keep, text).unionByName(_by_window(documents.where(~few), keep, key, text))
+
+
+def _by_arrays(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
+    none = F.filter(_marks(F.array(F.lit("")), FENCE), lambda m: F.lit(False))
     fences = F.transform(_marks(F.col("__lines"), FENCE), lambda m: F.struct(
         m["at"].alias("at"), F.regexp_extract(m["line"], "^\\s*```(\\w*)", 1).alias("language")))
-    docs = docs.withColumn("__fences", fences).withColumn("__heads", _marks(F.col("__lines"), HEADING))
-    few = (F.size("__fences") <= many) & (F.size("__heads") <= many)
-    return _by_arrays(docs.where(few), keep).unionByName(_by_window(docs.where(~few), keep, key))
-
+    no_fences = F.transform(none, lambda m: F.struct(m["at"].alias("at"), m["line"].alias("language")))
+    docs = docs.withColumn("__lines", F.split(text, "\n", -1))
+    docs = docs.withColumn("__fences", F.when(F.col(text).contains("```"), fences).otherwise(no_fences))
+    docs = docs.withColumn("__heads", F.when(F.col(text).contains("#"), _marks(F.col("__lines"), HEADING)).otherwise(none))
 
-def _by_arrays(docs: DataFrame, keep: list[str]) -> DataFrame:
     def before(at: Column) -> Column:
         return F.size(F.filter("__fences", lambda f: f["at"] < at))
 
@@ -66,8 +70,8 @@ def _by_arrays(docs: DataFrame, keep: list[str]) -> DataFrame:
     return _finish(rows.withColumn("in_code", in_code).withColumn("code_language", language).withColumn("__head", head), keep)
 
 
-def _by_window(docs: DataFrame, keep: list[str], key: str) -> DataFrame:
-    rows = docs.select(*keep, F.posexplode("__lines").alias("pos", "line")).withColumn("is_fence", F.col("line").rlike(FENCE))
+def _by_window(docs: DataFrame, keep: list[str], key: str, text: str) -> DataFrame:
+    rows = docs.select(*keep, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).withColumn("is_fence", F.col("line").rlike(FENCE))
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     seen = F.sum(F.col("is_fence").cast("int")).over(w)
     rows = rows.withColumn("__n", seen - F.col("is_fence").cast("int"))

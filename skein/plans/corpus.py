@@ -46,7 +46,7 @@ def pages_as_markdown(t: Tables) -> DataFrame:
         F.lit("---\nname: page-"), F.col("page_id").cast("string"), F.lit('\ndescription: "'),
         F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit('"\n'), extra, F.lit("---\n"), body,
     )
-    return t.pages.select(F.col("page_id").alias("doc_id"), text.alias("text"))
+    return t.spread("pages").select(F.col("page_id").alias("doc_id"), text.alias("text"))
 
 
 def _sql(s: str) -> str:
@@ -79,7 +79,7 @@ lines AS MATERIALIZED (SELECT doc_id, line_no, line, is_fence, in_code, code_lan
 
 def scan_corpus(t: Tables) -> DataFrame:
     """(unit, path, ext, text): all documents by source and all pages by a seventh."""
-    docs = t.documents.select(
+    docs = t.spread("documents").select(
         F.col("source").alias("unit"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"),
         F.lit(2).alias("ext"), "text",
     )

@@ -87,7 +87,7 @@ def md_lines(t: Tables) -> DataFrame:
 @query("s3_lines", """
 SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents""")
 def _(t):
-    return D.explode_lines(t.documents.select("doc_id", "text"))
+    return D.explode_lines(t.spread("documents").select("doc_id", "text"))
 
 
 @query("t2_frontmatter", W + """
@@ -132,10 +132,11 @@ def _(t):
 
 @query("t5_keywords", f"""
 WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', ' ', 'g'), 'https?://\\S+', ' ', 'g'), '`[^`]+`', ' ', 'g') AS x FROM documents),
-k AS (SELECT doc_id, unnest(regexp_extract_all(lower(x), '\\b([a-zA-Z][a-zA-Z0-9_-]{{2,}})\\b', 1)) AS word FROM c)
+d AS (SELECT doc_id, regexp_replace(lower(x), '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g') AS x FROM c),
+k AS (SELECT doc_id, unnest(regexp_extract_all(x, '(?:^|[^\\p{{L}}\\p{{N}}_])([a-zA-Z][a-zA-Z0-9_-]+[a-zA-Z0-9_])(?:$|[^\\p{{L}}\\p{{N}}_])', 1)) AS word FROM d)
 SELECT doc_id, count(*) AS n_keywords, count(DISTINCT word) AS n_distinct FROM k WHERE word NOT IN {words(V.KEYWORD_STOPWORDS)} GROUP BY doc_id""")
 def _(t):
-    k = t.documents.select("doc_id", X.keywords(F.col("text")).alias("k")).where(F.size("k") > 0)
+    k = t.spread("documents").select("doc_id", X.keywords(F.col("text")).alias("k")).where(F.size("k") > 0)
     return k.select("doc_id", F.size("k").cast("long").alias("n_keywords"), F.size(F.array_distinct("k")).cast("long").alias("n_distinct"))
 
 
@@ -187,7 +188,7 @@ FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(lower(
     regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^[ .:-]+|[ .:-]+$', '', 'g') AS c
   FROM (SELECT doc_id, text, regexp_extract(text, '^[^\\n]*', 0) AS head FROM documents))""")
 def _(t):
-    d = t.documents
+    d = t.spread("documents")
     fallback = F.concat(F.lit("Document "), F.col("doc_id").cast("string"))
     return d.select("doc_id", X.slug(F.regexp_extract("text", "^[^\\n]*", 0)).alias("slug"), X.short_name(F.col("text"), fallback).alias("short_name"))
 
@@ -199,7 +200,7 @@ FROM documents""")
 def _(t):
     raw = F.element_at(F.array(*[F.lit(x) for x in ["Proceed_or_halt", "risk score", " CLASS ", "an enum", "", "other"]]),
                        (F.col("doc_id") % 6 + 1).cast("int"))
-    return t.documents.select("doc_id", X.condition_type(F.col("text"), F.col("source")).alias("condition_type"), X.returns_type(raw).alias("returns"))
+    return t.spread("documents").select("doc_id", X.condition_type(F.col("text"), F.col("source")).alias("condition_type"), X.returns_type(raw).alias("returns"))
 
 
 @query("t13_skill_ids", """
