@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("ledger", "governance", "text", "scan")
+MODULES = ("ledger", "governance", "text", "scan", "analytics", "retrieval")
 
 
 def load_all() -> None:
