@@ -87,20 +87,28 @@ def stream_violations(events: DataFrame, runs: DataFrame) -> DataFrame:
 def illegal_events(events: DataFrame) -> DataFrame:
     """Events after the final terminal, or not allowed after the outcome."""
     at = F.col("sequence")
+    return events_past_marks(events, stream_marks(events, F.col("sequence")), at)
+
+
+def stream_marks(events: DataFrame, at: Column) -> DataFrame:
+    """First final terminal and first outcome of each run; batch or streaming."""
     kind = F.col("event_type")
-    limits = events.where(kind.isin(*V.FINAL_EVENTS, *V.OUTCOME_EVENTS)).groupBy("run_id").agg(
+    return events.where(kind.isin(*V.FINAL_EVENTS, *V.OUTCOME_EVENTS)).groupBy("run_id").agg(
         F.min(F.when(kind.isin(*V.FINAL_EVENTS), at)).alias("final_at"),
         F.min(F.when(kind.isin(*V.OUTCOME_EVENTS), at)).alias("outcome_at"),
     )
+
+
+def events_past_marks(events: DataFrame, limits: DataFrame, at: Column) -> DataFrame:
+    kind = F.col("event_type")
     reason = (
         F.when(at > F.col("final_at"), "after_final_terminal")
         .when((at > F.col("outcome_at")) & ~kind.isin(*V.ALLOWED_AFTER_OUTCOME), "invalid_after_outcome")
     )
     return (
-        events.select("run_id", "event_id", "sequence", "event_type").join(limits, "run_id")
-        .withColumn("violation", reason)
+        events.join(limits, "run_id").withColumn("violation", reason)
         .where(F.col("violation").isNotNull())
-        .select("run_id", "event_id", "sequence", "event_type", "violation")
+        .select("run_id", "event_id", at.alias("sequence"), "event_type", "violation")
     )
 
 
@@ -174,28 +182,30 @@ def recovery_candidates(events: DataFrame) -> DataFrame:
     ).drop("occurred_at")
 
 
-def run_outcomes(events: DataFrame) -> DataFrame:
-    """One outcome per run by precedence of the event types seen."""
-    def seen(*types: str) -> Column:
-        return F.bool_or(F.col("event_type").isin(*types))
-
-    watched = {
-        "compensated": "run_compensated",
-        "recovery_failed": "run_recovery_failed",
-        "reconciliation": "reconciliation_required",
-        "suspended": "run_suspended",
-        "cancelled": "run_cancelled",
-        "queued": "compensation_queued",
-        "succeeded": "run_succeeded",
-        "failed": "run_failed",
-        "denied": "policy_denied",
-        "asked": "approval_required",
-        "granted": "approval_granted",
-    }
-    flags = events.groupBy("run_id", "skill_name", "skill_version").agg(
-        *[seen(kind).alias(f"has_{name}") for name, kind in watched.items()]
+WATCHED = {
+    "compensated": "run_compensated",
+    "recovery_failed": "run_recovery_failed",
+    "reconciliation": "reconciliation_required",
+    "suspended": "run_suspended",
+    "cancelled": "run_cancelled",
+    "queued": "compensation_queued",
+    "succeeded": "run_succeeded",
+    "failed": "run_failed",
+    "denied": "policy_denied",
+    "asked": "approval_required",
+    "granted": "approval_granted",
+}
+
+
+def run_flags(events: DataFrame) -> DataFrame:
+    """Which of the deciding event types each run has seen; batch or streaming."""
+    return events.groupBy("run_id", "skill_name", "skill_version").agg(
+        *[F.bool_or(F.col("event_type") == kind).alias(f"has_{name}") for name, kind in WATCHED.items()]
     )
-    has = {name: F.col(f"has_{name}") for name in watched}
+
+
+def outcomes_of(flags: DataFrame) -> DataFrame:
+    has = {name: F.col(f"has_{name}") for name in WATCHED}
     outcome = (
         F.when(has["compensated"], "compensated")
         .when(has["recovery_failed"], "recovery_failed")
@@ -211,9 +221,18 @@ def run_outcomes(events: DataFrame) -> DataFrame:
     return flags.select("run_id", "skill_name", "skill_version", outcome.alias("outcome"))
 
 
+def run_outcomes(events: DataFrame) -> DataFrame:
+    """One outcome per run by precedence of the event types seen."""
+    return outcomes_of(run_flags(events))
+
+
 def outcome_counts(events: DataFrame) -> DataFrame:
+    return count_outcomes(run_outcomes(events))
+
+
+def count_outcomes(outcomes: DataFrame) -> DataFrame:
     return (
-        run_outcomes(events)
+        outcomes
         .where(F.col("outcome").isNotNull())
         .groupBy("skill_name", "skill_version", "outcome")
         .agg(F.count(F.lit(1)).alias("runs"))

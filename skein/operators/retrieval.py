@@ -18,30 +18,35 @@ FUSION = 60
 
 
 def postings(documents: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """V6: (id, term, wtf, length): weighted term frequency and token count of the document."""
+    """V6: index rows (id, term, wtf, length): weighted term frequency and tokens of the document."""
     arrays = documents.select("id", *[search_tokens(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in weights])
     length = sum((F.size(f) for f in weights), F.lit(0))
-    weighted = F.concat(*[F.transform(f, lambda t, w=w: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))) for f, w in weights.items()])
+
+    def entries(field: str, weight: float) -> Column:
+        return F.transform(field, lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
+
+    weighted = F.concat(*[entries(f, w) for f, w in weights.items()])
     return (
         arrays.select("id", length.alias("length"), F.explode(weighted).alias("t"))
         .groupBy("id", "length", "t.term").agg(F.sum("t.w").alias("wtf"))
     )
 
 
-def bm25(documents: DataFrame, queries: DataFrame, weights: dict[str, float], k: int) -> DataFrame:
+def bm25(index: DataFrame, documents: int | Column, queries: DataFrame, k: int) -> DataFrame:
     """V6: best k documents per query (query_id, text); any word matches, ties go by id.
 
-    Only postings of query words are scored. Spark broadcasts the query words if their
-    measured size allows and splits hot words by AQE if not.
+    ``index`` holds stored ``postings``; ``documents`` is their number. Only postings of
+    query words are scored. Spark broadcasts the query words if their measured size
+    allows, and splits hot words by AQE if not.
     """
     words = queries.select("query_id", F.explode(search_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(
         F.count(F.lit(1)).alias("qtf"))
-    wanted = postings(documents, weights).join(words.select("term").distinct(), "term", "left_semi")
-    lengths = documents.select(sum((F.size(search_tokens(F.coalesce(F.col(f), F.lit("")))) for f in weights), F.lit(0)).alias("n"))
-    totals = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
-    docs, mean = totals.select("docs").scalar(), totals.select("mean").scalar()
+    n = F.lit(documents)
+    per_document = index.groupBy("id").agg(F.max("length").alias("length"))
+    mean = per_document.agg(F.sum("length")).scalar() / n
+    wanted = index.join(words.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.greatest(F.log((docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     known = words.join(df, "term").withColumn("idf", idf)
     tf = F.col("wtf")
     score = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / mean))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("ledger", "governance", "text", "scan", "analytics", "retrieval")
+MODULES = ("ledger", "governance", "text", "scan", "analytics", "retrieval", "registry_queries", "streaming")
 
 
 def load_all() -> None:

@@ -10,6 +10,7 @@ from skein.operators import retrieval as R
 from skein.operators import vectors as V
 from skein.operators import fidelity as S
 from skein.plans.registry import Tables, query
+from skein.sources.snapshots import stored
 
 HEAD = 16
 
@@ -183,7 +184,9 @@ def search_documents(t: Tables) -> DataFrame:
 @query("v6_bm25", BM25_SQL)
 def _(t):
     queries = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
-    return R.bm25(search_documents(t), queries, {"title": 8, "description": 4, "body": 1}, 5).withColumn("score", F.round("score", 3))
+    d = search_documents(t)
+    index = stored(R.postings(d, {"title": 8, "description": 4, "body": 1}), "lexical-index")
+    return R.bm25(index, d.select(F.count(F.lit(1))).scalar(), queries, 5).withColumn("score", F.round("score", 3))
 
 
 def rankings(t: Tables) -> dict[str, DataFrame]:
@@ -257,9 +260,9 @@ def _(t):
     return found.select("method", "query_id", "depth", *[F.round(m, 6).alias(m) for m in ("precision", "recall", "f1")])
 
 
-@query("a23_mean_quality", RRF + "SELECT method, subset, queries, round(ndcg, 6) AS ndcg, round(mrr, 6) AS mrr, round(recall, 6) AS recall FROM means")
+@query("a23_mean_quality", RRF + "SELECT method, subset, queries, round(ndcg + 1e-9, 6) AS ndcg, round(mrr + 1e-9, 6) AS mrr, round(recall + 1e-9, 6) AS recall FROM means")
 def _(t):
-    return means(t).select("method", "subset", "queries", *[F.round(m, 6).alias(m) for m in ("ndcg", "mrr", "recall")])
+    return means(t).select("method", "subset", "queries", *[F.round(F.col(m) + 1e-9, 6).alias(m) for m in ("ndcg", "mrr", "recall")])
 
 
 @query("a24_nearest_rank", """
