@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import governance_values as V
-from skein.operators.skew import numbered, top_n, with_previous
+from skein.operators.skew import numbered, spread_join, top_n, with_previous
 
 FINDINGS = (
     "array<struct<rule_id:string,rule_name:string,severity:string,original_severity:string,adjusted_severity:string,"
@@ -445,11 +445,11 @@ def approval_violations(skills: DataFrame, revisions: DataFrame) -> DataFrame:
 def backfill(df: DataFrame, lookup: DataFrame, key: str, column: str, default: Column | None = None) -> DataFrame:
     """Fill a blank column from a (key, value) lookup, else from a default.
 
-    The lookup is joined as it is; Spark broadcasts it only if its measured size is small.
+    A key may own any share of the rows.
     """
     one = lookup.groupBy(F.col("key").alias(key)).agg(F.min("value").alias("__value"))
     filled = F.coalesce(F.nullif(F.col(column), F.lit("")), F.col("__value"), *([default] if default is not None else []))
-    return df.join(one, key, "left").withColumn(column, filled).drop("__value")
+    return spread_join(df, one, [key], "left").withColumn(column, filled).drop("__value")
 
 
 def https_url(url: Column) -> Column:

@@ -26,7 +26,7 @@ def lookup(values: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
-def with_sequence(events: DataFrame, bucket: str = "hour") -> DataFrame:
+def with_sequence(events: DataFrame, bucket: str = "second") -> DataFrame:
     """Position of each event in its run by (occurred_at, event_id)."""
     return numbered(events, ["run_id"], ["occurred_at", "event_id"], F.date_trunc(bucket, "occurred_at"), "sequence")
 
@@ -178,7 +178,7 @@ def recovery_candidates(events: DataFrame) -> DataFrame:
     left = keyed.join(undone, ["run_id", "undo_key", "undo_strategy"], "left_anti")
     return numbered(
         left.select("run_id", "event_id", "action_id", "sequence", "strategy", "occurred_at"),
-        ["run_id"], [F.desc("sequence")], F.date_trunc("hour", "occurred_at"), "undo_order", descending=True,
+        ["run_id"], [F.desc("sequence")], F.date_trunc("second", "occurred_at"), "undo_order", descending=True,
     ).drop("occurred_at")
 
 
@@ -362,7 +362,7 @@ def decision_violations(decisions: DataFrame, items: DataFrame, runs: DataFrame,
 
 def certified_requests(requests: DataFrame, allowed: DataFrame, scope: list[str]) -> DataFrame:
     """A request passes if it asks for something and all of it is in the allowed scope."""
-    marked = requests.join(allowed.select(*scope).distinct().withColumn("ok", F.lit(True)), scope, "left")
+    marked = spread_join(requests, allowed.select(*scope).distinct().withColumn("ok", F.lit(True)), scope, "left")
     return marked.groupBy("request_id").agg(
         F.count(F.lit(1)).alias("requested"),
         F.count_if(F.col("ok").isNull()).alias("outside"),

@@ -18,11 +18,13 @@ from skein.operators.skew import top_n
 
 def document_counts(elements: DataFrame) -> DataFrame:
     """A10: elements per document and kind."""
-    kind = F.col("kind")
-    return elements.groupBy("doc_id").agg(
-        *[F.count_if(kind == k).alias(f"{k}s") for k in ("action", "rule", "directive")],
-        F.countDistinct(F.when(kind == "action", F.col("element_type"))).alias("action_types"),
-        F.countDistinct(F.when(kind == "directive", F.col("element_type"))).alias("directive_types"),
+    kind, n = F.col("kind"), F.col("n")
+    typed = elements.groupBy("doc_id", "kind", "element_type").agg(F.count(F.lit(1)).alias("n"))
+    known = F.col("element_type").isNotNull()
+    return typed.groupBy("doc_id").agg(
+        *[F.sum(F.when(kind == k, n).otherwise(0)).alias(f"{k}s") for k in ("action", "rule", "directive")],
+        F.count_if((kind == "action") & known).alias("action_types"),
+        F.count_if((kind == "directive") & known).alias("directive_types"),
     )
 
 
@@ -85,9 +87,9 @@ def cooccurrence(elements: DataFrame, top: int = 10, least: int = 2) -> DataFram
 
 
 def cooccurrence_members(elements: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Documents of each pair pattern, as rows."""
+    """Documents of each pair pattern, as rows. ``patterns`` are the few of ``cooccurrence``."""
     first = type_sets(elements).select("doc_id", "types", F.explode("types").alias("a1"))
-    return first.join(patterns.select("pattern_id", "a1", "a2"), "a1").where(
+    return first.join(F.broadcast(patterns.select("pattern_id", "a1", "a2")), "a1").where(
         F.array_contains("types", F.col("a2"))
     ).select("pattern_id", "doc_id")
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.search import search_tokens
-from skein.operators.skew import top_n
+from skein.operators.skew import spread_join, top_n
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -18,7 +18,7 @@ FUSION = 60
 
 
 def postings(documents: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """V6: index rows (id, term, wtf, length): weighted term frequency and tokens of the document."""
+    """V6: index rows (id, length, term, wtf, n): tokens of the document, weighted and plain term frequency."""
     arrays = documents.select("id", *[search_tokens(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in weights])
     length = sum((F.size(f) for f in weights), F.lit(0))
 
@@ -28,7 +28,7 @@ def postings(documents: DataFrame, weights: dict[str, float]) -> DataFrame:
     weighted = F.concat(*[entries(f, w) for f, w in weights.items()])
     return (
         arrays.select("id", length.alias("length"), F.explode(weighted).alias("t"))
-        .groupBy("id", "length", "t.term").agg(F.sum("t.w").alias("wtf"))
+        .groupBy("id", "length", "t.term").agg(F.sum("t.w").alias("wtf"), F.count(F.lit(1)).alias("n"))
     )
 
 
@@ -42,8 +42,7 @@ def bm25(index: DataFrame, documents: int | Column, queries: DataFrame, k: int)
     words = queries.select("query_id", F.explode(search_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(
         F.count(F.lit(1)).alias("qtf"))
     n = F.lit(documents)
-    per_document = index.groupBy("id").agg(F.max("length").alias("length"))
-    mean = per_document.agg(F.sum("length")).scalar() / n
+    mean = index.agg(F.sum("n")).scalar() / n
     wanted = index.join(words.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
@@ -123,7 +122,7 @@ def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, shares: Sequenc
     keys = list(keys)
     stats = df.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count(value).alias("__n"))
     part = F.try_divide(F.col(value) - F.col("__lo"), F.col("__hi") - F.col("__lo"))
-    rows = df.where(F.col(value).isNotNull()).join(stats, keys).withColumn("__cell", F.floor(F.coalesce(part, F.lit(0.0)) * cells))
+    rows = spread_join(df.where(F.col(value).isNotNull()), stats, keys).withColumn("__cell", F.floor(F.coalesce(part, F.lit(0.0)) * cells))
     counts = rows.groupBy(*keys, "__cell", F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("__c"))
     sizes = counts.groupBy(*keys, "__cell").agg(F.sum("__c").alias("__size"))
     upto = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)

@@ -1,4 +1,9 @@
-"""Joins and row numbers that hold when one key owns a large share of the rows."""
+"""Joins, row numbers and neighbours that hold when one key owns a large share of the rows.
+
+At most MAX_HOT keys count as hot, those with the most rows, and only above HOT_ROWS rows.
+So the list of hot keys that is broadcast has a fixed bound, and a key outside of it holds
+less than 1/MAX_HOT of the rows. Without hot keys every operator here is its plain form.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +12,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# At most MAX_HOT keys can be salted, so the list of hot keys that is broadcast
-# has a fixed bound. A key outside the MAX_HOT most frequent ones holds less
-# than 1/MAX_HOT of the rows.
 MAX_HOT = 1000
 HOT_ROWS = 1_000_000
 SALTS = 64
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame:
+    """The hot keys of a frame with a ``__hot`` mark, at most MAX_HOT rows.
+
+    Costs one more pass over the key columns, so it suits frames close to a scan.
+    """
+    limit = HOT_ROWS if hot_rows is None else hot_rows
+    return (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .where(F.col("__n") > limit)
+        .orderBy(F.desc("__n"), *keys)
+        .limit(MAX_HOT)
+        .select(*keys, F.lit(True).alias("__hot"))
+    )
+
+
 def spread_join(
     facts: DataFrame,
     dims: DataFrame,
@@ -25,30 +43,35 @@ def spread_join(
     """Join facts to a side with few rows per key, cutting hot keys in SALTS parts.
 
     ``how`` is inner, left, left_semi or left_anti. Only the dims rows of hot keys
-    are repeated, at most MAX_HOT * SALTS times the rows per key.
+    are repeated, SALTS times each.
     """
     on = list(on)
-    limit = HOT_ROWS if hot_rows is None else hot_rows
-    hot = (
-        facts.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > limit)
-        .orderBy(F.desc("__n"), *on)
-        .limit(MAX_HOT)
-        .select(*on, F.lit(SALTS).alias("__ways"))
-    )
+    hot = F.broadcast(hot_keys(facts, on, hot_rows))
     rest = [c for c in facts.columns if c not in on]
     row_hash = F.xxhash64(*[F.col(c) for c in rest]) if rest else F.lit(0).cast("long")
-    part = F.when(F.col("__ways").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(row_hash, F.lit(SALTS).cast("long")))
-    left = facts.join(F.broadcast(hot), on, "left").withColumn("__part", part).drop("__ways")
-    right = (
-        dims.join(F.broadcast(hot), on, "left")
-        .withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), (F.coalesce("__ways", F.lit(1)) - 1).cast("long"))))
-        .drop("__ways")
-    )
+    part = F.when(F.col("__hot"), F.pmod(row_hash, F.lit(SALTS).cast("long"))).otherwise(F.lit(0).cast("long"))
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("__hot"), SALTS - 1).otherwise(0).cast("long")))
+    left = facts.join(hot, on, "left").withColumn("__part", part).drop("__hot")
+    right = dims.join(hot, on, "left").withColumn("__part", parts).drop("__hot")
     return left.join(right, [*on, "__part"], how).drop("__part")
 
 
+def _in_buckets(df: DataFrame, keys: list[str], bucket: Column, hot_rows: int | None) -> DataFrame:
+    """Rows with ``__bucket``: the given one for hot keys, null (one bucket) for all others."""
+    marked = df.join(F.broadcast(hot_keys(df, keys, hot_rows)), keys, "left")
+    return marked.withColumn("__bucket", F.when(F.col("__hot"), bucket)).drop("__hot")
+
+
+def _same_bucket(rows: DataFrame, ends: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on the keys and the bucket, where null is a bucket as well."""
+    other = ends.select(*[F.col(c).alias(f"__k_{c}" if c in keys else c) for c in ends.columns if c != "__bucket"],
+                        F.col("__bucket").alias("__b"))
+    condition = F.col("__bucket").eqNullSafe(F.col("__b"))
+    for key in keys:
+        condition = condition & (F.col(key) == F.col(f"__k_{key}"))
+    return rows.join(other, condition, "left").drop("__b", *[f"__k_{key}" for key in keys])
+
+
 def numbered(
     df: DataFrame,
     keys: Sequence[str],
@@ -56,33 +79,27 @@ def numbered(
     bucket: Column,
     name: str,
     descending: bool = False,
+    hot_rows: int | None = None,
 ) -> DataFrame:
-    """Row number per key in two levels: inside a bucket, plus the rows of earlier buckets.
+    """Row number per key; a hot key is numbered bucket by bucket.
 
-    ``bucket`` must rise with the order (a truncated timestamp, say), so a task holds
-    one bucket of a key and never the whole key. Keys must not be null.
+    ``bucket`` must rise with the order (a truncated timestamp, say; a struct of such
+    columns if one is too coarse). A row's number is its place in the bucket plus the
+    rows in earlier buckets, so no task holds a hot key. Keys must not be null.
     """
     keys = list(keys)
-    rows = df.withColumn("__bucket", bucket)
-    sizes = rows.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    rows = _in_buckets(df, keys, bucket, hot_rows)
+    sizes = rows.where(F.col("__bucket").isNotNull()).groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     step = F.col("__bucket").desc() if descending else F.col("__bucket").asc()
     earlier = Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "__bucket", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    offsets = sizes.select(*keys, "__bucket", F.sum("__n").over(earlier).alias("__before"))
     inside = Window.partitionBy(*keys, "__bucket").orderBy(*order)
-    return (
-        rows.withColumn("__inside", F.row_number().over(inside))
-        .join(offsets, [*keys, "__bucket"])
-        .withColumn(name, (F.col("__inside") + F.col("__before")).cast("long"))
-        .drop("__bucket", "__inside", "__before")
+    placed = _same_bucket(rows.withColumn("__inside", F.row_number().over(inside)), offsets, keys)
+    return placed.withColumn(name, (F.col("__inside") + F.coalesce("__before", F.lit(0))).cast("long")).drop(
+        "__bucket", "__inside", "__before"
     )
 
 
-def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, rank: str = "rank") -> DataFrame:
-    """First n rows per key. Spark limits each group before the shuffle as well."""
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window).cast("long")).where(F.col(rank) <= n)
-
-
 def with_previous(
     df: DataFrame,
     keys: Sequence[str],
@@ -90,21 +107,38 @@ def with_previous(
     bucket: Column,
     columns: Sequence[str],
     prefix: str = "prev_",
+    hot_rows: int | None = None,
 ) -> DataFrame:
-    """Values of the row before, per key, in two levels like ``numbered``.
+    """Values of the row before, per key; a hot key is treated bucket by bucket.
 
-    Inside a bucket the row before comes from ``lag``; the first row of a bucket
-    takes the last row of the nearest earlier bucket.
+    The first row of a bucket takes the last row of the nearest earlier bucket.
     """
     keys, order = list(keys), list(order)
-    rows = df.withColumn("__bucket", bucket)
+    rows = _in_buckets(df, keys, bucket, hot_rows)
     value = F.struct(*columns)
-    ends = rows.groupBy(*keys, "__bucket").agg(F.max_by(value, F.struct(*order)).alias("__end"))
+    last = rows.where(F.col("__bucket").isNotNull()).groupBy(*keys, "__bucket").agg(F.max_by(value, F.struct(*order)).alias("__end"))
     across = Window.partitionBy(*keys).orderBy("__bucket")
-    ends = ends.select(*keys, "__bucket", F.lag("__end").over(across).alias("__carry"))
+    ends = last.select(*keys, "__bucket", F.lag("__end").over(across).alias("__carry"))
     inside = Window.partitionBy(*keys, "__bucket").orderBy(*order)
+    out = _same_bucket(rows.withColumn("__lag", F.lag(value).over(inside)), ends, keys)
     found = F.coalesce(F.col("__lag"), F.col("__carry"))
-    out = rows.withColumn("__lag", F.lag(value).over(inside)).join(ends, [*keys, "__bucket"])
     for name in columns:
         out = out.withColumn(prefix + name, found.getField(name))
     return out.drop("__bucket", "__lag", "__carry")
+
+
+def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, rank: str = "rank") -> DataFrame:
+    """First n rows per key. Spark limits each group before the shuffle as well."""
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n).withColumn(rank, F.col(rank).cast("long"))
+
+
+def most_common(df: DataFrame, column: str, n: int = 10) -> DataFrame:
+    """K2: the n most frequent values, by value on ties."""
+    return df.groupBy(column).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), column).limit(n)
+
+
+def most_common_approximately(df: DataFrame, column: str, n: int = 10) -> DataFrame:
+    """K2 for very many values: a sketch of fixed size per task instead of a shuffle of all values."""
+    found = df.agg(F.expr(f"approx_top_k({column}, {int(n)})").alias("top")).select(F.explode("top").alias("t"))
+    return found.select(F.col("t.item").alias(column), F.col("t.count").alias("rows"))

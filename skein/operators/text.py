@@ -1,9 +1,8 @@
 """Lines, fences, headings, sections and the decomposition of documents.
 
-A document is one row, so what belongs to one document never outgrows a row. Marks of
-a document (fences, headings) are found in its line array, and each line counts the
-marks before it: no shuffle. Documents with very many marks would make that quadratic,
-so they take the window form, which gives the same rows.
+A document is one row, so what belongs to one document never outgrows a row. The line
+array of a document is cut at its fences and headings before it is exploded, so each
+line knows its place in one pass and without a shuffle.
 """
 
 from __future__ import annotations
@@ -14,10 +13,8 @@ from pyspark.sql import functions as F
 from skein.functions import text as X
 from skein.functions import text_values as V
 
-MANY_MARKS = 256
 FENCE = "^\\s*```"
 HEADING = "^(#{1,4})\\s+(.+)$"
-MARKS = "(?m)^(\\s*```|#{1,4}\\s)"
 
 
 def explode_lines(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -28,71 +25,63 @@ def explode_lines(documents: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _marks(lines: Column, pattern: str) -> Column:
-    """Positions (0-based) and texts of the lines that match."""
-    tagged = F.transform(lines, lambda line, i: F.struct(i.alias("at"), line.alias("line")))
-    return F.filter(tagged, lambda m: m["line"].rlike(pattern))
+def _positions(lines: Column, pattern: str) -> Column:
+    """0-based places of the lines that match."""
+    places = F.transform(lines, lambda line, i: F.when(line.rlike(pattern), i))
+    return F.filter(places, lambda i: i.isNotNull())
 
 
-def lines_with_context(documents: DataFrame, key: str, text: str = "text", many: int = MANY_MARKS) -> DataFrame:
+def _cut(lines: Column, at: Column) -> Column:
+    """Runs of lines, the first up to the first place, each other from a place on."""
+    none = F.array().cast("array<int>")
+    starts = F.concat(F.array(F.lit(0)), F.coalesce(at, none))
+    ends = F.concat(F.coalesce(at, none), F.array(F.size(lines)))
+    return F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda r, i: F.struct(
+        i.alias("run"), r["s"].alias("start"), F.slice(lines, r["s"] + 1, r["e"] - r["s"]).alias("lines")))
+
+
+def lines_with_context(documents: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Each line with its fence state, code language and section heading.
 
     ``in_code`` covers the fence lines themselves; an open fence runs to the end.
-    ``key`` identifies the document. Headings inside code do not count.
+    Headings inside code do not count. ``key`` names the document.
     """
     keep = [c for c in documents.columns if c != text]
-    few = F.regexp_count(text, F.lit(MARKS)) <= many
-    return _by_arrays(documents.where(few), keep, text).unionByName(_by_window(documents.where(~few), keep, key, text))
-
-
-def _by_arrays(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
-    none = F.filter(_marks(F.array(F.lit("")), FENCE), lambda m: F.lit(False))
-    fences = F.transform(_marks(F.col("__lines"), FENCE), lambda m: F.struct(
-        m["at"].alias("at"), F.regexp_extract(m["line"], "^\\s*```(\\w*)", 1).alias("language")))
-    no_fences = F.transform(none, lambda m: F.struct(m["at"].alias("at"), m["line"].alias("language")))
-    docs = docs.withColumn("__lines", F.split(text, "\n", -1))
-    docs = docs.withColumn("__fences", F.when(F.col(text).contains("```"), fences).otherwise(no_fences))
-    docs = docs.withColumn("__heads", F.when(F.col(text).contains("#"), _marks(F.col("__lines"), HEADING)).otherwise(none))
-
-    def before(at: Column) -> Column:
-        return F.size(F.filter("__fences", lambda f: f["at"] < at))
-
-    real = F.transform(
-        F.filter("__heads", lambda h: before(h["at"]) % 2 == 0),
-        lambda h: F.struct(h["at"].alias("at"), h["line"].alias("line")),
-    )
-    rows = docs.withColumn("__heads", real).select(*keep, "__fences", "__heads", F.posexplode("__lines").alias("pos", "line"))
-    rows = rows.withColumn("is_fence", F.col("line").rlike(FENCE)).withColumn("__n", before(F.col("pos")))
-    in_code = F.col("is_fence") | (F.col("__n") % 2 == 1)
-    opener = F.when(F.col("is_fence") & (F.col("__n") % 2 == 0), F.col("__n") + 1).otherwise(F.col("__n"))
-    language = F.when(in_code, F.try_element_at("__fences", opener)["language"])
-    head = F.try_element_at(F.filter("__heads", lambda h: h["at"] <= F.col("pos")), F.lit(-1))["line"]
-    return _finish(rows.withColumn("in_code", in_code).withColumn("code_language", language).withColumn("__head", head), keep)
-
-
-def _by_window(docs: DataFrame, keep: list[str], key: str, text: str) -> DataFrame:
-    rows = docs.select(*keep, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).withColumn("is_fence", F.col("line").rlike(FENCE))
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.sum(F.col("is_fence").cast("int")).over(w)
-    rows = rows.withColumn("__n", seen - F.col("is_fence").cast("int"))
-    in_code = F.col("is_fence") | (F.col("__n") % 2 == 1)
-    opened = F.when(F.col("is_fence") & (F.col("__n") % 2 == 0), F.regexp_extract("line", "^\\s*```(\\w*)", 1))
-    rows = rows.withColumn("in_code", in_code)
-    rows = rows.withColumn("code_language", F.when(in_code, F.last(opened, ignorenulls=True).over(w)))
-    head = F.last(F.when(~F.col("in_code") & F.col("line").rlike(HEADING), F.col("line")), ignorenulls=True).over(w)
-    return _finish(rows.withColumn("__head", head), keep)
-
-
-def _finish(rows: DataFrame, keep: list[str]) -> DataFrame:
-    return rows.select(
+    fences = F.when(F.col(text).contains("```"), _positions(F.col("__lines"), FENCE))
+    runs = documents.withColumn("__lines", F.split(text, "\n", -1)).withColumn("__runs", _cut(F.col("__lines"), fences))
+
+    # Runs with an odd number are code. The heading in force before a run is the last one
+    # of the prose runs before it.
+    last = F.transform("__runs", lambda r: F.when(
+        r["run"] % 2 == 0, F.try_element_at(F.filter(r["lines"], lambda line: line.rlike(HEADING)), F.lit(-1))))
+    start = F.struct(F.lit(None).cast("string").alias("now"), F.array().cast("array<string>").alias("before"))
+    heads = F.aggregate(last, start, lambda acc, h: F.struct(
+        F.coalesce(h, acc["now"]).alias("now"), F.concat(acc["before"], F.array(acc["now"])).alias("before")))["before"]
+    no_heads = F.transform("__runs", lambda r: F.lit(None).cast("string"))
+    opener = F.transform("__runs", lambda r, i: F.regexp_extract(
+        F.get(F.when(i % 2 == 1, r["lines"]).otherwise(F.get("__runs", i - 1)["lines"]), F.lit(0)), "^\\s*```(\\w*)", 1))
+    runs = runs.withColumn("__heads", F.when(F.col(text).contains("#"), heads).otherwise(no_heads)).withColumn("__open", opener)
+    one = runs.select(*keep, F.explode(F.arrays_zip("__runs", "__heads", "__open")).alias("z"))
+    one = one.select(*keep, "z.__runs.run", "z.__runs.start", "z.__runs.lines", F.col("z.__heads").alias("head"), F.col("z.__open").alias("opened"))
+
+    # Prose runs are cut again at their headings.
+    prose = F.when(F.col("run") % 2 == 0, _positions(F.col("lines"), HEADING))
+    sections = one.select(*keep, "run", "start", "head", "opened", F.explode(_cut(F.col("lines"), prose)).alias("p"))
+    heading = F.when(F.col("p.run") > 0, F.get("p.lines", F.lit(0))).otherwise(F.col("head"))
+    lines = sections.select(
+        *keep, "run", (F.col("start") + F.col("p.start")).alias("first"), F.col("p.run").alias("part"), heading.alias("head"), "opened",
+        F.posexplode("p.lines").alias("pos", "line"))
+    is_fence = (F.col("run") > 0) & (F.col("part") == 0) & (F.col("pos") == 0)
+    in_code = (F.col("run") % 2 == 1) | is_fence
+    return lines.select(
         *keep,
-        (F.col("pos") + 1).cast("long").alias("line_no"),
+        (F.col("first") + F.col("pos") + 1).cast("long").alias("line_no"),
         "line",
-        "is_fence",
-        "in_code",
-        "code_language",
-        F.coalesce(F.length(F.regexp_extract("__head", HEADING, 1)), F.lit(0)).cast("long").alias("heading_level"),
-        F.coalesce(X.strip(F.regexp_extract("__head", HEADING, 2)), F.lit("")).alias("heading"),
+        is_fence.alias("is_fence"),
+        in_code.alias("in_code"),
+        F.when(in_code, F.col("opened")).alias("code_language"),
+        F.coalesce(F.length(F.regexp_extract("head", HEADING, 1)), F.lit(0)).cast("long").alias("heading_level"),
+        F.coalesce(X.strip(F.regexp_extract("head", HEADING, 2)), F.lit("")).alias("heading"),
     )
 
 
@@ -106,17 +95,25 @@ def headings(documents: DataFrame) -> DataFrame:
     ).drop("line")
 
 
-def section_items(lines: DataFrame) -> DataFrame:
-    """List items and paragraphs that are long enough and no commands."""
+BULLET = "^(- |\\* |• )"
+
+
+def item_text() -> Column:
+    """A line without white space around it and without its bullet."""
     text = X.strip(F.col("line"))
-    bullet = text.rlike("^(- |\\* |• )")
-    item = F.when(bullet, F.regexp_replace(text, "^[-*•]\\s+", "")).otherwise(text)
-    is_heading = F.col("line").rlike(HEADING)
+    return F.when(~F.col("in_code") & text.rlike(BULLET), F.regexp_replace(text, "^[-*•]\\s+", "")).otherwise(text)
+
+
+def is_item() -> Column:
+    """A list item or paragraph outside code that is long enough and no command; needs ``item``."""
+    bullet = X.strip(F.col("line")).rlike(BULLET)
     long_enough = F.when(bullet, F.length("item") > 10).otherwise(F.length("item") > 30)
-    return (
-        lines.where(~F.col("in_code") & ~is_heading)
-        .withColumn("item", item).where(long_enough & ~X.is_command(F.col("item")))
-    )
+    return ~F.col("in_code") & ~F.col("line").rlike(HEADING) & long_enough & ~X.is_command(F.col("item"))
+
+
+def section_items(lines: DataFrame) -> DataFrame:
+    """List items and paragraphs that are long enough and no commands."""
+    return lines.withColumn("item", item_text()).where(is_item())
 
 
 def code_commands(lines: DataFrame) -> DataFrame:
@@ -127,19 +124,21 @@ def code_commands(lines: DataFrame) -> DataFrame:
     )
 
 
-def classified_items(items: DataFrame) -> DataFrame:
-    """Rule, action or directive by precedence; other items go."""
+def item_kind() -> Column:
+    """Rule, action or directive by precedence, null for the rest; needs ``clean`` and ``heading``."""
     clean = F.col("clean")
     in_directives = X.contains_any(F.lower("heading"), V.DIRECTIVE_HEADING_KEYWORDS)
-    kind = (
+    return (
         F.when(X.is_rule_sentence(clean) & ~in_directives, "rule")
         .when(X.is_action_sentence(clean) & ~in_directives, "action")
         .when(in_directives | (F.length(clean) > 50), "directive")
     )
-    return (
-        items.withColumn("clean", X.clean_markup(F.col("item"))).where(F.length("clean") >= 15)
-        .withColumn("kind", kind).where(F.col("kind").isNotNull())
-    )
+
+
+def classified_items(items: DataFrame) -> DataFrame:
+    """Items with their kind; others go."""
+    clean = items.withColumn("clean", X.clean_markup(F.col("item"))).where(F.length("clean") >= 15)
+    return clean.withColumn("kind", item_kind()).where(F.col("kind").isNotNull())
 
 
 def keep_first(df: DataFrame, keys: list[str], text: Column, order: list) -> DataFrame:
@@ -168,31 +167,28 @@ def decompose(documents: DataFrame, key: str) -> DataFrame:
     80 (condition), 100 (command) and 150 characters.
     """
     body = documents.select(key, X.body_text(F.col("text")).alias("text"))
-    lines = lines_with_context(body, key).repartition(F.col(key))
-    command_place = Window.partitionBy(key).orderBy("line_no")
-    commands = (
-        code_commands(lines).withColumn("__rn", F.row_number().over(command_place))
-        .where(F.col("__rn") <= V.COMMANDS_PER_DOCUMENT)
-        .select(
-            key, "line_no", F.lit(0).alias("part"), F.lit("action").alias("kind"),
-            F.concat(F.lit("Run "), F.regexp_extract("command", r"^(\S+)", 1)).alias("name"),
-            F.substring("command", 1, 100).alias("description"), F.lit("external_call").alias("element_type"),
-            F.lit(None).cast("string").alias("condition"),
-        )
-    )
+    lines = lines_with_context(body, key).withColumn("item", item_text())
+    command = F.col("in_code") & ~F.col("is_fence") & X.is_command(F.col("item"))
+    picked = lines.withColumn("command", command).where(F.col("command") | is_item())
     clean = F.col("clean")
-    text = F.substring(clean, 1, 150)
-    items = classified_items(section_items(lines)).select(
-        key, "line_no", F.lit(1).alias("part"), "kind",
-        F.when(F.col("kind") == "action", F.substring(clean, 1, 60)).otherwise(text).alias("name"),
-        text.alias("description"),
-        F.when(F.col("kind") == "action", X.action_type(clean)).when(F.col("kind") == "directive", X.directive_type(clean))
-        .alias("element_type"),
-        F.when(F.col("kind") == "rule", F.when(F.col("heading") != "", F.substring(F.lower("heading"), 1, 80)).otherwise("general"))
-        .alias("condition"),
+    kinds = picked.withColumn("clean", F.when(F.col("command"), F.col("item")).otherwise(X.clean_markup(F.col("item"))))
+    kinds = kinds.withColumn("kind", F.when(F.col("command"), "action").when(F.length("clean") >= 15, item_kind()))
+    kind = F.col("kind")
+    found = kinds.where(kind.isNotNull()).select(
+        key, "line_no", F.when(F.col("command"), 0).otherwise(1).alias("part"), "kind",
+        F.when(F.col("command"), F.concat(F.lit("Run "), F.regexp_extract("item", r"^(\S+)", 1)))
+        .when(kind == "action", F.substring(clean, 1, 60)).otherwise(F.substring(clean, 1, 150)).alias("name"),
+        F.substring(clean, 1, F.when(F.col("command"), 100).otherwise(150)).alias("description"),
+        F.when(F.col("command"), "external_call").when(kind == "action", X.action_type(clean))
+        .when(kind == "directive", X.directive_type(clean)).alias("element_type"),
+        F.when(kind == "rule", F.when(F.col("heading") != "", F.substring(F.lower("heading"), 1, 80)).otherwise("general")).alias("condition"),
     )
+    # One shuffle by document serves all three windows.
     order = ["part", "line_no"]
-    found = keep_first(commands.unionByName(items), [key, "kind"], F.col("name"), order)
+    place = Window.partitionBy(key, "part").orderBy("line_no")
+    found = found.repartition(F.col(key)).withColumn("__rn", F.row_number().over(place)).where(
+        (F.col("part") == 1) | (F.col("__rn") <= V.COMMANDS_PER_DOCUMENT)).drop("__rn")
+    found = keep_first(found, [key, "kind"], F.col("name"), order)
     return element_ids(found, [key], order).select(
         key, "kind", "element_id", "line_no", "name", "description", "element_type", "condition"
     )

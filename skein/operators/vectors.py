@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH, HashingTF, IDF, Normalizer
+from pyspark.ml.feature import HashingTF, IDF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,30 +59,28 @@ def _best_of_block(rows: Iterator[pd.DataFrame], ids: np.ndarray, queries: np.nd
         yield pd.DataFrame({"query_id": ids[q[keep]], "id": point_ids[p[keep]], "distance": distance[keep]})
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
-    """V1: exact nearest k vectors for each query (query_id, embedding), by distance then id.
-
-    Every task reduces its vectors to k rows per query before the shuffle.
-    """
-    points = vectors.select("id", "embedding")
+def _blockwise(points: DataFrame, queries: DataFrame, block: int, k: int, search) -> DataFrame:
     blocks = max(1, math.ceil(queries.count() / block))
     number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    found = None
+    found = []
     for b in range(blocks):
         chosen = queries.select("query_id", "embedding").where(number == b).toPandas()
         if chosen.empty:
             continue
         ids = chosen["query_id"].to_numpy()
         matrix = np.stack(chosen["embedding"].to_numpy()).astype(np.float64)
+        found.append(points.mapInPandas(lambda rows, i=ids, m=matrix: search(rows, i, m), "query_id long, id long, distance double"))
+    if not found:
+        found = [points.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("distance")).where(F.lit(False))]
+    return top_n(reduce(DataFrame.unionByName, found), ["query_id"], ["distance", "id"], k)
 
-        def best(rows, ids=ids, matrix=matrix):
-            return _best_of_block(rows, ids, matrix, k)
 
-        part = points.mapInPandas(best, "query_id long, id long, distance double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = points.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("distance")).where(F.lit(False))
-    return top_n(found, ["query_id"], ["distance", "id"], k)
+def knn(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """V1: exact nearest k vectors for each query (query_id, embedding), by distance then id.
+
+    Every task reduces its vectors to k rows per query before the shuffle.
+    """
+    return _blockwise(vectors.select("id", "embedding"), queries, block, k, lambda rows, ids, matrix: _best_of_block(rows, ids, matrix, k))
 
 
 def search_assets(vectors: DataFrame, identity: DataFrame, queries: DataFrame, k: int, asset_types: list[str]) -> DataFrame:
@@ -129,15 +128,32 @@ def clusters(vectors: DataFrame, k: int, dimension: int, seed: int = 42, restart
     return best.transform(points).select("id", F.col("cluster").cast("long").alias("cluster")), cost
 
 
-def approximate_knn(vectors: DataFrame, query_ids: DataFrame, k: int, radius: float, seed: int = 42, tables: int = 8, width: float = 1.0) -> DataFrame:
-    """V5: neighbours within a radius by random-projection hashing, k best per query."""
-    points = vectors.select("id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(points)
-    asked = points.join(query_ids, "id", "left_semi")
-    pairs = model.approxSimilarityJoin(asked, points, radius, "distance").select(
-        F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("id"), "distance"
-    ).where(F.col("query_id") != F.col("id"))
-    return top_n(pairs, ["query_id"], ["distance", "id"], k)
+def _best_of_cells(rows, ids, queries, centers, probes, k):
+    """Like ``_best_of_block``, but a query meets only the vectors of its nearest cells."""
+    def cells_of(points):
+        return (centers**2).sum(axis=1)[None, :] - 2.0 * (points @ centers.T)
+
+    asked = np.argsort(cells_of(queries), axis=1, kind="stable")[:, :probes]
+    for batch in rows:
+        points = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
+        cell = cells_of(points).argmin(axis=1)
+        for c in np.unique(cell):
+            who = np.nonzero((asked == c).any(axis=1))[0]
+            if len(who):
+                yield from _best_of_block(iter([batch[cell == c]]), ids[who], queries[who], k)
+
+
+def approximate_knn(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 64, probes: int = 8, seed: int = 42, block: int = QUERY_BLOCK) -> DataFrame:
+    """V5: neighbours among the vectors of the nearest cells of a k-means partition.
+
+    Tasks keep k rows per query and cell, so a crowded cell costs time in many tasks but never
+    forms pairs of its members.
+    """
+    points = vectors.select("id", "embedding")
+    features = points.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    model = KMeans(k=cells, seed=seed, maxIter=10).fit(features)
+    centers = np.array(model.clusterCenters())
+    return _blockwise(points, queries, block, k, lambda rows, ids, matrix: _best_of_cells(rows, ids, matrix, centers, probes, k))
 
 
 def embed_texts(documents: DataFrame, tokens: Column, dimension: int = 256) -> DataFrame:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from skein.functions import governance_values as V
 from skein.operators import governance as G
-from skein.operators.skew import numbered
+from skein.operators.skew import most_common, numbered
 from skein.plans.registry import Tables, query
 
-MONTH = "month"
+def day(at: str, key: str):
+    """Bucket in (time, key) order: a day, cut by ranges of the key."""
+    return F.struct(F.date_trunc("day", at), F.floor(F.col(key) / 1_000_000))
 
 
 def _pick(values, index):
@@ -34,7 +36,7 @@ def revisions(t: Tables) -> DataFrame:
         F.col("o_orderdate").alias("updated_at"),
         key.alias("order_key"),
     )
-    n = numbered(base, ["skill_id"], ["updated_at", "order_key"], F.date_trunc(MONTH, "updated_at"), "revision_number")
+    n = numbered(base, ["skill_id"], ["updated_at", "order_key"], day("updated_at", "order_key"), "revision_number")
     newest = o.groupBy(F.concat(F.lit("s"), F.col("o_custkey").cast("string")).alias("skill_id")).agg(
         F.count(F.lit(1)).alias("newest")
     )
@@ -222,6 +224,11 @@ def _(t):
     return G.page_counts(G.matching_skills(effective(t), "Build"), 20)
 
 
+@query("k2_most_common", "SELECT p_name, count(*) AS rows FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_name ORDER BY rows DESC, p_name LIMIT 10")
+def _(t):
+    return most_common(t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")), "p_name")
+
+
 @query("k4_name_page", STORE + "SELECT skill_id, name FROM eff ORDER BY lower(name), skill_id LIMIT 25 OFFSET 75")
 def _(t):
     return G.dashboard_page(effective(t), None, "name", False, 4, 25).select("skill_id", "name")
@@ -360,13 +367,13 @@ def _(t):
         F.concat(F.lit("s"), F.col("o_custkey").cast("string")).alias("skill_id"),
         F.concat(F.lit("n"), F.col("o_orderkey").cast("string")).alias("revision_id"), F.col("o_orderdate").alias("seen_at"),
     )
-    return G.append_revisions(revisions(t).select(*cols), incoming, F.date_trunc(MONTH, "seen_at")).select(*cols)
+    return G.append_revisions(revisions(t).select(*cols), incoming, F.date_trunc("day", "seen_at")).select(*cols)
 
 
 @query("w7_revision_lineage", "WITH " + REV + """
 SELECT skill_id, revision_id, revision_number, row_number() OVER (PARTITION BY skill_id ORDER BY revision_number DESC)::BIGINT AS position FROM rev""")
 def _(t):
-    return G.lineage(revisions(t), F.date_trunc(MONTH, "updated_at")).select("skill_id", "revision_id", "revision_number", "position")
+    return G.lineage(revisions(t), day("updated_at", "order_key")).select("skill_id", "revision_id", "revision_number", "position")
 
 
 @query("w5_latest_scans", "WITH " + SCANS + """
@@ -388,7 +395,7 @@ SELECT * FROM (SELECT skill_id, scan_id, risk_level, risk_score, lag(risk_level)
   FROM scans WINDOW w AS (PARTITION BY skill_id ORDER BY scanned_at, scan_id)) WHERE prev_risk_score IS NOT NULL""")
 def _(t):
     s = scans(t).select("skill_id", "scan_id", "scanned_at", "risk_level", "risk_score")
-    return G.rescan_deltas(s, F.date_trunc(MONTH, "scanned_at")).drop("scanned_at")
+    return G.rescan_deltas(s, day("scanned_at", "scan_id")).drop("scanned_at")
 
 
 @query("a26_rescan_improvement", "WITH " + SCANS + """

@@ -113,7 +113,7 @@ def _(t):
 @query("v5_approximate_knn")
 def _(t):
     v = vectors(t)
-    return V.approximate_knn(v, v.select("id"), 5, 1.2)
+    return V.approximate_knn(v, as_queries(v), 5)
 
 
 @query("v11_text_vectors")
