@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, IDF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -16,6 +18,9 @@ from pyspark.sql import functions as F
 
 from skein.operators.skew import top_n
 
+# Task functions travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Queries travel to every task, at most this many at a time; a larger set is
 # searched block by block, one scan of the vectors each.
 QUERY_BLOCK = 4096
