@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import text_values as V
@@ -13,6 +13,17 @@ from skein.functions import text_values as V
 FRONTMATTER = r"(?s)^---\s*\n(.*?)\n---\s*\n"
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Columns that later filters refer to instead of repeating their expressions.
+
+    The optimizer moves a filter below a projection by writing the projected expression
+    into it, so a costly text expression would run in the filter and again after it. It
+    does not do so below a generator.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def strip(c: Column) -> Column:
     """Both ends without white space (``trim`` alone drops only blanks)."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -55,13 +66,13 @@ def frontmatter(content: Column) -> Column:
     )))
 
 
+_PROGRAM = r"(?i)^\s*(?:\S*/)?(?:" + "|".join(V.COMMAND_STARTERS) + r")/*:*(?=\s|$)"
+_SCRIPT = r"^\s*\.\.?/\S*[^/\s]\.(?:py|sh)(?=\s|$)"
+
+
 def is_command(line: Column) -> Column:
-    """The first token names a known program, or a local script."""
-    token = F.regexp_extract(line, r"^\s*(\S+)", 1)
-    normal = F.regexp_replace(F.lower(token), ":+$", "")
-    base = F.regexp_extract(normal, "([^/]+)/*$", 1)
-    script = token.rlike(r"^\.\.?/") & token.rlike(r"[^/]\.(py|sh)$")
-    return normal.isin(*V.COMMAND_STARTERS) | base.isin(*V.COMMAND_STARTERS) | script
+    """The first token names a known program, with or without a path, or a local script."""
+    return line.rlike(_PROGRAM) | line.rlike(_SCRIPT)
 
 
 def clean_markup(c: Column) -> Column:
@@ -193,8 +204,7 @@ def keywords(content: Column) -> Column:
     text = F.regexp_replace(text, r"https?://\S+", " ")
     text = F.regexp_replace(text, "`[^`]+`", " ")
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b([a-zA-Z][a-zA-Z0-9_-]{2,})\b"), 1)
-    stop = F.array(*[F.lit(w) for w in V.KEYWORD_STOPWORDS])
-    return F.filter(words, lambda w: ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: ~w.isin(*V.KEYWORD_STOPWORDS))
 
 
 def code_blocks(content: Column) -> Column:

@@ -71,16 +71,16 @@ def normalise_documents(documents: DataFrame) -> DataFrame:
     Columns: doc_id, skill_id, skill_layer, name, schema_version, actions, rules, directives
     and, if there are any, execution_paths.
     """
-    out = documents.withColumn("skill_id", X.skill_id(F.col("skill_id"), F.col("skill_layer"), F.col("name")))
+    before = F.struct(*[F.col(c) for c in documents.columns])
+    out = documents.withColumn("__before", before).withColumn("skill_id", X.skill_id(F.col("skill_id"), F.col("skill_layer"), F.col("name")))
     out = out.withColumn("schema_version", F.lit(V.SCHEMA_VERSION))
     parts = {"actions": normalise_action, "rules": normalise_rule, "directives": normalise_directive}
     for column, normal in parts.items():
         out = out.withColumn(column, F.transform(F.col(column), normal))
     if "execution_paths" in documents.columns:
         out = out.withColumn("execution_paths", F.transform("execution_paths", normalise_path))
-    before = documents.select("doc_id", F.xxhash64(F.to_json(F.struct(*sorted(documents.columns)))).alias("__before"))
-    after = out.withColumn("__after", F.xxhash64(F.to_json(F.struct(*sorted(documents.columns)))))
-    return after.join(before, "doc_id").withColumn("changed", F.col("__before") != F.col("__after")).drop("__before", "__after")
+    after = F.struct(*[F.col(c) for c in documents.columns])
+    return out.withColumn("changed", F.to_json("__before") != F.to_json(after)).drop("__before")
 
 
 def invalid_elements(elements: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import license_values as V
+from skein.functions.text import computed_once
+from skein.operators.scan import entry, literal, matching, named, searchable, with_keys
 
 
 def confidence(pattern: str) -> float:
@@ -15,23 +17,23 @@ def confidence(pattern: str) -> float:
 def detect(documents: DataFrame) -> DataFrame:
     """Licence of each text: a known SPDX tag first, else the most specific pattern.
 
-    Confidence depends on the pattern alone, so the best match is the first one that hits
-    when the patterns are tried by falling confidence, table order on ties.
+    The best match has the highest confidence, which depends on the pattern alone, and
+    stands first in the table on a tie.
     """
     text = F.col("text")
     tag = F.regexp_extract(text, V.SPDX_TAG, 1)
     known = tag.isin(*[x.spdx_id for x in V.LICENSES])
-    tries = sorted(
-        ((confidence(p), place, x.spdx_id, p) for place, x in enumerate(V.LICENSES) for p in x.patterns),
-        key=lambda item: (-item[0], item[1]),
+    entries = literal(
+        [entry(p, confidence=confidence(p), place=-place, spdx_id=x.spdx_id) for place, x in enumerate(V.LICENSES) for p in x.patterns],
+        "confidence:double,place:int,spdx_id:string")
+    best = F.array_max(F.transform(matching(text, named(entries)), lambda h: F.struct(h["confidence"], h["place"], h["spdx_id"])))
+    found = computed_once(with_keys(searchable(documents, "text"), [p for x in V.LICENSES for p in x.patterns]), __best=best)
+    return found.select(
+        *[c for c in documents.columns if c != "text"],
+        F.when(known, tag).otherwise(F.coalesce(F.col("__best.spdx_id"), F.lit("UNKNOWN"))).alias("spdx_id"),
+        F.when(known, 1.0).otherwise(F.coalesce(F.col("__best.confidence"), F.lit(0.0))).alias("confidence"),
+        F.when(known, "spdx_header").otherwise("content").alias("found_in"),
     )
-    best = F
-    for score, _, spdx, pattern in tries:
-        best = best.when(text.rlike(f"(?iu){pattern}"), F.struct(
-            F.lit(spdx).alias("spdx_id"), F.lit(score).alias("confidence"), F.lit("content").alias("found_in")))
-    best = best.otherwise(F.struct(F.lit("UNKNOWN").alias("spdx_id"), F.lit(0.0).alias("confidence"), F.lit("content").alias("found_in")))
-    found = F.when(known, F.struct(tag.alias("spdx_id"), F.lit(1.0).alias("confidence"), F.lit("spdx_header").alias("found_in"))).otherwise(best)
-    return documents.withColumn("found", found).select(*[c for c in documents.columns if c != "text"], "found.*")
 
 
 def _attribute(spdx: Column, field: str, default) -> Column:

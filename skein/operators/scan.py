@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import scan_values as V
 from skein.functions.scan_values import Rule
+from skein.functions.text import computed_once
 
 MAX_PACK = 5000
 
@@ -28,19 +31,15 @@ def pack_from_rows(rules: DataFrame) -> tuple[Rule, ...]:
     return tuple(Rule(*k, tuple(v)) for k, v in grouped.items())
 
 
-def _search(line: Column, pattern: str) -> Column:
-    return line.rlike(f"(?iu){pattern}")
-
-
 # Letters that match an ASCII letter without regard to case but do not lower to it.
-FOLDING = "[\u0130\u0131\u017f\u212a]"
+FOLDING = "\u0130\u0131\u017f\u212a"
 
 
-def required_text(pattern: str) -> str:
-    """Longest plain text that every match of a pattern must hold, lower case, or ''.
+def required_texts(pattern: str) -> list[str]:
+    """Plain texts, lower case, that every match of a pattern must hold.
 
-    Reads only what is plain for certain: escapes of signs, letters, digits, '-', '_' and
-    blanks outside of groups and classes and not made optional by what follows.
+    Reads only what is plain for certain: escaped signs, letters, digits, '-', '_' and such
+    outside of groups and classes that nothing after them makes optional.
     """
     runs, run, i, depth = [], "", 0, 0
     while i < len(pattern):
@@ -54,7 +53,7 @@ def required_text(pattern: str) -> str:
         elif c in "()":
             depth += 1 if c == "(" else -1
         elif c == "|" and depth == 0:
-            return ""
+            return []
         elif c not in ".^$|?*+{}":
             plain = c
         after = pattern[i + size : i + size + 1]
@@ -67,36 +66,100 @@ def required_text(pattern: str) -> str:
             runs.append(run)
             run = ""
         i += size
-    runs.append(run)
-    return max(runs, key=len)
+    return sorted({r for r in [*runs, run] if r}, key=lambda r: (-len(r), r))
 
 
-def scan_lines(lines: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """One row per line and pattern that matches anywhere in it.
+def key_of(pattern: str) -> str:
+    """The longest required text of a pattern, '' if it has none."""
+    return next(iter(required_texts(pattern)), "")
+
+
+def any_word(words: set[str]) -> str:
+    """Regular expression for the longest of some words at a place, sharing their beginnings."""
+    starts = sorted({w[0] for w in words if w})
+    branches = [re.escape(c) + any_word({w[1:] for w in words if w and w[0] == c}) for c in starts]
+    if not branches:
+        return ""
+    body = branches[0] if len(branches) == 1 and "" not in words else f"(?:{'|'.join(branches)})"
+    return f"{body}?" if "" in words else body
+
+
+def entry(pattern: str, **fields) -> dict:
+    """A pattern with its key and all the texts its matches must hold."""
+    return {**fields, "pattern": pattern, "key": key_of(pattern), "texts": required_texts(pattern)}
+
+
+def literal(entries: list[dict], fields: str) -> Column:
+    """Entries as one constant array; ``fields`` are the columns besides pattern, key and texts."""
+    return F.from_json(F.lit(json.dumps(entries)), f"array<struct<{fields},pattern:string,key:string,texts:array<string>>>")
+
 
-    All patterns are literals of the plan, so each compiles once and the test stays in
-    generated code. A pattern is only searched in lines that hold its required text,
-    which a plain substring search finds much faster.
+def searchable(df: DataFrame, text: str) -> DataFrame:
+    """Adds the text in lower case, where ``possible`` looks for required texts."""
+    folding = reduce(lambda a, b: a | b, [F.col(text).contains(c) for c in FOLDING])
+    return computed_once(df, __low=F.lower(text), __folding=folding)
+
+
+def with_keys(df: DataFrame, patterns: Sequence[str]) -> DataFrame:
+    """Adds the pattern keys that occur in a ``searchable`` text.
+
+    One pass finds the keys of all patterns, however many there are. At a place where several
+    keys start it gives the longest, of which the others are beginnings.
     """
-    line, low = F.col("line"), F.col("__low")
-    table = [(r, i, p) for r in rules for i, p in enumerate(r.patterns)]
-    tests = []
-    for place, (_, _, pattern) in enumerate(table):
-        text = required_text(pattern)
-        test = _search(line, pattern)
-        if text:
-            test = (low.contains(text) | F.col("__folding")) & test
-        tests.append(F.when(test, F.lit(str(place))))
-    entries = F.array(*[
-        F.struct(
-            F.lit(r.rule_id).alias("rule_id"), F.lit(r.name).alias("rule_name"), F.lit(r.severity).alias("severity"),
-            F.lit(i).cast("long").alias("pattern_idx"), F.lit(p).alias("pattern"))
-        for r, i, p in table
-    ])
-    tagged = lines.withColumn("__low", F.lower("line")).withColumn("__folding", line.rlike(FOLDING))
-    places = tagged.select(*lines.columns, F.explode(F.split(F.concat_ws(",", *tests), ",")).alias("__place"))
-    found = places.where(F.col("__place") != "").withColumn("hit", F.get(entries, F.col("__place").cast("int")))
-    return found.select(*lines.columns, "hit.*")
+    words = {key_of(p) for p in patterns} - {""}
+    keys = F.regexp_extract_all("__low", F.lit(f"(?=({any_word(words)}))"), 1) if words else F.array().cast("array<string>")
+    return computed_once(df, __keys=F.array_distinct(keys))
+
+
+def named(entries: Column) -> Column:
+    """Entries whose key is among ``__keys``, or that have none."""
+    return F.filter(entries, lambda e: F.col("__folding") | (e["key"] == "") | F.exists("__keys", lambda k: k.startswith(e["key"])))
+
+
+def matching(text: Column, entries: Column) -> Column:
+    """Entries whose pattern occurs in a ``searchable`` text; it is only tried where its texts are."""
+    low = F.col("__low")
+    possible = F.filter(entries, lambda e: F.col("__folding") | F.forall(e["texts"], lambda x: low.contains(x)))
+    return F.filter(possible, lambda e: F.call_function("rlike", text, F.concat(F.lit("(?iu)"), e["pattern"])))
+
+
+CANDIDATES = "__candidates"
+
+
+def _entries(rules: Sequence[Rule]) -> Column:
+    rows = [(r, i, p) for r in rules for i, p in enumerate(r.patterns)]
+    return literal(
+        [entry(p, place=n, rule_id=r.rule_id, rule_name=r.name, severity=r.severity, pattern_idx=i) for n, (r, i, p) in enumerate(rows)],
+        "place:int,rule_id:string,rule_name:string,severity:string,pattern_idx:long")
+
+
+def _patterns(rules: Sequence[Rule]) -> list[str]:
+    return [p for r in rules for p in r.patterns]
+
+
+def with_candidates(documents: DataFrame, rules: Sequence[Rule], text: str = "text") -> DataFrame:
+    """Documents with the numbers of the patterns that can match in them at all.
+
+    Lines taken from such documents are searched for these patterns only, and documents
+    without any are left out of ``scan_lines`` before they are cut into lines.
+    """
+    ready = with_keys(searchable(documents, text), _patterns(rules))
+    places = F.transform(named(_entries(rules)), lambda e: e["place"])
+    return computed_once(ready, **{CANDIDATES: places}).select(*documents.columns, CANDIDATES)
+
+
+def scan_lines(lines: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """One row per line and pattern that matches anywhere in it."""
+    entries = _entries(rules)
+    keep = [c for c in lines.columns if c != CANDIDATES]
+    if CANDIDATES in lines.columns:
+        ready = searchable(lines.where(F.size(CANDIDATES) > 0), "line")
+        entries = F.transform(CANDIDATES, lambda i: F.get(entries, i))
+    else:
+        ready = with_keys(searchable(lines, "line"), _patterns(rules))
+        entries = named(entries)
+    found = ready.select(*keep, F.explode(matching(F.col("line"), entries)).alias("hit"))
+    return found.select(*keep, "hit.*").drop("place", "key", "texts")
 
 
 def match_details(findings: DataFrame) -> DataFrame:
@@ -163,6 +226,10 @@ def _weight(severity: Column, weights: dict[str, int], default: int) -> Column:
     return out.otherwise(default)
 
 
+def _grown(severity: str, weights: dict[str, int], factor: float, default: int) -> Column:
+    return (_weight(F.col(severity), weights, default) * (F.lit(1.0) + F.log2("n") * F.lit(factor))).cast("long")
+
+
 def rule_scores(
     findings: DataFrame, keys: Sequence[str], severity: str, order: Sequence[str],
     weights: dict[str, int], factor: float, default: int,
@@ -171,8 +238,7 @@ def rule_scores(
     per_rule = findings.groupBy(*keys, "rule_id").agg(
         F.count(F.lit(1)).alias("n"), F.min_by(severity, F.struct(*order)).alias("severity")
     )
-    grown = _weight(F.col("severity"), weights, default) * (F.lit(1.0) + F.log2("n") * F.lit(factor))
-    return per_rule.withColumn("score", grown.cast("long"))
+    return per_rule.withColumn("score", _grown("severity", weights, factor, default))
 
 
 def total_score(scores: DataFrame, keys: Sequence[str], name: str = "risk_score") -> DataFrame:
@@ -192,16 +258,16 @@ def scan_units(files: DataFrame, findings: DataFrame) -> DataFrame:
     """Score and level per unit; three critical findings block it.
 
     ``files`` has (unit, path); ``findings`` has unit, path, line_no, rule_id, severity, pattern_idx.
+    Findings are read once: per rule first, then per unit.
     """
-    order = ["path", "line_no", "pattern_idx"]
-    scores = rule_scores(findings, ["unit"], "severity", order, V.LINE_WEIGHTS, V.LINE_FACTOR, 5)
-    counts = findings.groupBy("unit").agg(
-        F.count(F.lit(1)).alias("findings"), F.count_if(F.col("severity") == "critical").alias("criticals")
-    )
+    per_rule = findings.groupBy("unit", "rule_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity") == "critical").alias("criticals"),
+        F.min_by("severity", F.struct("path", "line_no", "pattern_idx")).alias("severity"))
+    scored = per_rule.withColumn("score", _grown("severity", V.LINE_WEIGHTS, V.LINE_FACTOR, 5))
+    totals = scored.groupBy("unit").agg(
+        F.least(F.sum("score"), F.lit(100)).alias("risk_score"), F.sum("n").alias("findings"), F.sum("criticals").alias("criticals"))
     units = files.groupBy("unit").agg(F.count(F.lit(1)).alias("files_scanned"))
-    j = units.join(total_score(scores, ["unit"]), "unit", "left").join(counts, "unit", "left").fillna(
-        0, ["risk_score", "findings", "criticals"]
-    )
+    j = units.join(totals, "unit", "left").fillna(0, ["risk_score", "findings", "criticals"])
     blocked = F.col("criticals") >= V.BLOCKING_CRITICALS
     score = F.when(blocked, 100).otherwise(F.col("risk_score")).cast("long")
     return j.withColumn("risk_score", score).withColumn("risk_level", risk_level(F.col("risk_score"))).withColumn(
@@ -211,24 +277,25 @@ def scan_units(files: DataFrame, findings: DataFrame) -> DataFrame:
 
 def context_scan_units(files: DataFrame, lines: DataFrame, findings: DataFrame) -> DataFrame:
     """Adjusted and original score, blocks, findings in code and adjustments per unit."""
-    order = ["ext", "path", "line_no", "pattern_idx"]
-
-    def scored(severity: str, name: str) -> DataFrame:
-        rules = rule_scores(findings, ["unit"], severity, order, V.CONTEXT_WEIGHTS, V.CONTEXT_FACTOR, 3)
-        return total_score(rules, ["unit"], name)
-
-    counts = findings.groupBy("unit").agg(
-        F.count(F.lit(1)).alias("findings"),
+    order = F.struct("ext", "path", "line_no", "pattern_idx")
+    per_rule = findings.groupBy("unit", "rule_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min_by("adjusted_severity", order).alias("adjusted"),
+        F.min_by("original_severity", order).alias("original"),
         F.count_if("in_code").alias("findings_in_code"),
         F.count_if(F.col("original_severity") != F.col("adjusted_severity")).alias("adjustments"),
     )
+    totals = per_rule.groupBy("unit").agg(
+        F.least(F.sum(_grown("adjusted", V.CONTEXT_WEIGHTS, V.CONTEXT_FACTOR, 3)), F.lit(100)).alias("risk_score"),
+        F.least(F.sum(_grown("original", V.CONTEXT_WEIGHTS, V.CONTEXT_FACTOR, 3)), F.lit(100)).alias("original_risk_score"),
+        F.sum("n").alias("findings"), F.sum("findings_in_code").alias("findings_in_code"), F.sum("adjustments").alias("adjustments"),
+    )
     blocks = (
         lines.where("is_fence").groupBy("unit", "path").agg(F.ceil(F.count(F.lit(1)) / 2).alias("blocks"))
         .groupBy("unit").agg(F.sum("blocks").alias("code_blocks"))
     )
     units = files.groupBy("unit").agg(F.count(F.lit(1)).alias("files_scanned"))
-    parts = [scored("adjusted_severity", "risk_score"), scored("original_severity", "original_risk_score"), counts, blocks]
-    j = reduce(lambda left, right: left.join(right, "unit", "left"), parts, units)
+    j = units.join(totals, "unit", "left").join(blocks, "unit", "left")
     j = j.fillna(0, ["risk_score", "original_risk_score", "findings", "findings_in_code", "adjustments", "code_blocks"])
     return j.withColumn("risk_level", risk_level(F.col("risk_score"))).withColumn("blocked", F.col("risk_level") == "blocked")
 
@@ -247,5 +314,5 @@ def blocked_source(path: Column, name: Column) -> Column:
     text = F.lower(F.concat_ws(" ", path, name))
     out = F
     for pattern, reason in V.BLOCKED_SOURCES:
-        out = out.when(_search(text, pattern), reason)
+        out = out.when(text.rlike(f"(?iu){pattern}"), reason)
     return out.otherwise(None)

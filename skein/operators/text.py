@@ -113,7 +113,7 @@ def is_item() -> Column:
 
 def section_items(lines: DataFrame) -> DataFrame:
     """List items and paragraphs that are long enough and no commands."""
-    return lines.withColumn("item", item_text()).where(is_item())
+    return X.computed_once(lines, item=item_text()).where(is_item())
 
 
 def code_commands(lines: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def code_commands(lines: DataFrame) -> DataFrame:
 def item_kind() -> Column:
     """Rule, action or directive by precedence, null for the rest; needs ``clean`` and ``heading``."""
     clean = F.col("clean")
-    in_directives = X.contains_any(F.lower("heading"), V.DIRECTIVE_HEADING_KEYWORDS)
+    in_directives = (F.col("heading") != "") & X.contains_any(F.lower("heading"), V.DIRECTIVE_HEADING_KEYWORDS)
     return (
         F.when(X.is_rule_sentence(clean) & ~in_directives, "rule")
         .when(X.is_action_sentence(clean) & ~in_directives, "action")
@@ -137,8 +137,8 @@ def item_kind() -> Column:
 
 def classified_items(items: DataFrame) -> DataFrame:
     """Items with their kind; others go."""
-    clean = items.withColumn("clean", X.clean_markup(F.col("item"))).where(F.length("clean") >= 15)
-    return clean.withColumn("kind", item_kind()).where(F.col("kind").isNotNull())
+    clean = X.computed_once(items, clean=X.clean_markup(F.col("item"))).where(F.length("clean") >= 15)
+    return X.computed_once(clean, kind=item_kind()).where(F.col("kind").isNotNull())
 
 
 def keep_first(df: DataFrame, keys: list[str], text: Column, order: list) -> DataFrame:
@@ -167,12 +167,12 @@ def decompose(documents: DataFrame, key: str) -> DataFrame:
     80 (condition), 100 (command) and 150 characters.
     """
     body = documents.select(key, X.body_text(F.col("text")).alias("text"))
-    lines = lines_with_context(body, key).withColumn("item", item_text())
+    lines = X.computed_once(lines_with_context(body, key), item=item_text())
     command = F.col("in_code") & ~F.col("is_fence") & X.is_command(F.col("item"))
-    picked = lines.withColumn("command", command).where(F.col("command") | is_item())
+    picked = X.computed_once(lines, command=command).where(F.col("command") | is_item())
     clean = F.col("clean")
-    kinds = picked.withColumn("clean", F.when(F.col("command"), F.col("item")).otherwise(X.clean_markup(F.col("item"))))
-    kinds = kinds.withColumn("kind", F.when(F.col("command"), "action").when(F.length("clean") >= 15, item_kind()))
+    kinds = X.computed_once(picked, clean=F.when(F.col("command"), F.col("item")).otherwise(X.clean_markup(F.col("item"))))
+    kinds = X.computed_once(kinds, kind=F.when(F.col("command"), "action").when(F.length("clean") >= 15, item_kind()))
     kind = F.col("kind")
     found = kinds.where(kind.isNotNull()).select(
         key, "line_no", F.when(F.col("command"), 0).otherwise(1).alias("part"), "kind",

@@ -222,16 +222,15 @@ def normal_elements(t: Tables) -> DataFrame:
     n = N.normalise_documents(legacy(t))
     none = F.lit(None).cast("string")
 
-    def rows(column: str, kind: str, type_field: str, condition, action) -> DataFrame:
-        e = n.select("doc_id", F.explode(column).alias("e"))
-        return e.select("doc_id", F.lit(kind).alias("kind"), "e.id", "e.name", F.col(f"e.{type_field}").alias("element_type"), "e.description",
-                        condition.alias("condition_expression"), action.alias("fail_action"))
-
-    return (
-        rows("actions", "action", "action_type", none, none)
-        .unionByName(rows("rules", "rule", "condition_type", F.col("e.condition_expression"), F.col("e.fail_action")))
-        .unionByName(rows("directives", "directive", "directive_type", none, none))
-    )
+    def rows(column: str, kind: str, type_field: str):
+        rule = kind == "rule"
+        return F.transform(column, lambda e: F.struct(
+            F.lit(kind).alias("kind"), e["id"].alias("id"), e["name"].alias("name"), e[type_field].alias("element_type"),
+            e["description"].alias("description"), (e["condition_expression"] if rule else none).alias("condition_expression"),
+            (e["fail_action"] if rule else none).alias("fail_action")))
+
+    every = F.concat(rows("actions", "action", "action_type"), rows("rules", "rule", "condition_type"), rows("directives", "directive", "directive_type"))
+    return n.select("doc_id", F.inline(every))
 
 
 @query("t14_normalised_elements", NORMAL + "SELECT * FROM norm")

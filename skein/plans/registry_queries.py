@@ -11,11 +11,10 @@ from skein.operators import extension as X
 from skein.operators import patterns as P
 from skein.operators import registry as R
 from skein.operators import scan as S
-from skein.operators import text as D
 from skein.plans import analytics
 from skein.plans.corpus import scan_corpus
 from skein.plans.registry import Tables, query
-from skein.plans.scan import FOUND, weight_sql
+from skein.plans.scan import FOUND, corpus_lines, weight_sql
 from skein.session import work_folder
 from skein.sources import documents as files
 from skein.sources import snapshots
@@ -335,9 +334,8 @@ def _(t):
 , s AS (SELECT unit, count(*) AS n FROM found GROUP BY unit)
 SELECT unit, coalesce(n, 0) AS findings FROM (SELECT DISTINCT unit FROM corpus) LEFT JOIN s USING (unit)""")
 def _(t):
-    corpus = scan_corpus(t)
-    found = S.scan_lines(D.explode_lines(corpus), SV.LINE_RULES)
-    reports = files.scan_reports(S.scan_units(corpus.select("unit", "path"), found), found, 100)
+    found = snapshots.stored(S.scan_lines(corpus_lines(t, SV.LINE_RULES), SV.LINE_RULES), "findings")
+    reports = files.scan_reports(S.scan_units(scan_corpus(t).select("unit", "path"), found), found, 100)
     n = F.when(F.col("page") == 0, F.lit(0)).otherwise(F.json_array_length("report"))
     return reports.groupBy("unit").agg(F.sum(n).cast("long").alias("findings"))
 
@@ -398,7 +396,7 @@ def _(t):
 SELECT path, least(sum(trunc({weight_sql('severity', SV.LINE_WEIGHTS)} * (1 + log2(n) * 0.5))), 100)::BIGINT AS risk_score
 FROM (SELECT path, rule_id, any_value(severity) AS severity, count(*) AS n FROM found GROUP BY path, rule_id) GROUP BY path""")
 def _(t):
-    found = S.scan_lines(D.explode_lines(scan_corpus(t)), SV.LINE_RULES)
+    found = S.scan_lines(corpus_lines(t, SV.LINE_RULES), SV.LINE_RULES)
     scores = S.rule_scores(found, ["path"], "severity", ["line_no", "pattern_idx"], SV.LINE_WEIGHTS, SV.LINE_FACTOR, 5)
     return S.total_score(scores, ["path"])
 

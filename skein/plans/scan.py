@@ -43,17 +43,22 @@ cf AS MATERIALIZED (SELECT *, severity AS original_severity, CASE WHEN in_code T
 """
 
 
-def corpus_lines(t: Tables) -> DataFrame:
-    return D.explode_lines(scan_corpus(t))
+def corpus_lines(t: Tables, rules) -> DataFrame:
+    """Lines of the corpus, marked with the patterns of the rules that can occur in their document."""
+    return D.explode_lines(S.with_candidates(scan_corpus(t), rules))
 
 
 def context_lines(t: Tables) -> DataFrame:
     return D.lines_with_context(scan_corpus(t), "path")
 
 
+def contextual(t: Tables) -> DataFrame:
+    return S.contextual_findings(D.lines_with_context(S.with_candidates(scan_corpus(t), V.CONTEXT_RULES), "path"))
+
+
 @query("j6_line_findings", FOUND + " SELECT unit, path, line_no, rule_id, severity, pattern_idx FROM found")
 def _(t):
-    return S.scan_lines(corpus_lines(t), V.LINE_RULES).select("unit", "path", "line_no", "rule_id", "severity", "pattern_idx")
+    return S.scan_lines(corpus_lines(t, V.LINE_RULES), V.LINE_RULES).select("unit", "path", "line_no", "rule_id", "severity", "pattern_idx")
 
 
 CUSTOM = [("LIC1", "licence line", "info", 0, r"licensed\s+under|released\s+under"), ("PII1", "e-mail address", "medium", 0, r"[a-z0-9._]+@[a-z0-9.]+\.[a-z]+"),
@@ -65,21 +70,22 @@ SELECT unit, path, line_no, rule_id, pattern_idx FROM {hits_sql(
     (V.Rule("LIC1", "", "info", (CUSTOM[0][4],)), V.Rule("PII1", "", "medium", (CUSTOM[1][4], CUSTOM[2][4]))), 'cl')}""")
 def _(t):
     rows = t.spark.createDataFrame(CUSTOM, "rule_id string, rule_name string, severity string, pattern_idx int, pattern string")
-    return S.scan_lines(corpus_lines(t), S.pack_from_rows(rows)).select("unit", "path", "line_no", "rule_id", "pattern_idx")
+    pack = S.pack_from_rows(rows)
+    return S.scan_lines(corpus_lines(t, pack), pack).select("unit", "path", "line_no", "rule_id", "pattern_idx")
 
 
 @query("t26_match_details", CONTEXT + """
 SELECT path, line_no, rule_id, pattern_idx, regexp_extract(line, pattern, 0, 'i') AS match_text,
   length(regexp_extract(line, '(?s)^(.*?)(?:' || pattern || ')', 1, 'i')) AS match_pos FROM cf""")
 def _(t):
-    found = S.scan_lines(corpus_lines(t), V.CONTEXT_RULES)
+    found = S.scan_lines(corpus_lines(t, V.CONTEXT_RULES), V.CONTEXT_RULES)
     return S.match_details(found).select("path", "line_no", "rule_id", "pattern_idx", "match_text", "match_pos")
 
 
 @query("j7_context_findings", CONTEXT + """
 SELECT path, line_no, rule_id, pattern_idx, in_code, code_language, original_severity, adjusted_severity FROM cf""")
 def _(t):
-    return S.contextual_findings(context_lines(t)).select(
+    return contextual(t).select(
         "path", "line_no", "rule_id", "pattern_idx", "in_code", "code_language", "original_severity", "adjusted_severity")
 
 
@@ -95,7 +101,7 @@ def _(t):
 SELECT path, line_no, rule_id, pattern_idx, CASE WHEN in_code THEN 'Pattern found inside code block (' || coalesce(nullif(code_language, ''), 'unknown') ||
   ' code example). Severity reduced from ' || original_severity || ' to ' || adjusted_severity || '.' ELSE 'Pattern found in prose text - full severity applied.' END AS adjustment_reason FROM cf""")
 def _(t):
-    return S.contextual_findings(context_lines(t)).select("path", "line_no", "rule_id", "pattern_idx", "adjustment_reason")
+    return contextual(t).select("path", "line_no", "rule_id", "pattern_idx", "adjustment_reason")
 
 
 @query("t25_context_types", W + """
@@ -110,14 +116,14 @@ def _(t):
 SELECT unit, {", ".join(f"count_if(adjusted_severity = '{s}')::BIGINT AS {s}" for s in V.SEVERITIES)}, count_if(in_code)::BIGINT AS in_code,
   count_if(NOT in_code)::BIGINT AS in_prose FROM cf GROUP BY unit""")
 def _(t):
-    return S.severity_summary(S.contextual_findings(context_lines(t)), "adjusted_severity", ["unit"])
+    return S.severity_summary(contextual(t), "adjusted_severity", ["unit"])
 
 
 @query("a7_rule_scores", FOUND + f"""
 SELECT unit, rule_id, n, trunc({weight_sql('severity', V.LINE_WEIGHTS)} * (1 + log2(n) * 0.5))::BIGINT AS score
 FROM (SELECT unit, rule_id, any_value(severity) AS severity, count(*) AS n FROM found GROUP BY unit, rule_id)""")
 def _(t):
-    found = S.scan_lines(corpus_lines(t), V.LINE_RULES)
+    found = S.scan_lines(corpus_lines(t, V.LINE_RULES), V.LINE_RULES)
     order = ["path", "line_no", "pattern_idx"]
     return S.rule_scores(found, ["unit"], "severity", order, V.LINE_WEIGHTS, V.LINE_FACTOR, 5).drop("severity")
 
@@ -131,8 +137,8 @@ j AS (SELECT u.unit, files_scanned, coalesce(findings, 0) AS findings, coalesce(
   CASE WHEN criticals >= 3 THEN 100 ELSE coalesce(score, 0) END AS risk_score FROM u LEFT JOIN s USING (unit))
 SELECT *, {level_sql('risk_score')} AS risk_level, risk_score = 100 AS blocked FROM j""")
 def _(t):
-    corpus = scan_corpus(t)
-    return S.scan_units(corpus.select("unit", "path"), S.scan_lines(D.explode_lines(corpus), V.LINE_RULES))
+    files = scan_corpus(t).select("unit", "path")
+    return S.scan_units(files, S.scan_lines(corpus_lines(t, V.LINE_RULES), V.LINE_RULES))
 
 
 @query("a8_context_scan_units", CONTEXT + f"""
@@ -146,9 +152,7 @@ j AS (SELECT u.unit, files_scanned, coalesce(risk_score, 0) AS risk_score, coale
   FROM (SELECT unit, count(*) AS files_scanned FROM corpus GROUP BY unit) u LEFT JOIN s USING (unit) LEFT JOIN c USING (unit) LEFT JOIN b USING (unit))
 SELECT *, {level_sql('risk_score')} AS risk_level, risk_score = 100 AS blocked FROM j""")
 def _(t):
-    corpus = scan_corpus(t)
-    lines = D.lines_with_context(corpus, "path")
-    return S.context_scan_units(corpus.select("unit", "path"), lines, S.contextual_findings(lines))
+    return S.context_scan_units(scan_corpus(t).select("unit", "path"), context_lines(t), contextual(t))
 
 
 @query("t22_blocked_sources", """

@@ -42,6 +42,8 @@ def brute(rules, text):
 def test_scan_against_brute_force(docs, rules):
     got = sorted((r.rule_id, r.line_no, r.pattern_idx) for r in S.scan_lines(D.explode_lines(docs), rules).where("path = 'p1'").collect())
     assert got == sorted(brute(rules, TEXT)) and len(got) > 4
+    narrowed = S.scan_lines(D.explode_lines(S.with_candidates(docs, rules)), rules)
+    assert sorted((r.rule_id, r.line_no, r.pattern_idx) for r in narrowed.where("path = 'p1'").collect()) == got
 
 
 def test_every_pattern_can_match(spark):
@@ -57,17 +59,17 @@ def test_every_pattern_can_match(spark):
     assert set(samples.items()) <= got
 
 
-def test_required_text_is_in_every_match():
-    assert S.required_text(r"rm\s+-rf") == "-rf"
-    assert S.required_text(r"api[_-]?key") in ("api", "key")
-    assert S.required_text(r"\bsudo\s+") == "sudo"
-    assert S.required_text(r"colou?r") == "colo"
-    assert S.required_text(r"a|b") == ""
-    assert S.required_text(r"x*") == ""
-    assert S.required_text(r"hack(er|ing)?") == "hack"
+def test_required_texts_are_in_every_match():
+    assert S.required_texts(r"rm\s+-rf") == ["-rf", "rm"]
+    assert S.required_texts(r"api[_-]?key") == ["api", "key"]
+    assert S.required_texts(r"\bsudo\s+") == ["sudo"]
+    assert S.required_texts(r"colou?r") == ["colo", "r"]
+    assert S.required_texts(r"a|b") == []
+    assert S.required_texts(r"x*") == []
+    assert S.required_texts(r"hack(er|ing)?") == ["hack"]
     for rule in V.LINE_RULES + V.CONTEXT_RULES:
         for pattern in rule.patterns:
-            assert S.required_text(pattern), pattern
+            assert S.required_texts(pattern), pattern
 
 
 def test_context(docs):
