@@ -170,3 +170,11 @@ def test_pack_size_is_checked(spark):
     rows = spark.range(S.MAX_PACK + 1).select(F.lit("r").alias("rule_id"), F.lit("n").alias("rule_name"), F.lit("low").alias("severity"), F.col("id").alias("pattern_idx"), F.lit("x").alias("pattern"))
     with pytest.raises(ValueError):
         S.pack_from_rows(rows)
+
+
+def test_any_word_finds_the_longest():
+    words = {"run", "rm", "system", "system(", "-rf", "."}
+    pattern = re.compile(S.any_word(words))
+    for w in words:
+        assert pattern.fullmatch(w), w
+    assert pattern.match("system(x").group() == "system(" and pattern.match("rux") is None
