@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skein.llm import mixing
+from skein.llm import mixing, topk
 from skein.llm.common import ready
 from skein.sources.tables import read_table
 
@@ -30,3 +31,23 @@ def query(name: str, sql: str | None = None):
 @query("op6_mixing")
 def op6_mixing(table) -> DataFrame:
     return mixing.mix(table("documents"))
+
+
+OP8_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as cells from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.cells, c.cells), lambda p: p[1] * p[2]))::bigint as score
+  from v q join v c on c.vec_id <> q.vec_id and len(q.cells) = len(c.cells)
+  where q.vec_id % 20 = 0
+)
+select query_id, rank::integer as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+where rank <= 20
+"""
+
+
+@query("op8_top_k", OP8_SQL)
+def op8_top_k(table) -> DataFrame:
+    return topk.top_k(table("embeddings"), F.col("vec_id") % 20 == 0, 20)
