@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import mixing, topk
+from skein.llm import mixing, simhash, topk
 from skein.llm.common import ready
 from skein.sources.tables import read_table
 
@@ -33,6 +33,11 @@ def op6_mixing(table) -> DataFrame:
     return mixing.mix(table("documents"))
 
 
+@query("op7_simhash")
+def op7_simhash(table) -> DataFrame:
+    return simhash.near_duplicates(table("documents"))
+
+
 OP8_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as cells from embeddings
