@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import mixing, simhash, syncmers, topk
+from skein.llm import licenses, mixing, simhash, syncmers, topk
 from skein.llm.common import ready
 from skein.sources.tables import read_table
 
@@ -61,3 +61,41 @@ where rank <= 20
 @query("op8_top_k", OP8_SQL)
 def op8_top_k(table) -> DataFrame:
     return topk.top_k(table("embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def _op10_sql() -> str:
+    """Every block against every notice, without the filters."""
+    listed = ", ".join(f"({i}, '{label}', list_distinct(string_split('{n}', ' ')))" for i, (label, n) in enumerate(licenses.NOTICES))
+    phrases = ", ".join(f"('{label}', string_split('{p}', ' '))" for p, label in licenses.PHRASES)
+    return f"""
+with d as (
+  select row_number() over () as r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents
+), phrase(label, p) as (values {phrases}), notice(n, label, t) as (values {listed}),
+place as (
+  select r, label, i - 1 as i from (select r, w, label, p, unnest(range(1, len(w) - len(p) + 2)) as i from d, phrase
+    where list_has_all(w, p))
+  where w[i : i + len(p) - 1] = p
+), base as (
+  select r, count(*) as n_base, min(i) as first_word, max(i) as last_word, list(distinct label) as labels from place group by r
+), block as (
+  select r, w[i + 1 : i + 64] as b from (select r, w, unnest(range(0, len(w), 32)) as i from d)
+), held as (
+  select r, label, len(list_intersect(t, b)) / len(t) as held from block, notice
+  where len(list_intersect(t, b)) * 1000 >= 800 * len(t)
+), more as (
+  select r, max(held) as held, list(distinct label) as labels from held group by r
+)
+select doc_id, len(w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
+  coalesce(array_to_string(list_sort(base.labels), ','), '') as base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(base.labels, more.labels))), ','), '') as labels,
+  case when n_base > 0 then 1.0 else coalesce(held, 0) end::double as score
+from d left join base using (r) left join more using (r)
+"""
+
+
+@query("op10_licenses", _op10_sql())
+def op10_licenses(table) -> DataFrame:
+    return licenses.scan(table("documents"))
