@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import licenses, mixing, simhash, syncmers, topk
+from skein.llm import langid, licenses, mixing, simhash, syncmers, topk
 from skein.llm.common import ready
 from skein.sources.tables import read_table
 
@@ -28,6 +28,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_langid")
+def op1_langid(table) -> DataFrame:
+    return langid.identify(table("documents"))
+
+
 @query("op5_syncmers")
 def op5_syncmers(table) -> DataFrame:
     return syncmers.edited_fingerprints(table("documents"))
