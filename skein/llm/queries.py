@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import langid, licenses, mixing, simhash, syncmers, topk
+from skein.llm import langid, licenses, mixing, quality, simhash, syncmers, topk
 from skein.llm.common import ready
 from skein.sources.tables import read_table
 
@@ -33,6 +33,11 @@ def op1_langid(table) -> DataFrame:
     return langid.identify(table("documents"))
 
 
+@query("op3_quality")
+def op3_quality(table) -> DataFrame:
+    return quality.classify(table("documents"), table("labels"))
+
+
 @query("op5_syncmers")
 def op5_syncmers(table) -> DataFrame:
     return syncmers.edited_fingerprints(table("documents"))
