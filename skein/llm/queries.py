@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import langid, licenses, mixing, quality, simhash, syncmers, topk
+from skein.llm import langid, licenses, mixing, quality, sentencepieces, simhash, syncmers, topk
 from skein.llm.common import ready
 from skein.sources.tables import read_table
 
@@ -53,6 +53,18 @@ def op7_simhash(table) -> DataFrame:
     return simhash.near_duplicates(table("documents"))
 
 
+def piece_model() -> str:
+    """The SentencePiece model the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op9_sentencepiece")
+def op9_sentencepiece(table) -> DataFrame:
+    return sentencepieces.report(table("documents"), piece_model())
+
+
 OP8_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as cells from embeddings
