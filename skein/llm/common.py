@@ -1,8 +1,9 @@
-"""What the operators of this subpackage share: stored tables, worker paths, random fractions."""
+"""What the operators of this subpackage share: stored tables, worker paths, buckets of ids."""
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from skein.session import prepare, work_folder
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+#: Bounds per step of the search for a value's bucket.
+FAN = 100
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -37,7 +40,34 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def held_out_accuracy(rows: list[tuple[bool, object, object]]) -> float:
-    """Share of held-out rows (held_out, predicted, truth) that are right."""
-    marks = [p == t for h, p, t in rows if h]
-    return sum(marks) / max(1, len(marks))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once per row."""
+    return F.transform(F.array(value), use)[0]
+
+
+def id_bounds(df: DataFrame, column: str, rows: int, most: int) -> list:
+    """Rising values of a numeric column that cut the rows in buckets of about ``rows``, ``most`` at the most; the last is the largest value.
+
+    Only where rows are dealt to depends on the bounds. They are a bounded list of
+    percentiles, found in one pass over the column.
+    """
+    n = df.count()
+    buckets = max(1, min(most, -(-n // rows)))
+    shares = [(i + 1) / buckets for i in range(buckets)]
+    found = df.agg(F.percentile_approx(column, shares, max(10_000, 20 * buckets)).alias("cuts"), F.max(column).alias("top")).first()
+    return sorted({*found["cuts"], found["top"]}) if found["top"] is not None else []
+
+
+def bucket_of(value: Column, bounds: list) -> tuple[Column, Column]:
+    """The place of the first bound not below the value (null: 0), and whether the value is that bound.
+
+    Found in two steps, so that the work per row stays small for thousands of bounds.
+    """
+    if not bounds:
+        return F.lit(0), F.lit(False)
+    heads = F.array(*[F.lit(bounds[i]) for i in range(0, len(bounds), FAN)])
+    parts = F.array(*[F.array(*[F.lit(b) for b in bounds[i : i + FAN]]) for i in range(0, len(bounds), FAN)])
+    group = F.greatest(F.size(F.filter(heads, lambda b: b < value)) - 1, F.lit(0))
+    place = let(group, lambda g: let(F.get(parts, g), lambda own: g * FAN + F.size(F.filter(own, lambda b: b < value))))
+    exact = let(group, lambda g: F.array_contains(F.get(parts, g), value)) | F.array_contains(heads, value)
+    return F.when(value.isNull(), F.lit(0)).otherwise(place).cast("int"), F.coalesce(exact, F.lit(False))

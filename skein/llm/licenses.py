@@ -16,8 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import stored
-from skein.llm.syncmers import let
+from skein.llm.common import let, stored
 
 #: Words of the text before A-Z are lowered; the same places as in the lowered text.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"

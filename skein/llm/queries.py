@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import langid, licenses, mixing, quality, sentencepieces, simhash, syncmers, topk
+from skein.llm import langid, licenses, mixing, quality, sentencepieces, simhash, syncmers, tokenfiles, topk
 from skein.llm.common import ready
 from skein.sources.tables import read_table
 
@@ -33,6 +33,13 @@ def op1_langid(table) -> DataFrame:
     return langid.identify(table("documents"))
 
 
+@query("op2_token_file")
+def op2_token_file(table) -> DataFrame:
+    import public_tokenizers
+
+    return tokenfiles.round_trip(table("documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("op3_quality")
 def op3_quality(table) -> DataFrame:
     return quality.classify(table("documents"), table("labels"))

@@ -12,22 +12,15 @@ and matched, and likeness is the share of common anchors in all distinct ones.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.llm.common import bucket_of, id_bounds, let
+
 TOKEN = r"[^\x20\x09-\x0D]{1,16}"
 K, S = 5, 2
 #: Runs of s tokens in a run of k.
 INNER = K - S + 1
-#: Bounds per step of the search for a document's bucket.
-FAN = 100
-
-
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value worked out once per row."""
-    return F.transform(F.array(value), use)[0]
 
 
 def anchors(text: Column) -> Column:
@@ -89,26 +82,15 @@ def positions(marks: DataFrame, column: str = "fingerprint") -> DataFrame:
 def with_next(docs: DataFrame, doc_id: str, column: str, bucket_rows: int, most_buckets: int, prepare: dict[str, Column]) -> DataFrame:
     """Each row with ``column`` and the prepared columns of the next row by descending id, around the end.
 
-    Bounds taken from the ids cut the rows in buckets of neighbours. A bound is itself the id of a
+    Bounds taken from the ids cut the rows in buckets of neighbours, nulls in the lowest. A bound is itself the id of a
     row, the one that follows the last of the bucket above, so those rows are sent to both buckets and
     one sort per bucket finds every neighbour. Equal ids follow in order of ``column``; null ids come last.
     """
-    n = docs.count()
-    buckets = max(1, min(most_buckets, -(-n // bucket_rows)))
-    shares = [(i + 1) / buckets for i in range(buckets)]
-    bounds = sorted(set(docs.agg(F.percentile_approx(doc_id, shares, max(10_000, 20 * buckets)).alias("b")).first()["b"] or []))
-    top = docs.agg(F.max(doc_id).alias("m")).first()["m"]
-    bounds = sorted({*bounds, top}) if top is not None else []
-    if bounds:
-        heads = F.array(*[F.lit(bounds[i]) for i in range(0, len(bounds), FAN)])
-        parts = F.array(*[F.array(*[F.lit(b) for b in bounds[i : i + FAN]]) for i in range(0, len(bounds), FAN)])
-        group = F.greatest(F.size(F.filter(heads, lambda b: b < F.col(doc_id))) - 1, F.lit(0))
-        bucket = let(group, lambda g: let(F.get(parts, g), lambda own: g * FAN + F.size(F.filter(own, lambda b: b < F.col(doc_id)))))
-        # An id that is a bound is the first of its bucket's neighbour below.
-        last = let(group, lambda g: F.array_contains(F.get(parts, g), F.col(doc_id))) | F.array_contains(heads, F.col(doc_id))
-    else:
-        bucket, last = F.lit(0), F.lit(True)
-    rows = docs.withColumn("__own", F.when(F.col(doc_id).isNull(), F.lit(0)).otherwise(bucket).cast("int"))
+    bounds = id_bounds(docs, doc_id, bucket_rows, most_buckets)
+    bucket, last = bucket_of(F.col(doc_id), bounds)
+    if not bounds:  # no ids at all: one bucket, and its first row follows its last
+        last = F.lit(True)
+    rows = docs.withColumn("__own", bucket)
     own = F.struct(F.col("__own").alias("bucket"), F.lit(0).alias("guest"))
     guest = F.struct(F.pmod(F.col("__own") + 1, F.lit(max(1, len(bounds)))).cast("int").alias("bucket"), F.lit(1).alias("guest"))
     rows = rows.withColumn("__to", F.explode(F.when(last, F.array(own, guest)).otherwise(F.array(own))))
