@@ -13,6 +13,7 @@ from skein.session import prepare, work_folder
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Bounds per step of the search for a value's bucket.
 FAN = 100
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -24,10 +25,18 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """The frame written below ``spark.checkpoint.dir`` and read again: a table that outlives lost executors."""
-    folder = work_folder(df.sparkSession, purpose)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    """The frame written below ``spark.checkpoint.dir`` and read again: a table that outlives lost executors.
+
+    The shuffle files of the write are of no use afterwards, so they go with it.
+    """
+    spark = df.sparkSession
+    folder, before = work_folder(spark, purpose), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def crc_mod(column: str, n: int) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import langid, licenses, mixing, quality, sentencepieces, simhash, syncmers, tokenfiles, topk
+from skein.llm import langid, licenses, linededup, mixing, quality, sentencepieces, simhash, syncmers, tokenfiles, topk
 from skein.llm.common import ready
 from skein.sources.tables import read_table
 
@@ -45,6 +45,11 @@ def op3_quality(table) -> DataFrame:
     return quality.classify(table("documents"), table("labels"))
 
 
+@query("op4_line_dedup")
+def op4_line_dedup(table) -> DataFrame:
+    return linededup.duplicate_lines(table("documents")).withColumn("n_dropped", F.size("dropped").cast("long"))
+
+
 @query("op5_syncmers")
 def op5_syncmers(table) -> DataFrame:
     return syncmers.edited_fingerprints(table("documents"))
