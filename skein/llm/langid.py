@@ -129,7 +129,7 @@ def fit(rows: DataFrame, text: str, label: str, doc_id: str, per_language: int =
 
 
 def predict(docs: DataFrame, model: Model, text: Column) -> DataFrame:
-    """``docs`` with ``guess``: struct<lang string, score double>."""
+    """``docs`` with ``__guess``: struct<lang string, score double>."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
@@ -137,7 +137,7 @@ def predict(docs: DataFrame, model: Model, text: Column) -> DataFrame:
         names, sure = score(texts.tolist(), sent.value)
         return pd.DataFrame({"lang": names, "score": sure})
 
-    return docs.withColumn("guess", guess(F.coalesce(text, F.lit(""))))
+    return docs.withColumn("__guess", guess(F.coalesce(text, F.lit(""))))
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", folds: int = 4, fold: int = 2, per_language: int = 5000) -> DataFrame:
@@ -150,4 +150,16 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
     held_out = crc_mod(doc_id, folds) == fold
     model = fit(docs.where(~held_out), text, lang, doc_id, per_language)
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
-    return predict(rows, model, F.col("text")).select("doc_id", "held_out", F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"))
+    return predict(rows, model, F.col("text")).select("doc_id", "held_out", F.col("__guess.lang").alias("lang_pred"), F.col("__guess.score").alias("score"))
+
+
+def accepted(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", least: float = 0.5, per_language: int = 5000) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter and a language more probable than ``least``; the model learns as in ``identify``.
+
+    Without labels there is no model, and every text with a letter stays.
+    """
+    model = fit(docs.where(crc_mod(doc_id, 4) != 2), text, lang, doc_id, per_language)
+    lettered = docs.where(F.col(text).rlike(r"\p{L}"))
+    if not model.languages:
+        return lettered
+    return predict(lettered, model, F.col(text)).where((F.col("__guess.lang") != NONE) & (F.col("__guess.score") >= least)).select(*docs.columns)

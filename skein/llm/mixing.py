@@ -77,7 +77,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
     return rows.withColumn("target", F.least(F.col("limit"), F.coalesce(final["level"], F.lit(0.0)) * F.col("weight"))).drop("weight", "limit", "level")
 
 
-def mix(
+def mixed(
     docs: DataFrame,
     text: str = "text",
     source: str = "source",
@@ -89,7 +89,7 @@ def mix(
     shard_words: int = 1_000_000,
     seed: str = "mix-1",
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row of ``docs``.
+    """doc_id, tie (a hash of the text), source, size, source_size, target, taken for every row of ``docs``.
 
     A null text has no words, a null source is a source of its own, last in order. Rows without words
     take nothing. Equal rows count each; a null id is an id. Reruns give the same rows.
@@ -98,7 +98,7 @@ def mix(
     key = F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1"))
     rows = stored(
         docs.select(
-            F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"),
+            F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tie"), F.col(source).cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         ).withColumn("source_key", key).withColumn("__order", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")).cast("binary"))),
         "mix-sizes",
@@ -122,7 +122,7 @@ def mix(
         F.when(length > 0, F.floor(quota / length)).otherwise(F.lit(0)).alias("__laps"),
         F.when(length > 0, F.pmod(quota, length)).otherwise(F.lit(0)).alias("__rest"),
     )
-    line = Window.partitionBy("source_key", "shard").orderBy("__order", "size").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("source_key", "shard").orderBy("__order", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("__first")
     last = first + F.col("size")
 
@@ -134,5 +134,23 @@ def mix(
     return (
         placed.withColumn("__first", F.coalesce(F.sum("size").over(line), F.lit(0).cast("long")))
         .join(quotas, (F.col("source_key") == F.col("__key")) & (F.col("shard") == F.col("__shard")))
-        .select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+        .select("doc_id", "tie", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
     )
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken for every row of ``docs``, by ``mixed``."""
+    return mixed(docs, **options).drop("tie")
+
+
+def repeated(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them: words taken over words held, rounded, so 0 to 2 times.
+
+    Rows that share id and text are one document here, and what they take adds up. Documents without words go.
+    """
+    shares = mixed(docs, text, source, doc_id, **options).groupBy("doc_id", "tie").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"))
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+    shares = shares.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), times.alias("__times")).where("__times > 0")
+    rows = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = rows.join(shares, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tie"))).dropDuplicates([doc_id, "__own"])
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

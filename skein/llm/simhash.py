@@ -170,7 +170,7 @@ def links(values: DataFrame, radius: int = 3, tree_size: int = 1024) -> DataFram
 
 
 def groups(marked: DataFrame, doc_id: str = "doc_id", mark: str = "mark", radius: int = 3, tree_size: int = 1024) -> DataFrame:
-    """(mark, component_id) for every fingerprint: the smallest non-null id that links lead to; null where there is none."""
+    """(mark, root, component_id) for every fingerprint: one of the component's, and the smallest non-null id in it; null where there is none."""
     classes = stored(marked.groupBy(F.col(mark).alias("value")).agg(F.min(doc_id).alias("least")), "simhash-classes")
     roots = components(links(classes.select("value"), radius, tree_size))
     joined = classes.join(roots.select(F.col("node").alias("value"), "root"), "value", "left")
@@ -179,7 +179,7 @@ def groups(marked: DataFrame, doc_id: str = "doc_id", mark: str = "mark", radius
     # Only fingerprints in company need the join; the rest, nearly all, are their own component.
     company = least.where("n > 1").select("root", "component_id")
     out = joined.join(company, "root", "left")
-    return out.select(F.col("value").alias(mark), F.coalesce("component_id", "least").alias("component_id"))
+    return out.select(F.col("value").alias(mark), "root", F.coalesce("component_id", "least").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3, radius: int = 3, tree_size: int = 1024) -> DataFrame:
@@ -190,6 +190,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     An empty table gives no rows. Other columns are not read.
     """
     marked = stored(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), width).alias("mark")), "simhash-marks")
-    found = stored(groups(marked, radius=radius, tree_size=tree_size), "simhash-groups")
+    found = stored(groups(marked, radius=radius, tree_size=tree_size).select("mark", "component_id"), "simhash-groups")
     hexed = F.lower(F.lpad(F.hex("mark"), 16, "0"))
     return marked.join(found, "mark").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3, radius: int = 3, tree_size: int = 1024) -> DataFrame:
+    """The rows of ``docs`` with one of each group of near-duplicates: the smallest id, null last, then the smaller hash of the text.
+
+    The choice is made on ids and hashes; texts move once, to meet it. Repeated rows are one document.
+    """
+    tie = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    marked = stored(docs.select(F.col(doc_id).alias("doc_id"), tie.alias("tie"), fingerprints(F.col(text), width).alias("mark")), "simhash-marks")
+    roots = stored(groups(marked, radius=radius, tree_size=tree_size).select("mark", "root"), "simhash-groups")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    chosen = marked.join(roots, "mark").groupBy("root").agg(F.min(first).alias("first"))
+    chosen = chosen.select(F.col("first.doc_id").alias("__id"), F.col("first.tie").alias("__tie"))
+    rows = docs.withColumn("__own", tie)
+    rows = rows.join(chosen, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tie")), "left_semi")
+    return rows.dropDuplicates([doc_id, "__own"]).select(*docs.columns)
