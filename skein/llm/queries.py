@@ -55,7 +55,58 @@ def op5_syncmers(table) -> DataFrame:
     return syncmers.edited_fingerprints(table("documents"))
 
 
-@query("op6_mixing")
+#: The same mix, with all quotients listed instead of those in reach.
+OP6_SQL = r"""
+with docs as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+    coalesce('0' || source, '1') as k, md5(concat_ws(':', 'mix-1', doc_id::varchar)) as h
+  from documents
+), weighed as (
+  select k, sum(size)::double as source_size, ([3.0, 1.0, 2.0])[((row_number() over (order by k) - 1) % 3 + 1)::integer]::double as w
+  from docs group by k
+), levelled as (
+  select *, 2 * source_size as cap,
+    (sum(source_size) over () * 1.5 - coalesce(sum(2 * source_size) over (order by 2 * source_size / w, k rows between unbounded preceding and 1 preceding), 0))
+      / sum(w) over (order by 2 * source_size / w, k rows between current row and unbounded following) as level
+  from weighed
+), targets as (
+  select k, source_size, least(cap, coalesce((select min_by(level, cap / w) from levelled where level <= cap / w), 0) * w) as target from levelled
+), seats as (select round(sum(target) / 8)::bigint as n from targets),
+won as (
+  select k, count(*) as blocks from (
+    select k, row_number() over (order by target / (2 * j + 1) desc, target desc, k, j) as place
+    from (select k, target, unnest(range(0, ceil(target / 8)::bigint + (select count(*) from targets) + 2)) as j from targets where target > 0)
+  ) where place <= (select n from seats) group by k
+), source_blocks as (
+  select k, source_size, target, coalesce(blocks, 0) as blocks, greatest(1, ceil(source_size / 1000000))::bigint as shards
+  from targets left join won using (k)
+), placed as (
+  select d.*, source_size, target, blocks, ('0x' || substr(h, 9, 8))::ubigint::bigint % shards as shard from docs d join source_blocks using (k)
+), sized as (
+  select k, shard, any_value(blocks) as blocks, sum(size)::bigint as shard_size from placed group by k, shard
+), shard_won as (
+  select k, shard, count(*) as quota from (
+    select k, shard, blocks, row_number() over (partition by k order by shard_size / (2 * j + 1) desc, shard_size desc, k, shard, j) as place
+    from (select *, unnest(range(0, ceil(blocks * shard_size / source_words)::bigint + shards + 3)) as j from (
+      select z.*, b.shards, b.source_size as source_words from sized z join source_blocks b using (k)) where shard_size > 0)
+  ) where place <= blocks group by k, shard
+), quotas as (
+  select k, shard, ceil(shard_size / 8)::bigint as len, least(coalesce(quota, 0), 2 * ceil(shard_size / 8)::bigint) as quota,
+    ('0x' || substr(md5('mix-1:' || k || ':' || shard), 1, 8))::ubigint::bigint % greatest(1, ceil(shard_size / 8)::bigint) as start
+  from sized left join shard_won using (k, shard)
+), lined as (
+  select p.*, len, start, case when len > 0 then quota // len else 0 end as laps, case when len > 0 then quota % len else 0 end as rest,
+    coalesce(sum(size) over (partition by k, shard order by h, size rows between unbounded preceding and 1 preceding), 0) as a
+  from placed p join quotas using (k, shard)
+)
+select doc_id, source, size::bigint as size, source_size::bigint as source_size, target,
+  (laps * size + greatest(0, least(a + size, least(start + rest, len) * 8) - greatest(a, start * 8))
+    + greatest(0, least(a + size, (start + rest - len) * 8) - greatest(a, 0)))::bigint as taken
+from lined
+"""
+
+
+@query("op6_mixing", OP6_SQL)
 def op6_mixing(table) -> DataFrame:
     return mixing.mix(table("documents"))
 

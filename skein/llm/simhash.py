@@ -28,6 +28,7 @@ BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Bands that must agree. More than len(BANDS) - AGREE changed bits could break all pairs.
 AGREE = 2
 CHUNK = 1 << 16
+ALL_BITS = (1 << 64) - 1
 
 
 def simhash(text: str | None, width: int = 3) -> int:
@@ -59,6 +60,11 @@ def fingerprints(text: Column, width: int = 3) -> Column:
     return mark(text)
 
 
+def distance(a: int, b: int) -> int:
+    """Bits that differ; numbers may be signed."""
+    return ((a ^ b) & ALL_BITS).bit_count()
+
+
 class Tree:
     """A BK-tree over distinct 64-bit numbers."""
 
@@ -73,7 +79,7 @@ class Tree:
             return
         at = 0
         while True:
-            far = (self.values[at] ^ value).bit_count()
+            far = distance(self.values[at], value)
             if far not in self.children[at]:
                 self.children[at][far] = len(self.values) - 1
                 return
@@ -83,7 +89,7 @@ class Tree:
         todo = [0] if self.values else []
         while todo:
             at = todo.pop()
-            far = (self.values[at] ^ value).bit_count()
+            far = distance(self.values[at], value)
             if far <= radius:
                 yield self.values[at]
             todo += [child for edge, child in self.children[at].items() if far - radius <= edge <= far + radius]
