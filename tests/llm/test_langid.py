@@ -1,5 +1,5 @@
 import numpy as np
-from conftest_llm import AWKWARD
+from llm.rows import AWKWARD
 
 from skein.llm import langid
 

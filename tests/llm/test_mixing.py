@@ -2,7 +2,7 @@ import random
 import re
 
 import pytest
-from conftest_llm import AWKWARD
+from llm.rows import AWKWARD
 
 from skein.llm import mixing
 

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 import xxhash
-from conftest_llm import AWKWARD
+from llm.rows import AWKWARD
 
 from skein.llm import simhash
 from skein.llm.components import Sets

@@ -4,7 +4,7 @@ import struct
 
 import pytest
 import xxhash
-from conftest_llm import AWKWARD
+from llm.rows import AWKWARD
 from pyspark.sql import functions as F
 
 from skein.llm import syncmers

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest_llm import AWKWARD
+from llm.rows import AWKWARD
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
