@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.codes import pieces as runs
-from skein.llm.remembered import Words
+from skein.llm.remembered import Words, slices
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -104,19 +103,21 @@ class Codec:
     def _same(self, texts: list[str], ids: list[bytes]) -> list[bool]:
         return [np.array(want, "<u4").tobytes() == got for want, got in zip(self.judge.encode(texts, num_threads=2), ids)]
 
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool | None]]:
+    def encode(self, texts: pa.Array) -> tuple[list[np.ndarray], list[bool | None]]:
+        """Ids of texts, and whether they equal the other library's; null if that is not asked for."""
         if self.words is not None:
             ids, fine = self.words.ids(texts)
         else:
-            ids = [np.array(x, "<u4").tobytes() for x in self._raw(texts)]
-            fine = self._same(texts, ids) if self.judge else [True] * len(ids)
+            plain = texts.to_pylist()
+            ids = [np.array(x, "<u4") for x in self._raw(plain)]
+            fine = self._same(plain, [x.tobytes() for x in ids]) if self.judge else []
         return ids, (fine if self.judge else [None] * len(ids))
 
-    def decode(self, ids: list[bytes]) -> list[str]:
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
         """Texts from ids: the pieces' bytes in a row; where these are not UTF-8, as the library's decoder mends them."""
         out, raw = [], self.raw.__getitem__
         for x in ids:
-            numbers = np.frombuffer(x, "<u4").tolist()
+            numbers = x.tolist()
             try:
                 text = b"".join(map(raw, numbers)).decode()
                 out.append(text[1:] if self.prefix and text.startswith(" ") else text)
@@ -142,12 +143,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", par
 
     @F.pandas_udf("ids array<int>, same boolean")
     def coded(texts: pd.Series) -> pd.DataFrame:
-        found, fine = [], []
-        for low, high in runs(texts.tolist(), 1 << 21):
-            part = get().encode(texts.iloc[low:high].tolist())
-            found += [np.frombuffer(x, "<i4") for x in part[0]]
-            fine += part[1]
-        return pd.DataFrame({"ids": found, "same": fine})
+        found, fine = get().encode(pa.array(texts, pa.string()))
+        return pd.DataFrame({"ids": [x.astype("i4") for x in found], "same": fine})
 
     made = docs.withColumn("__coded", coded(F.coalesce(F.col(text), F.lit(""))))
     return made.withColumns({ids: F.col("__coded.ids"), parity: F.col("__coded.same")}).drop("__coded")
@@ -159,8 +156,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "text") ->
 
     @F.pandas_udf("string")
     def decoded(found: pd.Series) -> pd.Series:
-        raw = [None if x is None else np.asarray(x, "<u4").tobytes() for x in found]
-        return pd.Series([None if x is None else get().decode([x])[0] for x in raw], dtype=object)
+        return pd.Series([None if x is None else get().decode([np.asarray(x, "<u4")])[0] for x in found], dtype=object)
 
     return rows.withColumn(text, decoded(F.col(ids)))
 
@@ -177,14 +173,12 @@ def report(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             made = {"n_tokens": [], "ids_crc32": [], "round_trip": [], "parity": []}
-            for low, high in runs(texts, 1 << 21):
-                part = texts[low:high]
+            for part in slices(batch.column(1)):
                 ids, fine = get().encode(part)
-                made["n_tokens"] += [len(x) // 4 for x in ids]
-                made["ids_crc32"] += [zlib.crc32(x) for x in ids]
-                made["round_trip"] += [a == b for a, b in zip(part, get().decode(ids))]
+                made["n_tokens"] += [len(x) for x in ids]
+                made["ids_crc32"] += [zlib.crc32(x.tobytes()) for x in ids]
+                made["round_trip"] += [a == b for a, b in zip(part.to_pylist(), get().decode(ids))]
                 made["parity"] += fine
             arrays = [pa.array(made["n_tokens"], pa.int64()), pa.array(made["ids_crc32"], pa.int64()), pa.array(made["round_trip"], pa.bool_()), pa.array(made["parity"], pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", *made])

@@ -23,9 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.codes import pieces
 from skein.llm.common import bucket_of, id_bounds, stored
-from skein.llm.remembered import Words
+from skein.llm.remembered import Words, slices
 from skein.session import work_folder
 
 BLOCK = "bucket int, block int, start long, ids binary, nulls binary, lengths binary, control binary, data binary"
@@ -71,7 +70,9 @@ def words(form: str) -> Words:
     names = [n for n, _ in sorted(tokenizer.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])]
     starts = np.array([n.startswith("Ġ") for n in names])
     encode = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    return Words(encode, starts, "<u2" if len(names) <= 1 << 16 else "<u4", " ", False)
+    dtype = "<u2" if len(names) <= 1 << 16 else "<u4"
+    tails = {c: np.array(encode([c])[0], dtype).tobytes() for c in ".,"}
+    return Words(encode, starts, dtype, " ", False, tails=tails)
 
 
 def tokenize(docs: DataFrame, form: str, size: int, end: int) -> DataFrame:
@@ -86,16 +87,18 @@ def tokenize(docs: DataFrame, form: str, size: int, end: int) -> DataFrame:
         coder = words(sent.value)
         tail = np.array([end], coder.dtype).tobytes()
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        counts, wide, id_type = np.zeros(size, "i8"), np.dtype(coder.dtype).itemsize, pa.int64()
+        counts, id_type = np.zeros(size, "i8"), pa.int64()
         names = ["doc_id", "tie", "n", "ids", "counts"]
         for batch in batches:
-            texts, out, id_type = batch.column(2).to_pylist(), [], batch.column(0).type
-            for low, high in pieces(texts, 1 << 21):
-                out += [x + tail for x in coder.ids(texts[low:high])[0]]
-                counts += np.bincount(np.frombuffer(b"".join(out[low:high]), coder.dtype), minlength=size)
+            sizes, out, id_type = [], [], batch.column(0).type
+            for part in slices(batch.column(2)):
+                found, _ = coder.ids(part)
+                sizes += [len(x) + 1 for x in found]
+                out += [squeeze(x.tobytes() + tail) for x in found]
+                counts += np.bincount(np.concatenate([*found, [end]]).astype("i8"), minlength=size)
+                counts[end] += len(found) - 1
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array([len(x) // wide for x in out], pa.int64()), pa.array([squeeze(x) for x in out], pa.binary()),
-                pa.nulls(len(out), pa.binary())], names)
+                batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], names)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), *[pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary())], pa.array([squeeze(counts.tobytes())], pa.binary())], names)
 
     return stored(docs.select("doc_id", "tie", "text").mapInArrow(run, f"doc_id {kind}, tie long, n long, ids binary, counts binary"), "tokens")
