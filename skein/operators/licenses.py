@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import license_values as V
 from skein.functions.text import computed_once
-from skein.operators.scan import entry, literal, matching, named, searchable, with_keys
+from skein.operators.scan import matching, named, searchable, with_keys
 
 
 def confidence(pattern: str) -> float:
@@ -23,11 +23,11 @@ def detect(documents: DataFrame) -> DataFrame:
     text = F.col("text")
     tag = F.regexp_extract(text, V.SPDX_TAG, 1)
     known = tag.isin(*[x.spdx_id for x in V.LICENSES])
-    entries = literal(
-        [entry(p, confidence=confidence(p), place=-place, spdx_id=x.spdx_id) for place, x in enumerate(V.LICENSES) for p in x.patterns],
-        "confidence:double,place:int,spdx_id:string")
-    best = F.array_max(F.transform(matching(text, named(entries)), lambda h: F.struct(h["confidence"], h["place"], h["spdx_id"])))
-    found = computed_once(with_keys(searchable(documents, "text"), [p for x in V.LICENSES for p in x.patterns]), __best=best)
+    rows = [(place, x, p) for place, x in enumerate(V.LICENSES) for p in x.patterns]
+    patterns = [p for *_, p in rows]
+    values = [F.struct(F.lit(confidence(p)).alias("confidence"), F.lit(-place).alias("place"), F.lit(x.spdx_id).alias("spdx_id")) for place, x, p in rows]
+    best = F.array_max(matching(text, patterns, values, named(patterns)))
+    found = computed_once(with_keys(searchable(documents, "text"), patterns), __best=best)
     return found.select(
         *[c for c in documents.columns if c != "text"],
         F.when(known, tag).otherwise(F.coalesce(F.col("__best.spdx_id"), F.lit("UNKNOWN"))).alias("spdx_id"),

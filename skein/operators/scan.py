@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Sequence
 from functools import reduce
@@ -14,17 +13,14 @@ from skein.functions import scan_values as V
 from skein.functions.scan_values import Rule
 from skein.functions.text import computed_once
 
-MAX_PACK = 5000
-
-
-def pack_from_rows(rules: DataFrame) -> tuple[Rule, ...]:
+def pack_from_rows(rules: DataFrame, most: int = 5000) -> tuple[Rule, ...]:
     """A rule pack from rows (rule_id, rule_name, severity, pattern_idx, pattern).
 
-    Patterns become part of the plan, so a pack must be small; its size is checked.
+    Patterns become part of the plan, so a pack must be small: one of more than ``most`` is refused, never cut.
     """
-    rows = rules.orderBy("rule_id", "pattern_idx").limit(MAX_PACK + 1).collect()
-    if len(rows) > MAX_PACK:
-        raise ValueError(f"a rule pack holds at most {MAX_PACK} patterns")
+    rows = rules.orderBy("rule_id", "pattern_idx").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the rule pack holds more than {most} patterns")
     grouped: dict[tuple, list[str]] = {}
     for r in rows:
         grouped.setdefault((r["rule_id"], r["rule_name"], r["severity"]), []).append(r["pattern"])
@@ -35,29 +31,67 @@ def pack_from_rows(rules: DataFrame) -> tuple[Rule, ...]:
 FOLDING = "\u0130\u0131\u017f\u212a"
 
 
+# Escapes of two signs that stand for a kind of character or a place.
+SIMPLE_ESCAPES = set("sSdDwWbBAzZGtnrfvhHRea")
+
+
+def _class_end(pattern: str, start: int) -> int:
+    """Place after a character class, or -1 if it is not certain."""
+    i, depth = start + 1, 1
+    if pattern[i : i + 1] == "]" or pattern[i : i + 2] == "^]":
+        return -1
+    while i < len(pattern):
+        if pattern[i] == "\\":
+            i += 1
+            if pattern[i : i + 1] == "Q":
+                return -1
+        elif pattern[i] == "[":
+            depth += 1
+        elif pattern[i] == "]":
+            depth -= 1
+            if not depth:
+                return i + 1
+        i += 1
+    return -1
+
+
 def required_texts(pattern: str) -> list[str]:
     """Plain texts, lower case, that every match of a pattern must hold.
 
     Reads only what is plain for certain: escaped signs, letters, digits, '-', '_' and such
-    outside of groups and classes that nothing after them makes optional.
+    outside of groups and classes that nothing after them makes optional. Where an escape or a
+    flag could change the meaning of what follows, nothing is known.
     """
+    if re.search(r"\(\?[a-zA-Z-]*x", pattern):
+        return []
     runs, run, i, depth = [], "", 0, 0
     while i < len(pattern):
         c, size, plain = pattern[i], 1, None
         if c == "\\":
             size = 2
-            if not pattern[i + 1].isalnum():
-                plain = pattern[i + 1]
+            sign = pattern[i + 1 : i + 2]
+            if sign.isalnum() and sign not in SIMPLE_ESCAPES:
+                return []
+            if not sign.isalnum():
+                plain = sign
         elif c == "[":
-            size = pattern.index("]", i + 2) - i + 1
+            end = _class_end(pattern, i)
+            if end < 0:
+                return []
+            size = end - i
+        elif c == "{":
+            end = pattern.find("}", i)
+            if end < 0:
+                return []
+            size = end - i + 1
         elif c in "()":
             depth += 1 if c == "(" else -1
         elif c == "|" and depth == 0:
             return []
-        elif c not in ".^$|?*+{}":
+        elif c not in ".^$|?*+}":
             plain = c
         after = pattern[i + size : i + size + 1]
-        if plain is not None and depth == 0 and after not in ("?", "*", "{"):
+        if plain is not None and plain.isascii() and depth == 0 and after not in ("?", "*", "{"):
             run += plain.lower()
             if after == "+":
                 runs.append(run)
@@ -84,16 +118,6 @@ def any_word(words: set[str]) -> str:
     return f"{body}?" if "" in words else body
 
 
-def entry(pattern: str, **fields) -> dict:
-    """A pattern with its key and all the texts its matches must hold."""
-    return {**fields, "pattern": pattern, "key": key_of(pattern), "texts": required_texts(pattern)}
-
-
-def literal(entries: list[dict], fields: str) -> Column:
-    """Entries as one constant array; ``fields`` are the columns besides pattern, key and texts."""
-    return F.from_json(F.lit(json.dumps(entries)), f"array<struct<{fields},pattern:string,key:string,texts:array<string>>>")
-
-
 def searchable(df: DataFrame, text: str) -> DataFrame:
     """Adds the text in lower case, where ``possible`` looks for required texts."""
     folding = reduce(lambda a, b: a | b, [F.col(text).contains(c) for c in FOLDING])
@@ -111,30 +135,33 @@ def with_keys(df: DataFrame, patterns: Sequence[str]) -> DataFrame:
     return computed_once(df, __keys=F.array_distinct(keys))
 
 
-def named(entries: Column) -> Column:
-    """Entries whose key is among ``__keys``, or that have none."""
-    return F.filter(entries, lambda e: F.col("__folding") | (e["key"] == "") | F.exists("__keys", lambda k: k.startswith(e["key"])))
+def named(patterns: Sequence[str]) -> list[Column]:
+    """For each pattern: its key is among ``__keys``, or it has none."""
 
+    def here(key: str) -> Column:
+        return F.col("__folding") | F.exists("__keys", lambda k: k.startswith(key)) if key else F.lit(True)
 
-def matching(text: Column, entries: Column) -> Column:
-    """Entries whose pattern occurs in a ``searchable`` text; it is only tried where its texts are."""
-    low = F.col("__low")
-    possible = F.filter(entries, lambda e: F.col("__folding") | F.forall(e["texts"], lambda x: low.contains(x)))
-    return F.filter(possible, lambda e: F.call_function("rlike", text, F.concat(F.lit("(?iu)"), e["pattern"])))
+    return [here(key_of(p)) for p in patterns]
 
 
-CANDIDATES = "__candidates"
+def matching(text: Column, patterns: Sequence[str], values: Sequence[Column], wanted: Sequence[Column]) -> Column:
+    """Values of the patterns that occur in a ``searchable`` text, as an array.
+
+    Each pattern is a constant of the plan, compiled once, and only tried where it is wanted and its texts are.
+    """
+    tests = []
+    for pattern, value, want in zip(patterns, values, wanted):
+        texts = [F.col("__low").contains(x) for x in required_texts(pattern)]
+        possible = (F.col("__folding") | reduce(lambda a, b: a & b, texts)) if texts else F.lit(True)
+        tests.append(F.when(want & possible & text.rlike(f"(?iu){pattern}"), value))
+    return F.array_compact(F.array(*tests))
 
 
-def _entries(rules: Sequence[Rule]) -> Column:
-    rows = [(r, i, p) for r in rules for i, p in enumerate(r.patterns)]
-    return literal(
-        [entry(p, place=n, rule_id=r.rule_id, rule_name=r.name, severity=r.severity, pattern_idx=i) for n, (r, i, p) in enumerate(rows)],
-        "place:int,rule_id:string,rule_name:string,severity:string,pattern_idx:long")
+CANDIDATES = "__candidates"
 
 
-def _patterns(rules: Sequence[Rule]) -> list[str]:
-    return [p for r in rules for p in r.patterns]
+def _rows(rules: Sequence[Rule]) -> list[tuple[Rule, int, str]]:
+    return [(r, i, p) for r in rules for i, p in enumerate(r.patterns)]
 
 
 def with_candidates(documents: DataFrame, rules: Sequence[Rule], text: str = "text") -> DataFrame:
@@ -143,23 +170,28 @@ def with_candidates(documents: DataFrame, rules: Sequence[Rule], text: str = "te
     Lines taken from such documents are searched for these patterns only, and documents
     without any are left out of ``scan_lines`` before they are cut into lines.
     """
-    ready = with_keys(searchable(documents, text), _patterns(rules))
-    places = F.transform(named(_entries(rules)), lambda e: e["place"])
+    patterns = [p for _, _, p in _rows(rules)]
+    ready = with_keys(searchable(documents, text), patterns)
+    places = F.array_compact(F.array(*[F.when(can, F.lit(n)) for n, can in enumerate(named(patterns))]))
     return computed_once(ready, **{CANDIDATES: places}).select(*documents.columns, CANDIDATES)
 
 
 def scan_lines(lines: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row per line and pattern that matches anywhere in it."""
-    entries = _entries(rules)
+    rows = _rows(rules)
     keep = [c for c in lines.columns if c != CANDIDATES]
     if CANDIDATES in lines.columns:
-        ready = searchable(lines.where(F.size(CANDIDATES) > 0), "line")
-        entries = F.transform(CANDIDATES, lambda i: F.get(entries, i))
+        lines = lines.where(F.size(CANDIDATES) > 0)
+        wanted = [F.array_contains(CANDIDATES, n) for n in range(len(rows))]
     else:
-        ready = with_keys(searchable(lines, "line"), _patterns(rules))
-        entries = named(entries)
-    found = ready.select(*keep, F.explode(matching(F.col("line"), entries)).alias("hit"))
-    return found.select(*keep, "hit.*").drop("place", "key", "texts")
+        wanted = [F.lit(True)] * len(rows)
+    values = [
+        F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.name).alias("rule_name"), F.lit(r.severity).alias("severity"),
+                 F.lit(i).cast("long").alias("pattern_idx"), F.lit(p).alias("pattern"))
+        for r, i, p in rows
+    ]
+    found = searchable(lines, "line").select(*keep, F.explode(matching(F.col("line"), [p for *_, p in rows], values, wanted)).alias("hit"))
+    return found.select(*keep, "hit.*")
 
 
 def match_details(findings: DataFrame) -> DataFrame:

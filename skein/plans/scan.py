@@ -62,12 +62,13 @@ def _(t):
 
 
 CUSTOM = [("LIC1", "licence line", "info", 0, r"licensed\s+under|released\s+under"), ("PII1", "e-mail address", "medium", 0, r"[a-z0-9._]+@[a-z0-9.]+\.[a-z]+"),
-          ("PII1", "e-mail address", "medium", 1, r"\b\d{3}-\d{2}-\d{4}\b")]
+          ("PII1", "e-mail address", "medium", 1, r"\b\d{3}-\d{2}-\d{4}\b"), ("PII2", "phone number", "low", 0, r"\(\d{3}\)\s\d{3}-\d{4}\b"),
+          ("PII2", "phone number", "low", 1, r"\x2b1\s[(]\d{3}[)]")]
 
 
 @query("x1_custom_rule_pack", W + f"""
 SELECT unit, path, line_no, rule_id, pattern_idx FROM {hits_sql(
-    (V.Rule("LIC1", "", "info", (CUSTOM[0][4],)), V.Rule("PII1", "", "medium", (CUSTOM[1][4], CUSTOM[2][4]))), 'cl')}""")
+    (V.Rule("LIC1", "", "info", (CUSTOM[0][4],)), V.Rule("PII1", "", "medium", (CUSTOM[1][4], CUSTOM[2][4])), V.Rule("PII2", "", "low", (CUSTOM[3][4], CUSTOM[4][4]))), 'cl')}""")
 def _(t):
     rows = t.spark.createDataFrame(CUSTOM, "rule_id string, rule_name string, severity string, pattern_idx int, pattern string")
     pack = S.pack_from_rows(rows)

@@ -166,11 +166,6 @@ def test_commands(spark):
     assert {r.c: r.y for r in df.collect()} == cases
 
 
-def test_pack_size_is_checked(spark):
-    rows = spark.range(S.MAX_PACK + 1).select(F.lit("r").alias("rule_id"), F.lit("n").alias("rule_name"), F.lit("low").alias("severity"), F.col("id").alias("pattern_idx"), F.lit("x").alias("pattern"))
-    with pytest.raises(ValueError):
-        S.pack_from_rows(rows)
-
 
 def test_any_word_finds_the_longest():
     words = {"run", "rm", "system", "system(", "-rf", "."}
@@ -178,3 +173,39 @@ def test_any_word_finds_the_longest():
     for w in words:
         assert pattern.fullmatch(w), w
     assert pattern.match("system(x").group() == "system(" and pattern.match("rux") is None
+
+
+PIECES = ["a", "b", "ab", "-", r"\d", r"\w", r"[ab]", r"[^\]]", r"[a[b]]", r"(a|b)", r"(?:ab)", r"\-", r"\x41", r"a\.b", "é", r"\s", "."]
+TAILS = ["", "", "", "?", "*", "+", "{2}", "{0,2}", "{1,}", "+?", "{2}?"]
+
+
+def test_scanning_equals_plain_regular_expressions(spark):
+    """Random patterns over random lines: no finding is lost to the texts that are looked for first."""
+    import random
+
+    rng = random.Random(11)
+    special = [r"\b\d{3}-\d{2}-\d{4}\b", "ab{2,3}c", r"\x41KIA", r"Ab", r"\Qa.b\E", "(?x)a b", r"(a)\1", r"[^\]]+b", "(?i)AB", r"\p{L}b", "k", "a|b", "[]a]b"]
+    patterns = special + ["".join(rng.choice(PIECES) + rng.choice(TAILS) for _ in range(rng.randint(1, 4))) for _ in range(150)]
+    lines = ["ssn 111-11-1111 here", "abbc abbbc", "AKIA", "Ab", "a.b", "ab", "aa", "]b", "K", "k", "é", ""]
+    lines += ["".join(rng.choices(["a", "b", "A", "B", "-", "1", "2", ".", "]", " ", "é", "İ", "c"], k=rng.randint(0, 12))) for _ in range(60)]
+    df = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "n int, line string")
+    good = []
+    for p in patterns:
+        try:
+            spark.range(1).select(F.lit("x").rlike(f"(?iu){p}")).collect()
+            good.append(p)
+        except Exception:
+            assert p not in special[:9]
+    pack = (S.Rule("R", "r", "info", tuple(good)),)
+    want = sorted((r["n"], i) for r in df.select("n", *[F.col("line").rlike(f"(?iu){p}").alias(f"p{i}") for i, p in enumerate(good)]).collect() for i in range(len(good)) if r[f"p{i}"])
+    assert sorted((r["n"], r["pattern_idx"]) for r in S.scan_lines(df, pack).collect()) == want
+    marked = S.with_candidates(df.withColumn("text", F.col("line")), pack)
+    assert sorted((r["n"], r["pattern_idx"]) for r in S.scan_lines(marked, pack).collect()) == want
+    assert len(want) > 500
+
+
+def test_a_large_pack_is_refused_not_cut(spark):
+    rows = spark.createDataFrame([(f"r{i}", "n", "info", 0, f"p{i}") for i in range(5)], "rule_id string, rule_name string, severity string, pattern_idx int, pattern string")
+    assert len(S.pack_from_rows(rows, most=5)) == 5
+    with pytest.raises(ValueError):
+        S.pack_from_rows(rows, most=4)
