@@ -1,5 +1,7 @@
 """Word lists and enumerations of document decomposition."""
 
+from typing import NamedTuple
+
 # They must equal the decomposition rules for classes to agree.
 
 ACTION_VERBS = (
@@ -91,8 +93,22 @@ FAIL_ACTION_SYNONYMS = {
     "continue": "branch",
     "transform": "branch",
 }
-KIND_CAPS = {"action": 15, "rule": 10, "directive": 10}
-COMMANDS_PER_DOCUMENT = 5
+
+
+class Limits(NamedTuple):
+    """Elements per kind and commands of a document, characters that tell texts apart, and lengths of texts."""
+
+    kinds: dict[str, int]
+    commands: int
+    start: int
+    action_name: int
+    text: int
+    command: int
+    condition: int
+
+
+# The limits the published decomposition sets for one file. Nothing is cut unless a caller passes them.
+FILE_LIMITS = Limits({"action": 15, "rule": 10, "directive": 10}, 5, 50, 60, 150, 100, 80)
 
 EXPECTED_ACTION_TYPES = ("io_read", "io_write", "transform", "external_call", "await_input")
 

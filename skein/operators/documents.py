@@ -150,8 +150,8 @@ def manifest_overlap(manifest: DataFrame) -> DataFrame:
     return manifest.select("doc_id", F.explode(F.array_intersect("include", "exclude")).alias("directive_id"))
 
 
-def document_text(title: Column, name: Column, description: Column, actions: Column, rules: Column, directives: Column) -> Column:
-    """Text form of a document for search and embedding."""
+def document_text(title: Column, name: Column, description: Column, actions: Column, rules: Column, directives: Column, length: int | None = None) -> Column:
+    """Text form of a document for search and embedding; ``length`` may bound the content of a directive."""
     head = F.when(F.coalesce(title, F.lit("")) != "", F.concat(F.lit("Skill: "), title)).when(
         F.coalesce(name, F.lit("")) != "", F.concat(F.lit("Skill: "), name))
     about = F.when(F.coalesce(description, F.lit("")) != "", F.concat(F.lit("Description: "), description))
@@ -171,8 +171,9 @@ def document_text(title: Column, name: Column, description: Column, actions: Col
     def directive(d: Column) -> Column:
         title_ = F.coalesce(d["name"], d["description"], d["id"], F.lit(""))
         content = F.coalesce(d["description"], title_)
-        cut = F.when(F.length(content) > 200, F.concat(F.substring(content, 1, 200), F.lit("..."))).otherwise(content)
-        return F.concat(F.coalesce(d["directive_type"], F.lit("unknown")), F.lit(": "), title_, F.lit(" - "), cut)
+        if length is not None:
+            content = F.when(F.length(content) > length, F.concat(F.substring(content, 1, length), F.lit("..."))).otherwise(content)
+        return F.concat(F.coalesce(d["directive_type"], F.lit("unknown")), F.lit(": "), title_, F.lit(" - "), content)
 
     return F.concat_ws(" | ", head, about, part("Actions", actions, action), part("Rules", rules, rule),
                        part("Directives", directives, directive))
@@ -191,14 +192,14 @@ def migrate_versions(documents: DataFrame, columns: dict[str, tuple[str, str, bo
     return documents.withColumn("changed", changed).withColumns(new_columns)
 
 
-def build_documents(records: DataFrame) -> DataFrame:
-    """Document rows from record rows (skill_id, name, description, source)."""
+def build_documents(records: DataFrame, length: int | None = None) -> DataFrame:
+    """Document rows from record rows (skill_id, name, description, source); ``length`` may bound the description."""
     described = F.col("description")
     return records.select(
         F.struct(
             F.concat(F.lit("claude__skill__"), F.col("skill_id")).alias("skill_id"), "name",
             F.lit("claude_skill").alias("skill_layer"), F.concat(F.initcap("name"), F.lit(" Skill")).alias("title"),
-            F.substring(described, 1, 200).alias("description"), F.lit(V.SCHEMA_VERSION).alias("schema_version"),
+            (described if length is None else F.substring(described, 1, length)).alias("description"), F.lit(V.SCHEMA_VERSION).alias("schema_version"),
         ).alias("meta"),
         F.struct(
             F.col("source").alias("source"), F.col("name").alias("skill_name"), described.alias("skill_description")

@@ -37,7 +37,7 @@ def effective_skills(skills: DataFrame, revisions: DataFrame) -> DataFrame:
     return j.select(*columns, *[F.col(f"rev_{c}").alias(c) for c in extra])
 
 
-def list_skills(effective: DataFrame, status: str | None = None, risk_level: str | None = None, limit: int = 100) -> DataFrame:
+def list_skills(effective: DataFrame, status: str | None = None, risk_level: str | None = None, *, limit: int) -> DataFrame:
     """Newest update first; the filters see effective values."""
     if status is not None:
         effective = effective.where(F.col("status") == status)
@@ -107,7 +107,7 @@ def review_bucket() -> Column:
     )
 
 
-def review_queue(effective: DataFrame, limit: int = 100) -> DataFrame:
+def review_queue(effective: DataFrame, limit: int) -> DataFrame:
     return list_skills(effective, status="pending", limit=limit).withColumn("bucket", review_bucket())
 
 
@@ -227,7 +227,7 @@ def latest_per_skill(history: DataFrame, at: str, ident: str, n: int = 1) -> Dat
     return top_n(history, ["skill_id"], [F.desc(at), F.desc(ident)], n)
 
 
-def recent_scans(scans: DataFrame, per_skill: int = 5, total: int = 100) -> DataFrame:
+def recent_scans(scans: DataFrame, per_skill: int, total: int) -> DataFrame:
     """K5: a few scans per skill, then the newest of all."""
     return (
         latest_per_skill(scans, "scanned_at", "scan_id", per_skill)
@@ -310,9 +310,9 @@ def distribution(df: DataFrame, column: str, domain: tuple[str, ...]) -> DataFra
     return counts.unpivot([], list(domain), "level", "rows")
 
 
-def findings_by_rule(scans: DataFrame, last: int = 10) -> DataFrame:
-    """A5: findings per rule over the newest scans of each skill, first seen name and severity."""
-    recent = latest_per_skill(scans, "scanned_at", "scan_id", last)
+def findings_by_rule(scans: DataFrame, last: int | None = None) -> DataFrame:
+    """A5: findings per rule over all scans, or the ``last`` of each skill, first seen name and severity."""
+    recent = scans if last is None else latest_per_skill(scans, "scanned_at", "scan_id", last)
     found = recent.select("scanned_at", "scan_id", F.posexplode(parsed_findings(F.col("findings_json"))).alias("pos", "f"))
     order = F.struct("scanned_at", "scan_id", "pos")
     rule = F.coalesce(F.col("f.rule_id"), F.lit("unknown"))

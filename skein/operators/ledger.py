@@ -324,7 +324,7 @@ def effective_status(now: Column) -> Column:
     return F.when(F.col("status").isin("pending", "approved") & late, "expired").otherwise(F.col("status"))
 
 
-def approval_queue(items: DataFrame, now: Column, status: str | None = None, limit: int = 100) -> DataFrame:
+def approval_queue(items: DataFrame, now: Column, status: str | None = None, *, limit: int) -> DataFrame:
     """Items with the derived status, then the status filter, then the first page."""
     found = items.withColumn("status", effective_status(now))
     if status is not None:

@@ -94,11 +94,12 @@ def cooccurrence_members(elements: DataFrame, patterns: DataFrame) -> DataFrame:
     ).select("pattern_id", "doc_id")
 
 
-def directive_usage(elements: DataFrame, documents: int | Column, examples: int = 3) -> DataFrame:
-    """Items per directive type against all documents, documents that hold it, first examples."""
+def directive_usage(elements: DataFrame, documents: int | Column, examples: int = 3, length: int | None = None) -> DataFrame:
+    """Items per directive type against all documents, documents that hold it, first examples, whole unless a length is given."""
+    example = F.coalesce("description", F.lit(""))
     d = elements.where(F.col("kind") == "directive").select(
         "doc_id", "element_id", F.coalesce("element_type", F.lit("unknown")).alias("directive_type"),
-        F.substring(F.coalesce("description", F.lit("")), 1, 100).alias("example"),
+        (example if length is None else F.substring(example, 1, length)).alias("example"),
     )
     usage = d.groupBy("directive_type").agg(
         F.count(F.lit(1)).alias("items"), F.countDistinct("doc_id").alias("documents")

@@ -141,31 +141,35 @@ def classified_items(items: DataFrame) -> DataFrame:
     return X.computed_once(clean, kind=item_kind()).where(F.col("kind").isNotNull())
 
 
-def keep_first(df: DataFrame, keys: list[str], text: Column, order: list) -> DataFrame:
-    """The first row per lower-case start of a text (50 characters)."""
+def cut(text: Column, length: int | None) -> Column:
+    return text if length is None else F.substring(text, 1, length)
+
+
+def keep_first(df: DataFrame, keys: list[str], text: Column, order: list, start: int | None = None) -> DataFrame:
+    """The first row per lower-case text, or per start of it if a length is given."""
     w = Window.partitionBy(*keys, "__start").orderBy(*order)
     return (
-        df.withColumn("__start", F.lower(F.substring(text, 1, 50))).withColumn("__rn", F.row_number().over(w))
+        df.withColumn("__start", F.lower(cut(text, start))).withColumn("__rn", F.row_number().over(w))
         .where(F.col("__rn") == 1).drop("__rn", "__start")
     )
 
 
-def element_ids(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """a_001, r_001, d_001 .. by place, up to the cap of the kind."""
+def element_ids(df: DataFrame, keys: list[str], order: list, kinds: dict[str, int] | None = None) -> DataFrame:
+    """a_001, r_001, d_001 .. by place; ``kinds`` may set how many of a kind stay."""
     w = Window.partitionBy(*keys, "kind").orderBy(*order)
-    cap = F
-    for kind, n in V.KIND_CAPS.items():
-        cap = cap.when(F.col("kind") == kind, n)
-    ranked = df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= cap)
+    ranked = df.withColumn("__rn", F.row_number().over(w))
+    for kind, n in (kinds or {}).items():
+        ranked = ranked.where((F.col("kind") != kind) | (F.col("__rn") <= n))
     return ranked.withColumn("element_id", F.format_string("%s_%03d", F.substring("kind", 1, 1), F.col("__rn"))).drop("__rn")
 
 
-def decompose(documents: DataFrame, key: str) -> DataFrame:
+def decompose(documents: DataFrame, key: str, limits: V.Limits | None = None) -> DataFrame:
     """Typed elements of each document, as rows.
 
-    Commands come before the items of the sections. Texts are cut to 60 (action name),
-    80 (condition), 100 (command) and 150 characters.
+    Commands come before the items of the sections. Every element is given, with its
+    whole texts, unless ``limits`` are passed.
     """
+    most = limits or V.Limits({}, None, None, None, None, None, None)
     body = documents.select(key, X.body_text(F.col("text")).alias("text"))
     lines = X.computed_once(lines_with_context(body, key), item=item_text())
     command = F.col("in_code") & ~F.col("is_fence") & X.is_command(F.col("item"))
@@ -177,25 +181,26 @@ def decompose(documents: DataFrame, key: str) -> DataFrame:
     found = kinds.where(kind.isNotNull()).select(
         key, "line_no", F.when(F.col("command"), 0).otherwise(1).alias("part"), "kind",
         F.when(F.col("command"), F.concat(F.lit("Run "), F.regexp_extract("item", r"^(\S+)", 1)))
-        .when(kind == "action", F.substring(clean, 1, 60)).otherwise(F.substring(clean, 1, 150)).alias("name"),
-        F.substring(clean, 1, F.when(F.col("command"), 100).otherwise(150)).alias("description"),
+        .when(kind == "action", cut(clean, most.action_name)).otherwise(cut(clean, most.text)).alias("name"),
+        F.when(F.col("command"), cut(clean, most.command)).otherwise(cut(clean, most.text)).alias("description"),
         F.when(F.col("command"), "external_call").when(kind == "action", X.action_type(clean))
         .when(kind == "directive", X.directive_type(clean)).alias("element_type"),
-        F.when(kind == "rule", F.when(F.col("heading") != "", F.substring(F.lower("heading"), 1, 80)).otherwise("general")).alias("condition"),
+        F.when(kind == "rule", F.when(F.col("heading") != "", cut(F.lower("heading"), most.condition)).otherwise("general")).alias("condition"),
     )
-    # One shuffle by document serves all three windows.
+    # One shuffle by document serves all windows.
     order = ["part", "line_no"]
-    place = Window.partitionBy(key, "part").orderBy("line_no")
-    found = found.repartition(F.col(key)).withColumn("__rn", F.row_number().over(place)).where(
-        (F.col("part") == 1) | (F.col("__rn") <= V.COMMANDS_PER_DOCUMENT)).drop("__rn")
-    found = keep_first(found, [key, "kind"], F.col("name"), order)
-    return element_ids(found, [key], order).select(
+    found = found.repartition(F.col(key))
+    if most.commands is not None:
+        place = Window.partitionBy(key, "part").orderBy("line_no")
+        found = found.withColumn("__rn", F.row_number().over(place)).where((F.col("part") == 1) | (F.col("__rn") <= most.commands)).drop("__rn")
+    found = keep_first(found, [key, "kind"], F.col("name"), order, most.start)
+    return element_ids(found, [key], order, most.kinds).select(
         key, "kind", "element_id", "line_no", "name", "description", "element_type", "condition"
     )
 
 
 def decomposed_documents(documents: DataFrame, key: str) -> DataFrame:
-    """One nested row per document; the caps bound each array."""
+    """One nested row per document, with the elements of that document."""
     def part(kind: str, *fields) -> Column:
         return F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct(F.col("element_id").alias("id"), *fields))))
 
@@ -255,8 +260,8 @@ def delegations(documents: DataFrame, key: str) -> DataFrame:
     return documents.select(key, F.explode(node).alias("node")).select(key, "node.signal", "node.agent")
 
 
-def analysis_findings(refs: DataFrame, commands: DataFrame, signals: DataFrame, key: str) -> DataFrame:
-    """Findings of four kinds per document."""
+def analysis_findings(refs: DataFrame, commands: DataFrame, signals: DataFrame, key: str, command_length: int | None = None) -> DataFrame:
+    """Findings of four kinds per document; commands are named in full unless a length is given."""
     def finding(df: DataFrame, title: Column, category: str, severity: Column, confidence: str, advice: str) -> DataFrame:
         return df.select(
             key, title.alias("title"), F.lit(category).alias("category"), severity.alias("severity"),
@@ -270,7 +275,7 @@ def analysis_findings(refs: DataFrame, commands: DataFrame, signals: DataFrame,
     )
     risky = finding(
         commands.where(F.col("risk_grade").isin("medium", "high")),
-        F.concat(F.lit("Authority-bearing command: "), F.substring("command", 1, 60)),
+        F.concat(F.lit("Authority-bearing command: "), cut(F.col("command"), command_length)),
         "execution_authority", F.col("risk_grade"), "high", "review_before_run",
     )
     delegated = finding(

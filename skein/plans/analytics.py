@@ -114,7 +114,7 @@ def _(t):
 @query("a14_directive_usage", EL + """
 , d AS (SELECT *, coalesce(element_type, 'unknown') AS directive_type, row_number() OVER (PARTITION BY element_type ORDER BY doc_id, element_id) rn FROM el WHERE kind = 'directive')
 SELECT directive_type, count(*) AS items, count(DISTINCT doc_id) AS documents,
-  string_agg(left(description, 100), ' | ' ORDER BY rn) FILTER (rn <= 3) AS examples, round(count(*) / (SELECT count(DISTINCT doc_id) FROM el), 6) AS frequency
+  string_agg(description, ' | ' ORDER BY rn) FILTER (rn <= 3) AS examples, round(count(*) / (SELECT count(DISTINCT doc_id) FROM el), 6) AS frequency
 FROM d GROUP BY directive_type""")
 def _(t):
     e = elements(t)
@@ -339,7 +339,7 @@ def _(t):
 
 
 @query("s13_built_documents", """
-SELECT 'claude__skill__' || c_custkey AS skill_id, 'Customer#' || substr(c_name, 10) || ' Skill' AS title, left(repeat(c_mktsegment || ' ', 30), 200) AS description,
+SELECT 'claude__skill__' || c_custkey AS skill_id, 'Customer#' || substr(c_name, 10) || ' Skill' AS title, repeat(c_mktsegment || ' ', 30) AS description,
   'customer/' || c_custkey AS source FROM customer""")
 def _(t):
     records = t.customer.select(
@@ -412,8 +412,8 @@ tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
 p AS (SELECT a.doc_id AS left_id, b.doc_id AS right_id FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
 s AS (SELECT left_id, right_id, left_id AS doc_id, 1 AS side FROM p UNION ALL SELECT left_id, right_id, right_id, 2 FROM p),
 v AS (SELECT left_id, right_id, term, coalesce(sum(tf) FILTER (side = 1), 0) AS t1, coalesce(sum(tf) FILTER (side = 2), 0) AS t2 FROM s JOIN tf USING (doc_id) GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY left_id, right_id ORDER BY t1 + t2 DESC, term) AS rn, ln(3.0 / (1 + (t1 > 0)::INT + (t2 > 0)::INT)) + 1 AS idf FROM v),
-q AS (SELECT left_id, right_id, sum(t1 * t2 * idf * idf) / nullif(sqrt(sum(t1 * t1 * idf * idf)) * sqrt(sum(t2 * t2 * idf * idf)), 0) AS c FROM r WHERE rn <= 1000 GROUP BY ALL)
+r AS (SELECT *, ln(3.0 / (1 + (t1 > 0)::INT + (t2 > 0)::INT)) + 1 AS idf FROM v),
+q AS (SELECT left_id, right_id, sum(t1 * t2 * idf * idf) / nullif(sqrt(sum(t1 * t1 * idf * idf)) * sqrt(sum(t2 * t2 * idf * idf)), 0) AS c FROM r GROUP BY ALL)
 SELECT p.left_id, p.right_id, round(coalesce(c, 0.0), 6)::DOUBLE AS tfidf_similarity FROM p LEFT JOIN q USING (left_id, right_id)""")
 def _(t):
     d = t.spread("documents").select("doc_id", "text")

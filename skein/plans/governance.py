@@ -207,7 +207,7 @@ def _(t):
 SELECT skill_id, name, status, risk_level FROM eff WHERE status = 'approved' AND risk_level = 'high'
 ORDER BY updated_at DESC, skill_id LIMIT 100""")
 def _(t):
-    return G.list_skills(effective(t), "approved", "high").select("skill_id", "name", "status", "risk_level")
+    return G.list_skills(effective(t), "approved", "high", limit=100).select("skill_id", "name", "status", "risk_level")
 
 
 @query("p3_dashboard_page", STORE + """
@@ -264,7 +264,7 @@ def _(t):
 SELECT skill_id, risk_level, CASE WHEN risk_level IN ('safe','low') THEN 'quick' WHEN risk_level IN ('medium','high','critical') THEN 'careful' ELSE 'other' END AS bucket
 FROM eff WHERE status = 'pending' ORDER BY updated_at DESC, skill_id LIMIT 100""")
 def _(t):
-    return G.review_queue(effective(t)).select("skill_id", "risk_level", "bucket")
+    return G.review_queue(effective(t), 100).select("skill_id", "risk_level", "bucket")
 
 
 @query("p10_rescan_candidates", STORE + "SELECT skill_id, risk_level FROM eff WHERE risk_level IN ('high','critical','blocked')")
@@ -387,7 +387,7 @@ def _(t):
 SELECT skill_id, scan_id FROM (SELECT *, row_number() OVER (PARTITION BY skill_id ORDER BY scanned_at DESC, scan_id DESC) rn FROM scans)
 WHERE rn <= 5 ORDER BY scanned_at DESC, scan_id DESC LIMIT 100""")
 def _(t):
-    return G.recent_scans(scans(t)).select("skill_id", "scan_id")
+    return G.recent_scans(scans(t), 5, 100).select("skill_id", "scan_id")
 
 
 @query("w16_rescan_deltas", "WITH " + SCANS + """
@@ -447,9 +447,8 @@ def _(t):
 
 
 @query("a5_findings_by_rule", "WITH " + SCANS + """
-, r AS (SELECT scan_id FROM (SELECT scan_id, row_number() OVER (PARTITION BY skill_id ORDER BY scanned_at DESC, scan_id DESC) rn FROM scans) WHERE rn <= 10)
 SELECT rule_id, arg_min(coalesce(rule_name, rule_id), (scanned_at, scan_id, position)) AS rule_name,
-  arg_min(severity, (scanned_at, scan_id, position)) AS severity, count(*) AS findings FROM found JOIN r USING (scan_id) GROUP BY rule_id""")
+  arg_min(severity, (scanned_at, scan_id, position)) AS severity, count(*) AS findings FROM found GROUP BY rule_id""")
 def _(t):
     return G.findings_by_rule(scans(t))
 

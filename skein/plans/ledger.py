@@ -311,7 +311,7 @@ def _(t):
 SELECT item_id, run_id, kind, status FROM x WHERE status = 'expired' ORDER BY created_at, item_id LIMIT 100""")
 def _(t):
     now = F.lit(NOW).cast("timestamp_ntz")
-    return L.approval_queue(hitl_items(t), now, "expired").select("item_id", "run_id", "kind", "status")
+    return L.approval_queue(hitl_items(t), now, "expired", limit=100).select("item_id", "run_id", "kind", "status")
 
 
 @query("t41_effective_item_status", LEDGER_SQL + f"""

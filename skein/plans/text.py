@@ -60,19 +60,19 @@ kinds AS MATERIALIZED (SELECT *, CASE WHEN is_rule AND NOT dsec THEN 'rule' WHEN
 """
 ELEMENTS = CLASSIFIED + f""",
 found AS (
-  SELECT doc_id, line_no, 0 AS part, 'action' AS kind, 'Run ' || regexp_extract(command, '^(\\S+)', 1) AS name, left(command, 100) AS description,
+  SELECT doc_id, line_no, 0 AS part, 'action' AS kind, 'Run ' || regexp_extract(command, '^(\\S+)', 1) AS name, command AS description,
     'external_call' AS element_type, NULL AS condition
-  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) rn FROM cmds) WHERE rn <= 5
+  FROM cmds
   UNION ALL
-  SELECT doc_id, line_no, 1, kind, left(clean, CASE WHEN kind = 'action' THEN 60 ELSE 150 END), left(clean, 150),
+  SELECT doc_id, line_no, 1, kind, clean, clean,
     CASE kind WHEN 'action' THEN {group_case('lower(clean)', V.ACTION_TYPE_KEYWORDS, V.DEFAULT_ACTION_TYPE)}
       WHEN 'directive' THEN {group_case('lower(clean)', V.DIRECTIVE_TYPE_KEYWORDS, V.DEFAULT_DIRECTIVE_TYPE)} END,
-    CASE WHEN kind = 'rule' THEN CASE WHEN heading <> '' THEN left(lower(heading), 80) ELSE 'general' END END
+    CASE WHEN kind = 'rule' THEN CASE WHEN heading <> '' THEN lower(heading) ELSE 'general' END END
   FROM kinds WHERE kind IS NOT NULL),
-firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, lower(left(name, 50)) ORDER BY part, line_no) rn FROM found) WHERE rn = 1),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, lower(name) ORDER BY part, line_no) rn FROM found) WHERE rn = 1),
 placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY part, line_no) AS place FROM firsts),
-elements AS MATERIALIZED (SELECT doc_id, kind, left(kind, 1) || '_' || lpad(place::VARCHAR, 3, '0') AS element_id, line_no, name, description, element_type, condition
-  FROM placed WHERE place <= CASE kind WHEN 'action' THEN 15 ELSE 10 END)
+elements AS MATERIALIZED (SELECT doc_id, kind, left(kind, 1) || '_' || lpad(place::VARCHAR, greatest(3, length(place::VARCHAR))::INTEGER, '0') AS element_id, line_no, name, description, element_type, condition
+  FROM placed)
 """
 
 
@@ -170,8 +170,7 @@ def _(t):
 def _(t):
     clean = F.col("clean")
     kinds = D.classified_items(D.section_items(md_lines(t)))
-    named = kinds.select("doc_id", "line_no", F.lit(1).alias("part"), "kind",
-                         F.when(F.col("kind") == "action", F.substring(clean, 1, 60)).otherwise(F.substring(clean, 1, 150)).alias("name"))
+    named = kinds.select("doc_id", "line_no", F.lit(1).alias("part"), "kind", clean.alias("name"))
     return D.keep_first(named, ["doc_id", "kind"], F.col("name"), ["part", "line_no"])
 
 
@@ -285,7 +284,7 @@ _ANALYSIS = "WITH " + COMMANDS + REFS.replace(MD_SQL, "") + SIGNALS
 @query("t18_analysis_findings", _ANALYSIS + """
 SELECT doc_id, 'Unresolved reference: ' || path AS title, 'reference_integrity' AS category, 'medium' AS severity, 'high' AS confidence,
   'resolve_reference' AS recommended_action FROM resolved WHERE NOT resolved
-UNION ALL SELECT doc_id, 'Authority-bearing command: ' || left(command, 60), 'execution_authority', risk_grade, 'high', 'review_before_run' FROM commands WHERE risk_grade <> 'low'
+UNION ALL SELECT doc_id, 'Authority-bearing command: ' || command, 'execution_authority', risk_grade, 'high', 'review_before_run' FROM commands WHERE risk_grade <> 'low'
 UNION ALL SELECT DISTINCT doc_id, 'Delegation path present', 'control_flow', 'info', 'high', 'confirm_scope' FROM signals
 UNION ALL SELECT doc_id, 'All supporting references are unresolved', 'hidden_dependency', 'medium', 'medium', 'document_dependency'
   FROM resolved GROUP BY doc_id HAVING NOT bool_or(resolved)""")

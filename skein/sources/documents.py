@@ -33,14 +33,18 @@ CORRUPT = "_corrupt_record"
 
 
 class SnapshotError(ValueError):
-    """A strict read met files that are no documents."""
+    """A strict read met files that are no documents; ``files`` has the name of each."""
+
+    def __init__(self, count: int, files: DataFrame):
+        super().__init__(f"{count} files are no documents, the first is {files.first()['filename']}")
+        self.count, self.files = count, files
 
 
 def read_documents(spark: SparkSession, folder: str, strict: bool = False, multiline: bool = True) -> DataFrame:
     """JSON documents with their file name.
 
     The tolerant reader leaves out what does not parse; the strict one rejects the whole
-    folder and names the files.
+    folder with an error that names every such file.
     """
     schema = T.StructType([*DOCUMENT.fields, T.StructField(CORRUPT, T.StringType())])
     docs = (
@@ -50,9 +54,9 @@ def read_documents(spark: SparkSession, folder: str, strict: bool = False, multi
     )
     bad = F.col(CORRUPT).isNotNull() | F.col("meta").isNull()
     if strict:
-        names = [r["filename"] for r in docs.where(bad).select("filename").distinct().orderBy("filename").limit(20).collect()]
-        if names:
-            raise SnapshotError(f"not a document: {', '.join(names)}")
+        files = docs.where(bad).select("filename").distinct().orderBy("filename")
+        if count := files.count():
+            raise SnapshotError(count, files)
     return docs.where(~bad).drop(CORRUPT)
 
 

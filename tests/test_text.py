@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
+from skein.functions import text_values as V
 from skein.operators import documents as N
 from skein.operators import licenses as L
 from skein.operators import text as D
@@ -67,8 +68,19 @@ def test_decomposition(docs):
 def test_caps_and_first_kept(spark):
     lines = [f"- You must verify item number {i} of the list" for i in range(30)] + ["- You must verify item number 0 of the LIST"]
     docs = spark.createDataFrame([(1, "# Rules\n" + "\n".join(lines))], "doc_id long, text string")
-    rows = D.decompose(docs, "doc_id").where("kind = 'rule'").orderBy("element_id").collect()
+    rows = D.decompose(docs, "doc_id", V.FILE_LIMITS).where("kind = 'rule'").orderBy("element_id").collect()
     assert [r.element_id for r in rows] == [f"r_{i:03d}" for i in range(1, 11)] and rows[0].line_no == 2
+    rows = D.decompose(docs, "doc_id").where("kind = 'rule'").orderBy("element_id").collect()
+    assert [r.element_id for r in rows] == [f"r_{i:03d}" for i in range(1, 31)]
+
+
+def test_texts_are_whole_unless_limits_are_passed(spark):
+    long = "You must verify " + "every item of the long list " * 20
+    docs = spark.createDataFrame([(1, f"# {'Heading ' * 20}\n- {long}\n```bash\npython {'x' * 200}\n```")], "doc_id long, text string")
+    whole = {r.kind: r for r in D.decompose(docs, "doc_id").collect()}
+    assert whole["rule"].description == long.strip() and len(whole["rule"].condition) > 100 and len(whole["action"].description) > 200
+    few = {r.kind: r for r in D.decompose(docs, "doc_id", V.FILE_LIMITS).collect()}
+    assert (len(few["rule"].description), len(few["rule"].condition), len(few["action"].description)) == (150, 80, 100)
 
 
 def test_references(docs, spark):
