@@ -17,7 +17,11 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Session settings, and this checkout on the path of Python workers (a cluster ships the package instead)."""
+    """Session settings, and this checkout on the path of Python workers (a cluster ships the package instead).
+
+    Batches of texts are held twice on their way to a worker, so they have fewer rows than usual.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     path = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in path.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)

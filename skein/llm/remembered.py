@@ -23,7 +23,7 @@ os.environ.setdefault("RAYON_NUM_THREADS", "2")
 #: Words per long text.
 TOGETHER = 4096
 #: Bytes of text that are worked on together.
-BATCH = 1 << 22
+BATCH = 1 << 21
 
 
 def slices(texts: pa.Array, most: int = BATCH) -> Iterator[pa.Array]:
@@ -48,7 +48,7 @@ class Words:
     """
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], starts: np.ndarray, dtype: str, marker: str, prefix: bool,
-                 check: Callable[[list[str], list[bytes]], list[bool]] | None = None, tails: dict[str, bytes] | None = None, most: int = 300_000) -> None:
+                 check: Callable[[list[str], list[bytes]], list[bool]] | None = None, tails: dict[str, bytes] | None = None, most: int = 250_000) -> None:
         self.encode, self.starts, self.dtype, self.marker, self.prefix, self.check, self.most = encode, starts, np.dtype(dtype), marker, prefix, check, most
         self.tails = tails or {}
         self.known: dict[str, bytes | None] = {}

@@ -95,7 +95,7 @@ class Codec:
 
             self.judge = sentencepiece.SentencePieceProcessor(model_file=path)
         simple = prefix and shape["pre_tokenizer"] is not None and {s["type"] for s in shape["normalizer"]["normalizers"]} == {"Prepend", "Replace"}
-        self.words = Words(self._raw, starts, "<u4", MARK, True, self._same if self.judge else None) if simple else None
+        self.words = Words(self._raw, starts, "<u4", MARK, True, self._same if self.judge else None, most=120_000) if simple else None
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
