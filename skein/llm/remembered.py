@@ -48,7 +48,7 @@ class Words:
     """
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], starts: np.ndarray, dtype: str, marker: str, prefix: bool,
-                 check: Callable[[list[str], list[bytes]], list[bool]] | None = None, tails: dict[str, bytes] | None = None, most: int = 250_000) -> None:
+                 check: Callable[[list[str], list[bytes]], list[bool]] | None = None, tails: dict[str, bytes] | None = None, most: int = 200_000) -> None:
         self.encode, self.starts, self.dtype, self.marker, self.prefix, self.check, self.most = encode, starts, np.dtype(dtype), marker, prefix, check, most
         self.tails = tails or {}
         self.known: dict[str, bytes | None] = {}
@@ -105,6 +105,7 @@ class Words:
             found = self._part(part)
             out += found[0]
             fine += found[1]
+        pa.default_memory_pool().release_unused()
         return out, fine
 
     def _part(self, texts: pa.Array) -> tuple[list[np.ndarray], list[bool]]:
