@@ -113,16 +113,17 @@ def mean_quality(per_query: DataFrame, subsets: DataFrame) -> DataFrame:
     ).withColumn("subset", F.coalesce("subset", F.lit("overall")))
 
 
-def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], cells: int = 4096) -> DataFrame:
+def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], cells: int = 64) -> DataFrame:
     """Exact percentile of each group: the value at place ceil(share * n).
 
-    Counts per cell of the value range find the cell of each place; only the values of those
-    cells are ranked, so no task holds the values of a whole group.
+    Cells end at approximate quantiles of the group, so outliers do not matter. Counts per cell find the cell of each place; only the
+    values of those cells are ranked, so no task holds the values of a whole group.
     """
     keys = list(keys)
-    stats = df.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count(value).alias("__n"))
-    part = F.try_divide(F.col(value) - F.col("__lo"), F.col("__hi") - F.col("__lo"))
-    rows = spread_join(df.where(F.col(value).isNotNull()), stats, keys).withColumn("__cell", F.floor(F.coalesce(part, F.lit(0.0)) * cells))
+    steps = [(i + 1) / cells for i in range(cells)]
+    stats = df.groupBy(*keys).agg(F.percentile_approx(value, steps).alias("__cuts"), F.count(value).alias("__n"))
+    cell = F.size(F.filter("__cuts", lambda c: c < F.col(value)))
+    rows = spread_join(df.where(F.col(value).isNotNull()), stats, keys).withColumn("__cell", cell)
     counts = rows.groupBy(*keys, "__cell", F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("__c"))
     sizes = counts.groupBy(*keys, "__cell").agg(F.sum("__c").alias("__size"))
     upto = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)

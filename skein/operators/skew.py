@@ -1,8 +1,8 @@
 """Joins, row numbers and neighbours that hold when one key owns a large share of the rows.
 
-At most MAX_HOT keys count as hot, those with the most rows, and only above HOT_ROWS rows.
-So the list of hot keys that is broadcast has a fixed bound, and a key outside of it holds
-less than 1/MAX_HOT of the rows. Without hot keys every operator here is its plain form.
+Every key is treated in the same way, in two levels: rows meet inside (key, part) or (key,
+bucket), and what the parts of a key need of each other is a small table of their counts or
+ends. There is no list of hot keys and no row count from which anything changes.
 """
 
 from __future__ import annotations
@@ -12,56 +12,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_HOT = 1000
-HOT_ROWS = 1_000_000
 SALTS = 64
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame:
-    """The hot keys of a frame with a ``__hot`` mark, at most MAX_HOT rows.
+def spread_join(facts: DataFrame, dims: DataFrame, on: Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Join facts to a side with few rows per key; the facts of a key are dealt to up to ``salts`` parts.
 
-    Costs one more pass over the key columns, so it suits frames close to a scan.
-    """
-    limit = HOT_ROWS if hot_rows is None else hot_rows
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > limit)
-        .orderBy(F.desc("__n"), *keys)
-        .limit(MAX_HOT)
-        .select(*keys, F.lit(True).alias("__hot"))
-    )
-
-
-def spread_join(
-    facts: DataFrame,
-    dims: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    hot_rows: int | None = None,
-) -> DataFrame:
-    """Join facts to a side with few rows per key, cutting hot keys in SALTS parts.
-
-    ``how`` is inner, left, left_semi or left_anti. Only the dims rows of hot keys
-    are repeated, SALTS times each.
+    ``how`` is inner, left, left_semi or left_anti. A dims row is repeated for the parts its key has
+    among the facts, so never more often than the key has facts.
     """
     on = list(on)
-    hot = F.broadcast(hot_keys(facts, on, hot_rows))
     rest = [c for c in facts.columns if c not in on]
     row_hash = F.xxhash64(*[F.col(c) for c in rest]) if rest else F.lit(0).cast("long")
-    part = F.when(F.col("__hot"), F.pmod(row_hash, F.lit(SALTS).cast("long"))).otherwise(F.lit(0).cast("long"))
-    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("__hot"), SALTS - 1).otherwise(0).cast("long")))
-    left = facts.join(hot, on, "left").withColumn("__part", part).drop("__hot")
-    right = dims.join(hot, on, "left").withColumn("__part", parts).drop("__hot")
+    left = facts.withColumn("__part", F.pmod(row_hash, F.lit(salts).cast("long")))
+    right = dims.join(left.select(*on, "__part").distinct(), on)
     return left.join(right, [*on, "__part"], how).drop("__part")
 
 
-def _in_buckets(df: DataFrame, keys: list[str], bucket: Column, hot_rows: int | None) -> DataFrame:
-    """Rows with ``__bucket``: the given one for hot keys, null (one bucket) for all others."""
-    marked = df.join(F.broadcast(hot_keys(df, keys, hot_rows)), keys, "left")
-    return marked.withColumn("__bucket", F.when(F.col("__hot"), bucket)).drop("__hot")
-
-
 def _same_bucket(rows: DataFrame, ends: DataFrame, keys: list[str]) -> DataFrame:
     """Left join on the keys and the bucket, where null is a bucket as well."""
     other = ends.select(*[F.col(c).alias(f"__k_{c}" if c in keys else c) for c in ends.columns if c != "__bucket"],
@@ -72,24 +39,16 @@ def _same_bucket(rows: DataFrame, ends: DataFrame, keys: list[str]) -> DataFrame
     return rows.join(other, condition, "left").drop("__b", *[f"__k_{key}" for key in keys])
 
 
-def numbered(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column | str],
-    bucket: Column,
-    name: str,
-    descending: bool = False,
-    hot_rows: int | None = None,
-) -> DataFrame:
-    """Row number per key; a hot key is numbered bucket by bucket.
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column, name: str, descending: bool = False) -> DataFrame:
+    """Row number per key, found bucket by bucket.
 
     ``bucket`` must rise with the order (a truncated timestamp, say; a struct of such
     columns if one is too coarse). A row's number is its place in the bucket plus the
-    rows in earlier buckets, so no task holds a hot key. Keys must not be null.
+    rows in earlier buckets, so no task holds a whole key. Keys must not be null.
     """
     keys = list(keys)
-    rows = _in_buckets(df, keys, bucket, hot_rows)
-    sizes = rows.where(F.col("__bucket").isNotNull()).groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    rows = df.withColumn("__bucket", bucket)
+    sizes = rows.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     step = F.col("__bucket").desc() if descending else F.col("__bucket").asc()
     earlier = Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "__bucket", F.sum("__n").over(earlier).alias("__before"))
@@ -100,23 +59,15 @@ def numbered(
     )
 
 
-def with_previous(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    bucket: Column,
-    columns: Sequence[str],
-    prefix: str = "prev_",
-    hot_rows: int | None = None,
-) -> DataFrame:
-    """Values of the row before, per key; a hot key is treated bucket by bucket.
+def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, columns: Sequence[str], prefix: str = "prev_") -> DataFrame:
+    """Values of the row before, per key, found bucket by bucket.
 
     The first row of a bucket takes the last row of the nearest earlier bucket.
     """
     keys, order = list(keys), list(order)
-    rows = _in_buckets(df, keys, bucket, hot_rows)
+    rows = df.withColumn("__bucket", bucket)
     value = F.struct(*columns)
-    last = rows.where(F.col("__bucket").isNotNull()).groupBy(*keys, "__bucket").agg(F.max_by(value, F.struct(*order)).alias("__end"))
+    last = rows.groupBy(*keys, "__bucket").agg(F.max_by(value, F.struct(*order)).alias("__end"))
     across = Window.partitionBy(*keys).orderBy("__bucket")
     ends = last.select(*keys, "__bucket", F.lag("__end").over(across).alias("__carry"))
     inside = Window.partitionBy(*keys, "__bucket").orderBy(*order)
