@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import math
 import sys
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,9 +19,8 @@ from skein.operators.skew import top_n
 # Task functions travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Queries travel to every task, at most this many at a time; a larger set is
-# searched block by block, one scan of the vectors each.
-QUERY_BLOCK = 4096
+# Vectors or queries per packed block.
+BLOCK = 2048
 
 
 def l2_distance(a: Column, b: Column) -> Column:
@@ -45,47 +42,71 @@ def nearest(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     )
 
 
-def _best_of_block(rows: Iterator[pd.DataFrame], ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
-    """k best per query of each Arrow batch: a matrix product finds who can be among them,
-    direct differences give their distances."""
-    square = (queries**2).sum(axis=1)
-    for batch in rows:
-        points = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-        point_ids = batch["id"].to_numpy()
-        rough = square[:, None] + (points**2).sum(axis=1)[None, :] - 2.0 * (queries @ points.T)
-        take = min(k, rough.shape[1])
-        limit = np.partition(rough, take - 1, axis=1)[:, take - 1] + 1e-6
-        q, p = np.nonzero(rough <= limit[:, None])
-        distance = np.sqrt(((points[p] - queries[q]) ** 2).sum(axis=1))
-        order = np.lexsort((point_ids[p], distance, q))
-        q, p, distance = q[order], p[order], distance[order]
-        place = np.arange(len(q)) - np.searchsorted(q, q)
-        keep = place < take
-        yield pd.DataFrame({"query_id": ids[q[keep]], "id": point_ids[p[keep]], "distance": distance[keep]})
-
-
-def _blockwise(points: DataFrame, queries: DataFrame, block: int, k: int, search) -> DataFrame:
-    blocks = max(1, math.ceil(queries.count() / block))
-    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    found = []
-    for b in range(blocks):
-        chosen = queries.select("query_id", "embedding").where(number == b).toPandas()
-        if chosen.empty:
-            continue
-        ids = chosen["query_id"].to_numpy()
-        matrix = np.stack(chosen["embedding"].to_numpy()).astype(np.float64)
-        found.append(points.mapInPandas(lambda rows, i=ids, m=matrix: search(rows, i, m), "query_id long, id long, distance double"))
-    if not found:
-        found = [points.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("distance")).where(F.lit(False))]
-    return top_n(reduce(DataFrame.unionByName, found), ["query_id"], ["distance", "id"], k)
-
-
-def knn(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def _packed(rows: DataFrame, key: str, ident: str, prefix: str, block: int) -> DataFrame:
+    """Rows (key, id, embedding) as blocks of at most ``block``: key, ids, cells, dimension as bytes and a number."""
+    salted = rows.select(F.col(key).alias("key"), F.col(ident).alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    salted = salted.repartition("key", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("key")
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, ids, cells = None, [], []
+
+        def out() -> pd.DataFrame:
+            matrix = np.stack(cells)
+            return pd.DataFrame({"key": [own], f"{prefix}ids": [np.array(ids, dtype="<i8").tobytes()], f"{prefix}cells": [matrix.tobytes()], f"{prefix}dim": [matrix.shape[1]]})
+
+        for batch in batches:
+            for k, i, e in zip(batch["key"], batch["id"], batch["embedding"]):
+                if ids and (k != own or len(ids) >= block):
+                    yield out()
+                    ids, cells = [], []
+                own = k
+                ids.append(i)
+                cells.append(np.asarray(e, dtype="<f8"))
+        if ids:
+            yield out()
+
+    return salted.mapInPandas(pack, f"key long, {prefix}ids binary, {prefix}cells binary, {prefix}dim int")
+
+
+def _best_of_block(ids: np.ndarray, queries: np.ndarray, point_ids: np.ndarray, points: np.ndarray, k: int) -> pd.DataFrame:
+    """k best points per query: a matrix product finds who can be among them, direct differences
+    give their distances."""
+    rough = (queries**2).sum(axis=1)[:, None] + (points**2).sum(axis=1)[None, :] - 2.0 * (queries @ points.T)
+    take = min(k, rough.shape[1])
+    limit = np.partition(rough, take - 1, axis=1)[:, take - 1] + 1e-6
+    q, p = np.nonzero(rough <= limit[:, None])
+    distance = np.sqrt(((points[p] - queries[q]) ** 2).sum(axis=1))
+    order = np.lexsort((point_ids[p], distance, q))
+    q, p, distance = q[order], p[order], distance[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    keep = place < take
+    return pd.DataFrame({"query_id": ids[q[keep]], "id": point_ids[p[keep]], "distance": distance[keep]})
+
+
+def _met(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Best k of all pairs of packed blocks with one key."""
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                ids, point_ids = np.frombuffer(r.q_ids, "<i8"), np.frombuffer(r.ids, "<i8")
+                yield _best_of_block(ids, np.frombuffer(r.q_cells, "<f8").reshape(len(ids), -1), point_ids, np.frombuffer(r.cells, "<f8").reshape(len(point_ids), -1), k)
+
+    found = points.join(queries, "key").mapInPandas(search, "query_id long, id long, distance double")
+    return top_n(found, ["query_id"], ["distance", "id"], k)
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, slots: int = 64) -> DataFrame:
     """V1: exact nearest k vectors for each query (query_id, embedding), by distance then id.
 
-    Every task reduces its vectors to k rows per query before the shuffle.
+    Vectors lie in ``slots`` by a hash of their id, in packed blocks; every packed block of queries is
+    sent to every slot, and each pair of blocks keeps k rows per query. Nothing passes the driver.
+    The work is queries times vectors, so the caller bounds the queries; for very many there is ``approximate_knn``.
     """
-    return _blockwise(vectors.select("id", "embedding"), queries, block, k, lambda rows, ids, matrix: _best_of_block(rows, ids, matrix, k))
+    slot = F.pmod(F.xxhash64("id"), F.lit(slots).cast("long"))
+    points = _packed(vectors.withColumn("__slot", slot), "__slot", "id", "", block)
+    asked = _packed(queries.withColumn("__slot", F.lit(0).cast("long")), "__slot", "query_id", "q_", block)
+    sent = asked.withColumn("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+    return _met(points, sent, k)
 
 
 def search_assets(vectors: DataFrame, identity: DataFrame, queries: DataFrame, k: int, asset_types: list[str]) -> DataFrame:
@@ -130,35 +151,28 @@ def clusters(vectors: DataFrame, k: int, dimension: int, seed: int = 42, restart
         if best is None or model.summary.trainingCost < best.summary.trainingCost:
             best = model
     cost = float(best.summary.trainingCost)
+    points.unpersist()
     return best.transform(points).select("id", F.col("cluster").cast("long").alias("cluster")), cost
 
 
-def _best_of_cells(rows, ids, queries, centers, probes, k):
-    """Like ``_best_of_block``, but a query meets only the vectors of its nearest cells."""
-    def cells_of(points):
-        return (centers**2).sum(axis=1)[None, :] - 2.0 * (points @ centers.T)
-
-    asked = np.argsort(cells_of(queries), axis=1, kind="stable")[:, :probes]
-    for batch in rows:
-        points = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-        cell = cells_of(points).argmin(axis=1)
-        for c in np.unique(cell):
-            who = np.nonzero((asked == c).any(axis=1))[0]
-            if len(who):
-                yield from _best_of_block(iter([batch[cell == c]]), ids[who], queries[who], k)
-
-
-def approximate_knn(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 64, probes: int = 8, seed: int = 42, block: int = QUERY_BLOCK) -> DataFrame:
+def approximate_knn(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 64, probes: int = 8, seed: int = 42, block: int = BLOCK) -> DataFrame:
     """V5: neighbours among the vectors of the nearest cells of a k-means partition.
 
-    Tasks keep k rows per query and cell, so a crowded cell costs time in many tasks but never
-    forms pairs of its members.
+    Vectors and queries meet in a join on the cell, in packed blocks, so a crowded cell is many pairs of
+    blocks in many tasks and never pairs of its members.
     """
-    points = vectors.select("id", "embedding")
-    features = points.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(features)
-    centers = np.array(model.clusterCenters())
-    return _blockwise(points, queries, block, k, lambda rows, ids, matrix: _best_of_cells(rows, ids, matrix, centers, probes, k))
+    features = vectors.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    centers = np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(features).clusterCenters())
+
+    @F.pandas_udf("array<long>")
+    def nearest_cells(found: pd.Series) -> pd.Series:
+        points = np.stack(found.to_numpy()).astype(np.float64)
+        far = (centers**2).sum(axis=1)[None, :] - 2.0 * (points @ centers.T)
+        return pd.Series(list(np.argsort(far, axis=1, kind="stable")[:, :probes]))
+
+    points = vectors.select("id", "embedding", nearest_cells("embedding")[0].alias("cell"))
+    asked = queries.select("query_id", "embedding", F.explode(nearest_cells("embedding")).alias("cell"))
+    return _met(_packed(points, "cell", "id", "", block), _packed(asked, "cell", "query_id", "q_", block), k)
 
 
 def embed_texts(documents: DataFrame, tokens: Column, dimension: int = 256) -> DataFrame:
@@ -166,6 +180,7 @@ def embed_texts(documents: DataFrame, tokens: Column, dimension: int = 256) -> D
     words = documents.select("id", tokens.alias("tokens"))
     counted = HashingTF(numFeatures=dimension, inputCol="tokens", outputCol="tf").transform(words).persist()
     weighted = IDF(inputCol="tf", outputCol="weighted").fit(counted).transform(counted)
+    counted.unpersist()
     unit = Normalizer(inputCol="weighted", outputCol="unit").transform(weighted)
     return unit.select("id", vector_to_array("unit", "float32").alias("embedding"))
 
