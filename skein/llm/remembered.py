@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
 os.environ.setdefault("RAYON_NUM_THREADS", "2")
 
 #: Words per long text.
@@ -26,6 +25,11 @@ TOGETHER = 4096
 BATCH = 1 << 21
 
 
+def threads(on: bool) -> None:
+    """Whether the tokenizers library shares a batch among threads; it looks this up at every call."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "true" if on else "false"
+
+
 def slices(texts: pa.Array, most: int = BATCH) -> Iterator[pa.Array]:
     """Runs of neighbouring texts with about ``most`` bytes together; a longer text stands alone."""
     sizes = np.asarray(pc.binary_length(texts)).tolist()
@@ -48,7 +52,7 @@ class Words:
     """
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], starts: np.ndarray, dtype: str, marker: str, prefix: bool,
-                 check: Callable[[list[str], list[bytes]], list[bool]] | None = None, tails: dict[str, bytes] | None = None, most: int = 200_000) -> None:
+                 check: Callable[[list[str], list[bytes]], list[bool]] | None = None, tails: dict[str, bytes] | None = None, most: int = 300_000) -> None:
         self.encode, self.starts, self.dtype, self.marker, self.prefix, self.check, self.most = encode, starts, np.dtype(dtype), marker, prefix, check, most
         self.tails = tails or {}
         self.known: dict[str, bytes | None] = {}

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.remembered import Words, slices
+from skein.llm.remembered import Words, slices, threads
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -82,6 +82,7 @@ class Codec:
     def __init__(self, form: str, path: str | None) -> None:
         from tokenizers import Tokenizer
 
+        threads(True)
         self.tokenizer = Tokenizer.from_str(form)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.names = [name for name, _ in sorted(vocabulary.items(), key=lambda x: x[1])]

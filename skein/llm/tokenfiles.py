@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import bucket_of, id_bounds, stored
-from skein.llm.remembered import Words, slices
+from skein.llm.remembered import Words, slices, threads
 from skein.session import work_folder
 
 BLOCK = "bucket int, block int, start long, ids binary, nulls binary, lengths binary, control binary, data binary"
@@ -84,6 +84,7 @@ def tokenize(docs: DataFrame, form: str, size: int, end: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        threads(False)  # every core has its own task, and the texts sent are few
         coder = words(sent.value)
         tail = np.array([end], coder.dtype).tobytes()
         squeeze = zstandard.ZstdCompressor(level=3).compress
