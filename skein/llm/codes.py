@@ -54,7 +54,7 @@ def flattened(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le"), "<u4"), np.array([len(t) for t in texts], dtype="i8")
 
 
-def pieces(texts: list[str], most: int = 1 << 22):
+def pieces(texts: list[str], most: int = 1 << 20):
     """Runs of neighbouring texts with about ``most`` characters together, so that work arrays stay small; a longer text stands alone."""
     low, size = 0, 0
     for at, text in enumerate(texts):

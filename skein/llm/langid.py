@@ -25,7 +25,7 @@ NONE = "und"
 #: Buckets per row of counts.
 PART = 1 << 12
 #: Numbers in a work array of a batch.
-CELLS = 1 << 23
+CELLS = 1 << 20
 
 
 @dataclass

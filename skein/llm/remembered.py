@@ -102,6 +102,11 @@ class Words:
         known.update((w, known[w[:-1]] + self.tails[w[-1]]) for w in tailed)
         return list(map(known.__getitem__, words))
 
+    def forget(self) -> None:
+        """Frees the words, at the end of a task: the worker may have other work next."""
+        self.known, self.before, self.failed = {}, {}, set()
+        pa.default_memory_pool().release_unused()
+
     def ids(self, texts: pa.Array) -> tuple[list[np.ndarray], list[bool]]:
         """The ids of each text (none of them null), and whether all its words passed the check."""
         out, fine = [], []

@@ -114,6 +114,10 @@ class Codec:
             fine = self._same(plain, [x.tobytes() for x in ids]) if self.judge else []
         return ids, (fine if self.judge else [None] * len(ids))
 
+    def forget(self) -> None:
+        if self.words is not None:
+            self.words.forget()
+
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         """Texts from ids: the pieces' bytes in a row; where these are not UTF-8, as the library's decoder mends them."""
         out, raw = [], self.raw.__getitem__
@@ -183,6 +187,7 @@ def report(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
                 made["parity"] += fine
             arrays = [pa.array(made["n_tokens"], pa.int64()), pa.array(made["ids_crc32"], pa.int64()), pa.array(made["round_trip"], pa.bool_()), pa.array(made["parity"], pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", *made])
+        get().forget()
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_crc32 long, round_trip boolean, parity boolean")
