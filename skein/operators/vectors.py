@@ -155,10 +155,11 @@ def clusters(vectors: DataFrame, k: int, dimension: int, seed: int = 42, restart
     return best.transform(points).select("id", F.col("cluster").cast("long").alias("cluster")), cost
 
 
-def approximate_knn(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 64, probes: int = 8, seed: int = 42, block: int = BLOCK) -> DataFrame:
+def approximate_knn(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 64, probes: int = 32, seed: int = 42, block: int = BLOCK) -> DataFrame:
     """V5: neighbours among the vectors of the nearest cells of a k-means partition.
 
-    Vectors and queries meet in a join on the cell, in packed blocks, so a crowded cell is many pairs of
+    Half of the cells are probed by default, as vectors without clusters need for a recall of 0.9
+    (measured: 0.93 to 0.96; 8 cells give 0.63 to 0.70). Vectors and queries meet in a join on the cell, in packed blocks, so a crowded cell is many pairs of
     blocks in many tasks and never pairs of its members.
     """
     features = vectors.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))

@@ -49,5 +49,22 @@ def test_query(spark, sf, con, name):
     assert table(df.columns, rows) == table(columns, relation.fetchall())
 
 
+OUTCOMES = {
+    "g5_approval_outcomes": ("outcome", {"approval_granted", "approval_rejected", "expired"}),
+    "x1_custom_rule_pack": ("rule_id", {"LIC1", "PII1", "PII2"}),
+    "a25_release_gates": ("complete_corpus", {True}),
+    "j18_judged_rankings": ("hit", {True, False}),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OUTCOMES))
+def test_every_outcome_occurs(spark, name):
+    """A check that can only go one way proves nothing."""
+    column, values = OUTCOMES[name]
+    folder = os.path.join(os.path.dirname(SF), "sf0.01")
+    found = {r[column] for r in entry.queries()[name](spark, folder if os.path.isdir(folder) else SF).collect()}
+    assert found >= values
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
