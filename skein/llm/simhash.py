@@ -209,8 +209,14 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wid
     tie = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     marked = stored(docs.select(F.col(doc_id).alias("doc_id"), tie.alias("tie"), fingerprints(F.col(text), width).alias("mark")), "simhash-marks")
     roots = stored(groups(marked, radius=radius, tree_size=tree_size).select("mark", "root"), "simhash-groups")
+    return first_of_each(docs, marked.join(roots, "mark"), text, doc_id)
+
+
+def first_of_each(docs: DataFrame, grouped: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` with one of each root of ``grouped`` (doc_id, tie, root), chosen as ``one_of_each`` says."""
+    tie = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
-    chosen = marked.join(roots, "mark").groupBy("root").agg(F.min(first).alias("first"))
+    chosen = grouped.groupBy("root").agg(F.min(first).alias("first"))
     chosen = chosen.select(F.col("first.doc_id").alias("__id"), F.col("first.tie").alias("__tie"))
     rows = docs.withColumn("__own", tie)
     rows = rows.join(chosen, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tie")), "left_semi")
