@@ -11,6 +11,7 @@ from skein.operators import ledger as L
 from skein.operators import scan as S
 from skein.operators import text as D
 from skein.functions import scan_values
+from skein.plans.streaming import ALL_TIME
 from skein.streaming import ledger as G
 
 KINDS = ["run_created", "action_started", "approval_required", "run_succeeded", "run_failed", "run_cancelled", "compensation_queued", "policy_denied"]
@@ -79,6 +80,38 @@ def test_late_rows(spark):
     assert late == 1
 
 
+def test_late_rows_of_many_batches(spark):
+    """Late rows of batches whose progress Spark no longer keeps are counted."""
+    folder, sink = (tempfile.mkdtemp(prefix="skein-late-") + "/x" for _ in range(2))
+    schema = "occurred_at timestamp, skill_name string"
+    for day in (20, *[10] * 3, *[21] * 4):
+        spark.createDataFrame([(dt.datetime(2024, 1, day), "s")], schema).coalesce(1).write.mode("append").parquet(folder)
+
+    def run(kept):
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
+        files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        return G.write_batches(G.window_counts(files, ["skill_name"], 3600, "1 hour"), f"{sink}-{kept}")
+
+    try:
+        whole, short = run("100"), run("2")
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    want, seen = (sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"]) for q in (whole, short))
+    assert G.late_rows(whole) == G.late_rows(short) == want > seen
+
+
+def test_no_event_is_late_for_the_registered_streams(spark):
+    folder = tempfile.mkdtemp(prefix="skein-late-") + "/x"
+    schema = "occurred_at timestamp, skill_name string"
+    for month in (12, 11, 2, 1):
+        spark.createDataFrame([(dt.datetime(2024, month, 1), f"s{month}")], schema).coalesce(1).write.mode("append").parquet(folder)
+    files = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    counts = G.as_table(G.window_counts(files(), ["skill_name"], 3600, ALL_TIME), "t", ["skill_name", "window_start"])
+    slides = G.as_table(G.sliding_counts(files(), ["skill_name"], 7200, 3600, ALL_TIME), "t", ["skill_name", "window_start"])
+    firsts = G.as_table(G.first_deliveries(files(), ["skill_name"], ALL_TIME), "t", None, "append")
+    assert (counts.count(), slides.count(), firsts.count()) == (4, 8, 4)
+
+
 def test_approval_outcomes(spark):
     def at(hour):
         return dt.datetime(2024, 1, 1) + dt.timedelta(hours=hour)
