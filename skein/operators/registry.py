@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -239,6 +239,21 @@ def reconciled(snapshot: DataFrame, changed: DataFrame, active: DataFrame) -> Da
     return kept.unionByName(changed)
 
 
+def reindexed(snapshot: DataFrame, active: DataFrame, texts: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The snapshot (index identity, embedding) after a run that embeds the changed sources only.
+
+    ``texts`` has source_path and text; ``embed`` gives source_path and embedding of such rows. A changed source without a vector
+    fails the run, so that no snapshot calls it indexed.
+    """
+    plan = index_plan(active, snapshot).where(F.col("plan") == "changed")
+    changed = active.join(plan, "source_path", "left_semi").select(*INDEX_IDENTITY)
+    vectors = embed(texts.join(changed.select("source_path"), "source_path", "left_semi"))
+    missing = F.raise_error(F.concat(F.lit("no vector for "), F.col("source_path"))).cast(vectors.schema["embedding"].dataType)
+    rows = changed.join(vectors.select("source_path", "embedding"), "source_path", "left")
+    rows = rows.select(*INDEX_IDENTITY, F.coalesce("embedding", missing).alias("embedding"))
+    return reconciled(snapshot.select(*rows.columns), rows, active)
+
+
 def upserted(existing: DataFrame, batch: DataFrame, dimension: int) -> DataFrame:
     """Batch rows replace rows of the same file name; a wrong dimension fails the whole batch.
 

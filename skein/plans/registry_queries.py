@@ -14,6 +14,7 @@ from skein.operators import scan as S
 from skein.plans import analytics
 from skein.plans.corpus import scan_corpus
 from skein.plans.registry import Tables, query
+from skein.plans.retrieval import LETTERS, letter_profile
 from skein.plans.scan import FOUND, corpus_lines, weight_sql
 from skein.session import work_folder
 from skein.sources import documents as files
@@ -277,19 +278,40 @@ def _(t):
     return R.index_report(R.index_plan(revisions(t), index_state(t)))
 
 
-@query("v10_reconciled_snapshot", ASSETS + "SELECT source_path, content_hash, v AS embedding_model_version FROM r")
-def _(t):
-    cols = ["source_path", "content_hash", "embedding_model_version"]
+def indexed_snapshot(t: Tables) -> DataFrame:
+    """The older index with vectors, then brought up to date: only texts of changed sources are embedded."""
     table = work_folder(t.spark, "index")
     before, active = index_state(t), revisions(t)
-    snapshots.write_snapshot(before.select(*cols), table)
-    schema = before.select(*cols).schema
-    plan = R.index_plan(active, before).where(F.col("plan") == "changed")
-    changed = active.join(plan, "source_path", "left_semi").select(*cols)
-    snapshots.write_snapshot(R.reconciled(snapshots.read_snapshot(t.spark, table, schema), changed, active), table)
+    texts = t.spread("documents").select(_path().alias("source_path"), "text")
+
+    def embed(rows: DataFrame) -> DataFrame:
+        return rows.select("source_path", letter_profile(F.col("text")).alias("embedding"))
+
+    old = t.spread("documents").select("doc_id", letter_profile(F.col("text")).alias("embedding"))
+    # The vectors of changed content are those of another text.
+    vector = F.when(F.col("content_hash") == "sha256:old", F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding"))
+    start = before.join(old, "doc_id").select(*R.INDEX_IDENTITY, vector.alias("embedding"))
+    schema = start.schema
+    snapshots.write_snapshot(start, table)
+    snapshots.write_snapshot(R.reindexed(snapshots.read_snapshot(t.spark, table, schema), active, texts, embed), table)
     return snapshots.read_snapshot(t.spark, table, schema)
 
 
+@query("v10_reconciled_snapshot", ASSETS + "SELECT source_path, content_hash, v AS embedding_model_version FROM r")
+def _(t):
+    return indexed_snapshot(t).select("source_path", "content_hash", "embedding_model_version")
+
+
+@query("v10_snapshot_vectors", ASSETS + f"""
+SELECT source_path, round(u.share, 6)::DOUBLE AS share, u.letter FROM (
+  SELECT 'doc/' || doc_id AS source_path, unnest([{{'letter': c, 'share': (length(lower(text)) - length(replace(lower(text), c, ''))) / greatest(length(text), 1)}} for c in {list(LETTERS)!r}]) AS u FROM documents)""")
+def _(t):
+    """The vector of every source, a row per letter."""
+    letters = F.array(*[F.lit(c) for c in LETTERS])
+    pairs = F.explode(F.arrays_zip(letters.alias("letter"), F.col("embedding").alias("share"))).alias("u")
+    return indexed_snapshot(t).select("source_path", pairs).select("source_path", F.round(F.col("u.share").cast("double"), 6).alias("share"), F.col("u.letter").alias("letter"))
+
+
 @query("s8_upserted_documents", """
 SELECT 'v' || vec_id || '.json' AS filename, CASE WHEN vec_id % 3 = 0 THEN 'new ' || vec_id ELSE 'old' END AS name, 64::BIGINT AS dimension FROM embeddings""")
 def _(t):

@@ -55,6 +55,32 @@ def test_second_index_run_changes_nothing(spark):
     assert tuple(R.index_report(R.index_plan(moved, two)).first()) == (1, 1, 0, 1)
 
 
+def test_only_changed_sources_are_embedded(spark, folder):
+    asked = []
+
+    def embed(rows):
+        asked.append(sorted(r.source_path for r in rows.collect()))
+        return rows.select("source_path", F.array(F.length("text").cast("float")).alias("embedding"))
+
+    def run(active, texts):
+        table = f"{folder}/index"
+        schema = active.select(*R.INDEX_IDENTITY, F.array(F.lit(0.0).cast("float")).alias("embedding")).schema
+        before = snapshots.read_snapshot(spark, table, schema)
+        frame = spark.createDataFrame(texts, "source_path string, text string")
+        snapshots.write_snapshot(R.reindexed(before, active, frame, embed), table)
+        return {(r.source_path, r.content_hash, tuple(r.embedding)) for r in snapshots.read_snapshot(spark, table, schema).collect()}
+
+    two = revisions(spark, [("a", "h1", "p1"), ("b", "h2", "p2")])
+    want = {("p1", "h1", (3.0,)), ("p2", "h2", (4.0,))}
+    assert run(two, [("p1", "one"), ("p2", "four")]) == want
+    assert run(two, [("p1", "never read"), ("p2", "never read")]) == want
+    moved = revisions(spark, [("b", "h9", "p2"), ("c", "h3", "p3")])
+    assert run(moved, [("p2", "sixsix"), ("p3", "x")]) == {("p2", "h9", (6.0,)), ("p3", "h3", (1.0,))}
+    assert asked == [["p1", "p2"], [], ["p2", "p3"]]
+    with pytest.raises(Exception, match="no vector for p4"):
+        run(revisions(spark, [("d", "h4", "p4")]), [("p5", "x")])
+
+
 def test_identities(spark):
     rows = [("p__s__x", "One", 1), ("p__s__x", "Two", 2), ("p__s__y", "Solo", 3), ("p__s__z", "Same", 4), ("p__s__z", "same!", 5), ("p__s__w", "Y", 6), ("p__s__w", "Q", 7)]
     df = spark.createDataFrame(rows, "legacy_skill_id string, source_name string, n long")
