@@ -18,7 +18,7 @@ from skein.operators import licenses as L
 from skein.operators import patterns as P
 from skein.operators import text as D
 from skein.plans.corpus import MD_SQL, pages_as_markdown
-from skein.plans.registry import Tables, query
+from skein.plans.registry import ORACLES, Tables, query
 from skein.plans.text import ELEMENTS, group_case, lit, words
 
 
@@ -405,6 +405,30 @@ def _(t):
     return S.keyword_similarity(neighbours(d), d).withColumn("keyword_similarity", F.round("keyword_similarity", 6))
 
 
+#: Pairs of near copies among all documents SRC, after KW: the smallest ids of equal keyword sets, and each of them with its equals.
+CORPUS_PAIRS = """, ks AS MATERIALIZED (SELECT doc_id, list_sort(w) AS w, min(doc_id) OVER (PARTITION BY list_sort(w)) AS rep FROM k),
+prs AS MATERIALIZED (SELECT a.doc_id AS left_id, b.doc_id AS right_id, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS keyword_similarity
+  FROM ks a JOIN ks b ON a.doc_id = a.rep AND b.doc_id = b.rep AND a.doc_id < b.doc_id WHERE len(a.w) > 0 AND len(b.w) > 0 AND keyword_similarity >= 0.8
+  UNION ALL SELECT rep, doc_id, 1.0 FROM ks WHERE doc_id <> rep)
+"""
+
+
+def near_copies(t: Tables) -> DataFrame:
+    """All documents, and each third one a second time with a word more, below an id far from its own."""
+    d = t.spread("documents").select("doc_id", "text")
+    return d.unionByName(d.where("doc_id % 3 = 0").select((-F.col("doc_id") - 1).alias("doc_id"), F.concat("text", F.lit(" nearcopyword")).alias("text")))
+
+
+COPIES = "src AS MATERIALIZED (SELECT doc_id, text FROM documents UNION ALL SELECT -doc_id - 1, text || ' nearcopyword' FROM documents WHERE doc_id % 3 = 0),"
+
+
+@query("t28_corpus_pairs", "WITH " + COPIES + KW.replace("SRC", "src") + CORPUS_PAIRS + "SELECT left_id, right_id, round(keyword_similarity, 6) AS keyword_similarity FROM prs")
+def _(t):
+    """Pairs of similarity 0.8 or more at any ids."""
+    d = near_copies(t)
+    return S.keyword_similarity(S.similar_pairs(d), d).withColumn("keyword_similarity", F.round("keyword_similarity", 6))
+
+
 @query("t29_tfidf_similarity", f"""
 WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN {words(V.KEYWORD_STOPWORDS)}) AS w FROM documents),
 terms AS (SELECT doc_id, unnest(w) AS term FROM w UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] FROM w, generate_series(1, len(w) - 1) AS g(i)),
@@ -454,6 +478,17 @@ def _(t):
     return S.metadata_completeness(pages_as_markdown(t)).withColumn("metadata_completeness", F.round("metadata_completeness", 6))
 
 
+def scored(pairs: DataFrame, d: DataFrame) -> DataFrame:
+    """T32 of the pairs."""
+    key = ["left_id", "right_id"]
+    meta = S.metadata_completeness(d).select(F.col("doc_id").alias("right_id"), "metadata_completeness")
+    scores = (
+        S.keyword_similarity(pairs, d).withColumn("semantic_similarity", F.col("keyword_similarity"))
+        .join(S.structure_similarity(pairs, d).select(*key, "structure_similarity"), key).join(meta, "right_id")
+    )
+    return S.fidelity(scores).select(*key, F.round(F.col("overall_score") + 1e-9, 6).alias("overall_score"), "failed_checks", "passed")
+
+
 @query("t32_fidelity", "WITH " + STRUCTURE + "," + KW.replace("SRC", "md") + "," + META_SQL + """
 , f AS (SELECT left_id, right_id, keyword_similarity AS k, (h + g) / 2 AS s, metadata_completeness AS m FROM st JOIN jac USING (left_id, right_id) JOIN meta ON meta.doc_id = right_id),
 o AS (SELECT *, k * 0.35 + s * 0.25 + k * 0.2 + m * 0.2 AS overall FROM f)
@@ -462,14 +497,33 @@ SELECT left_id, right_id, round(overall + 1e-9, 6)::DOUBLE AS overall_score, con
   k >= 0.85 AND s >= 0.8 AND m >= 0.9 AND overall >= 0.8 AS passed FROM o""")
 def _(t):
     d = pages_as_markdown(t)
-    pairs = neighbours(d)
-    key = ["left_id", "right_id"]
-    meta = S.metadata_completeness(d).select(F.col("doc_id").alias("right_id"), "metadata_completeness")
-    scores = (
-        S.keyword_similarity(pairs, d).withColumn("semantic_similarity", F.col("keyword_similarity"))
-        .join(S.structure_similarity(pairs, d).select(*key, "structure_similarity"), key).join(meta, "right_id")
-    )
-    return S.fidelity(scores).select(*key, F.round(F.col("overall_score") + 1e-9, 6).alias("overall_score"), "failed_checks", "passed")
+    return scored(neighbours(d), d)
+
+
+# The same measures for the pairs of the whole corpus
+
+NEXT = "b.doc_id = a.doc_id + 1"
+PAIRED = "prs ON prs.left_id = a.doc_id JOIN ft b ON b.doc_id = prs.right_id"
+MD_PAIRS = "WITH " + MD_SQL + "," + KW.replace("SRC", "md") + CORPUS_PAIRS + "," + STRUCTURE.removeprefix(MD_SQL).lstrip(",").replace("ft b ON " + NEXT, PAIRED)
+
+
+@query("t29_corpus_pairs", "WITH " + COPIES + KW.replace("SRC", "src") + CORPUS_PAIRS + "," + ORACLES["t29_tfidf_similarity"].strip().removeprefix("WITH").replace(
+    "SELECT a.doc_id AS left_id, b.doc_id AS right_id FROM documents a JOIN documents b ON " + NEXT, "SELECT left_id, right_id FROM prs").replace("AS w FROM documents", "AS w FROM src"))
+def _(t):
+    d = near_copies(t)
+    return S.tfidf_similarity(S.similar_pairs(d), d).withColumn("tfidf_similarity", F.round("tfidf_similarity", 6))
+
+
+@query("t30_corpus_pairs", MD_PAIRS + ORACLES["t30_structure_similarity"].removeprefix("WITH " + STRUCTURE))
+def _(t):
+    d = pages_as_markdown(t)
+    return S.structure_similarity(S.similar_pairs(d), d).withColumn("structure_similarity", F.round("structure_similarity", 6))
+
+
+@query("t32_corpus_pairs", MD_PAIRS + "," + META_SQL + ORACLES["t32_fidelity"].split(META_SQL)[1].replace("JOIN jac", "JOIN prs"))
+def _(t):
+    d = pages_as_markdown(t)
+    return scored(S.similar_pairs(d), d)
 
 
 @query("j12_matched_conversions", """
