@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.search import search_tokens, tokens
@@ -117,9 +117,9 @@ def _(t):
     true = F.abs(V.l2_distance(F.col("a"), F.col("b")) - F.col("distance")) < 1e-6
     met = found.join(v.select(F.col("id").alias("query_id"), F.col("embedding").alias("a")), "query_id").join(v.select("id", F.col("embedding").alias("b")), "id")
     per = met.select("query_id", "id", true.alias("true")).join(exact.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
-    per = per.groupBy("query_id").agg(F.count(F.lit(1)).alias("results"), F.bool_and("true").alias("distances_true"), F.count("hit").alias("hits"))
-    share = F.sum("hits").over(Window.partitionBy(F.lit(1))) / F.sum("results").over(Window.partitionBy(F.lit(1)))
-    return per.select("query_id", "results", "distances_true", (share >= 0.9).alias("recall_reached"))
+    per = stored(per.groupBy("query_id").agg(F.count(F.lit(1)).alias("results"), F.bool_and("true").alias("distances_true"), F.count("hit").alias("hits")), "recalls")
+    reached = per.agg((F.sum("hits") / F.sum("results") >= 0.9).alias("recall_reached"))  # one row
+    return per.crossJoin(F.broadcast(reached)).select("query_id", "results", "distances_true", "recall_reached")
 
 
 @query("v11_text_vectors", """

@@ -152,3 +152,12 @@ def test_suite(spark):
     sources = spark.createDataFrame([("p",)], "source_path string")
     got = {(r.query_id, r.violation) for r in R.suite_violations(queries, judgments, sources).collect()}
     assert got == {("1", "duplicate_query_id"), ("2", "unsupported_subset"), ("2", "invalid_grade"), ("3", "judgment_without_document")}
+
+
+def test_recall_needs_no_window_over_all_queries(spark, sf):
+    from skein.plans import load_all
+    from skein.plans.registry import QUERIES
+
+    load_all()
+    found = QUERIES["v5_approximate_knn"](spark, sf)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
