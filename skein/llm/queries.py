@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import langid, licenses, linededup, mixing, quality, sentencepieces, simhash, syncmers, tokenfiles, topk
+from skein.llm import langid, licenses, linededup, mixing, phrases, quality, sentencepieces, simhash, syncmers, tokenfiles, topk
 from skein.llm.common import ready
 from skein.sources.tables import read_table
 
@@ -184,3 +184,43 @@ from d left join base using (r) left join more using (r)
 @query("op10_licenses", _op10_sql())
 def op10_licenses(table) -> DataFrame:
     return licenses.scan(table("documents"))
+
+
+#: All n-grams counted, without summaries.
+OP12_SQL = r"""
+with pieces as (
+  select row_number() over () as p, lang, piece from (
+    select coalesce(lang, 'und') as lang,
+      unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents)
+), cut as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+mass as (select lang, sum(len(w))::bigint as n from cut group by lang),
+grams as (
+  select lang, g, count(*) as f from (
+    select lang, unnest(list_transform(range(1, len(w) - size + 2), lambda i: w[i : i + size - 1])) as g
+    from cut, (select unnest(range(1, 6)) as size) where len(w) >= size)
+  group by lang, g having count(*) >= 100
+), candidate as (select lang, g, f as a from grams where len(g) > 1),
+cuts as (
+  select c.lang, c.g, c.a, k, l.f as l, r.f as r, n, (1000::hugeint * c.a * n) // (l.f::hugeint * r.f) as score
+  from (select *, unnest(range(1, len(g))) as k from candidate) c join mass m on c.lang = m.lang
+    join grams l on l.lang = c.lang and l.g = c.g[1 : k] join grams r on r.lang = c.lang and r.g = c.g[k + 1 :]
+), best as (
+  select * from (select *, row_number() over (partition by lang, g order by score, k) as place from cuts) where place = 1
+), inner_part as (
+  select lang, part, max(a) as longer from (
+    select lang, a, unnest(flatten(list_transform(range(2, len(g)), lambda size: list_transform(range(1, len(g) - size + 2), lambda i: g[i : i + size - 1])))) as part
+    from candidate where len(g) > 2)
+  group by lang, part
+), kept as (
+  select b.*, array_to_string(g, ' ') as phrase from best b left join inner_part i on i.lang = b.lang and i.part = b.g
+  where longer is null or 100 * longer < 100 * a
+)
+select lang, rank, phrase, a, l, r, n, score::bigint as score
+from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept) where rank <= 2000
+"""
+
+
+@query("op12_collocations", OP12_SQL)
+def op12_collocations(table) -> DataFrame:
+    return phrases.collocations(table("documents"))
