@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import langid, licenses, linededup, mixing, phrases, quality, sentencepieces, simhash, syncmers, tokenfiles, topk
+from skein.llm import alignment, langid, licenses, linededup, mixing, phrases, quality, sentencepieces, simhash, syncmers, tokenfiles, topk, toxicity
 from skein.llm.common import ready
 from skein.sources.tables import read_table
 
@@ -186,6 +186,13 @@ def op10_licenses(table) -> DataFrame:
     return licenses.scan(table("documents"))
 
 
+@query("op11_token_alignment")
+def op11_token_alignment(table) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align_texts(table("documents"), public_tokenizers.path("byte_bpe_50k.json"), piece_model())
+
+
 #: All n-grams counted, without summaries.
 OP12_SQL = r"""
 with pieces as (
@@ -224,3 +231,8 @@ from (select *, row_number() over (partition by lang order by score desc, a desc
 @query("op12_collocations", OP12_SQL)
 def op12_collocations(table) -> DataFrame:
     return phrases.collocations(table("documents"))
+
+
+@query("op13_toxicity")
+def op13_toxicity(table) -> DataFrame:
+    return toxicity.classify(table("documents"), table("labels"))

@@ -102,6 +102,10 @@ class Words:
         known.update((w, known[w[:-1]] + self.tails[w[-1]]) for w in tailed)
         return list(map(known.__getitem__, words))
 
+    def of(self, words: list[str]) -> list[bytes | None]:
+        """The ids of distinct words, each with the space before it, as bytes of ``dtype``; None for what must not be cut from its text."""
+        return self._known(words)
+
     def forget(self) -> None:
         """Frees the words, at the end of a task: the worker may have other work next."""
         self.known, self.before, self.failed = {}, {}, set()
