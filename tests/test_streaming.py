@@ -59,12 +59,6 @@ def test_first_deliveries(stream, events):
     assert rows(got.select("run_id", "idempotency_key")) == rows(events.select("run_id", "idempotency_key").distinct())
 
 
-def test_illegal_events(stream, events):
-    got = G.illegal_events(stream, events)
-    batch = L.illegal_events(events.withColumn("sequence", F.col("event_id"))).drop("sequence")
-    assert rows(got) == rows(batch) and got.count() > 0
-
-
 def test_rolling_evidence(stream, events):
     assert rows(G.rolling_evidence(stream)) == rows(L.outcome_counts(events))
 
@@ -112,20 +106,6 @@ def test_no_event_is_late_for_the_registered_streams(spark):
     assert (counts.count(), slides.count(), firsts.count()) == (4, 8, 4)
 
 
-def test_approval_outcomes(spark):
-    def at(hour):
-        return dt.datetime(2024, 1, 1) + dt.timedelta(hours=hour)
-
-    base = tempfile.mkdtemp(prefix="skein-hitl-")
-    items = spark.createDataFrame([(1, "a", at(0)), (2, "b", at(0)), (3, "c", at(100))], "item_id long, k string, created_at timestamp")
-    decisions = spark.createDataFrame([("a", at(2), "approve"), ("b", at(30), "approve"), ("z", at(100), "reject")], "k string, decided_at timestamp, decision string")
-    items.write.parquet(base + "/i")
-    decisions.write.parquet(base + "/d")
-    i, d = (spark.readStream.schema(x.schema).parquet(f"{base}/{n}") for x, n in ((items, "i"), (decisions, "d")))
-    got = G.as_table(G.approval_outcomes(i, d, ["k"], "24 HOURS"), "t", None, "append")
-    assert {(r.item_id, r.outcome) for r in got.collect()} == {(1, "approve"), (2, "expired")}
-
-
 def test_scanned_files(spark):
     folder = tempfile.mkdtemp(prefix="skein-scan-") + "/in"
     docs = spark.createDataFrame([(i, "ok\nsudo rm -rf /\n") for i in range(6)], "doc_id long, text string").repartition(3)
