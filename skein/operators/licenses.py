@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import license_values as V
 from skein.functions.text import computed_once
-from skein.operators.scan import matching, named, searchable, with_keys
+from skein.operators.scan import matching, named, searchable, sql_text, with_keys
 
 
 def confidence(pattern: str) -> float:
@@ -25,8 +25,8 @@ def detect(documents: DataFrame) -> DataFrame:
     known = tag.isin(*[x.spdx_id for x in V.LICENSES])
     rows = [(place, x, p) for place, x in enumerate(V.LICENSES) for p in x.patterns]
     patterns = [p for *_, p in rows]
-    values = [F.struct(F.lit(confidence(p)).alias("confidence"), F.lit(-place).alias("place"), F.lit(x.spdx_id).alias("spdx_id")) for place, x, p in rows]
-    best = F.array_max(matching(text, patterns, values, named(patterns)))
+    values = [f"named_struct('confidence', {confidence(p)!r}D, 'place', {-place}, 'spdx_id', {sql_text(x.spdx_id)})" for place, x, p in rows]
+    best = F.array_max(matching("text", patterns, values, named(patterns)))
     found = computed_once(with_keys(searchable(documents, "text"), patterns), __best=best)
     return found.select(
         *[c for c in documents.columns if c != "text"],

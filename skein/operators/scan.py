@@ -4,31 +4,21 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import scan_values as V
 from skein.functions.scan_values import Rule
 from skein.functions.text import computed_once
-
-def pack_from_rows(rules: DataFrame, most: int = 5000) -> tuple[Rule, ...]:
-    """A rule pack from rows (rule_id, rule_name, severity, pattern_idx, pattern).
-
-    Patterns become part of the plan, so a pack must be small: one of more than ``most`` is refused, never cut.
-    """
-    rows = rules.orderBy("rule_id", "pattern_idx").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"the rule pack holds more than {most} patterns")
-    grouped: dict[tuple, list[str]] = {}
-    for r in rows:
-        grouped.setdefault((r["rule_id"], r["rule_name"], r["severity"]), []).append(r["pattern"])
-    return tuple(Rule(*k, tuple(v)) for k, v in grouped.items())
+from skein.session import work_folder
 
 
 # Letters that match an ASCII letter without regard to case but do not lower to it.
 FOLDING = "\u0130\u0131\u017f\u212a"
+FOLDED = "iisk"
 
 
 # Escapes of two signs that stand for a kind of character or a place.
@@ -135,26 +125,37 @@ def with_keys(df: DataFrame, patterns: Sequence[str]) -> DataFrame:
     return computed_once(df, __keys=F.array_distinct(keys))
 
 
-def named(patterns: Sequence[str]) -> list[Column]:
-    """For each pattern: its key is among ``__keys``, or it has none."""
+def sql_text(value: str) -> str:
+    """A string constant of SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def here(key: str) -> Column:
-        return F.col("__folding") | F.exists("__keys", lambda k: k.startswith(key)) if key else F.lit(True)
 
-    return [here(key_of(p)) for p in patterns]
+def named(patterns: Sequence[str]) -> list[str]:
+    """For each pattern, in SQL: its key is among ``__keys``, or it has none."""
 
+    def here(key: str) -> str:
+        return f"(__folding OR exists(__keys, k -> startswith(k, {sql_text(key)})))" if key else "true"
 
-def matching(text: Column, patterns: Sequence[str], values: Sequence[Column], wanted: Sequence[Column]) -> Column:
-    """Values of the patterns that occur in a ``searchable`` text, as an array.
+    return [here(key_of(p)) for p in patterns]
 
-    Each pattern is a constant of the plan, compiled once, and only tried where it is wanted and its texts are.
-    """
+
+@lru_cache(maxsize=64)
+def _matching_sql(text: str, patterns: tuple[str, ...], values: tuple[str, ...], wanted: tuple[str, ...]) -> str:
     tests = []
     for pattern, value, want in zip(patterns, values, wanted):
-        texts = [F.col("__low").contains(x) for x in required_texts(pattern)]
-        possible = (F.col("__folding") | reduce(lambda a, b: a & b, texts)) if texts else F.lit(True)
-        tests.append(F.when(want & possible & text.rlike(f"(?iu){pattern}"), value))
-    return F.array_compact(F.array(*tests))
+        texts = " AND ".join(f"contains(__low, {sql_text(x)})" for x in required_texts(pattern))
+        possible = f"(__folding OR ({texts}))" if texts else "true"
+        tests.append(f"CASE WHEN {want} AND {possible} AND {text} RLIKE {sql_text('(?iu)' + pattern)} THEN {value} END")
+    return f"array_compact(array({', '.join(tests)}))"
+
+
+def matching(text: str, patterns: Sequence[str], values: Sequence[str], wanted: Sequence[str]) -> Column:
+    """Values (SQL) of the patterns that occur in a ``searchable`` text, as an array.
+
+    Each pattern is a constant of the plan, compiled once, and only tried where it is wanted and its texts are. The whole expression is one
+    piece of SQL, parsed at once: hundreds of patterns as single columns take longer to build than to run.
+    """
+    return F.expr(_matching_sql(text, tuple(patterns), tuple(values), tuple(wanted)))
 
 
 CANDIDATES = "__candidates"
@@ -172,7 +173,7 @@ def with_candidates(documents: DataFrame, rules: Sequence[Rule], text: str = "te
     """
     patterns = [p for _, _, p in _rows(rules)]
     ready = with_keys(searchable(documents, text), patterns)
-    places = F.array_compact(F.array(*[F.when(can, F.lit(n)) for n, can in enumerate(named(patterns))]))
+    places = F.expr(f"array_compact(array({', '.join(f'CASE WHEN {can} THEN {n} END' for n, can in enumerate(named(patterns)))}))")
     return computed_once(ready, **{CANDIDATES: places}).select(*documents.columns, CANDIDATES)
 
 
@@ -182,18 +183,74 @@ def scan_lines(lines: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     keep = [c for c in lines.columns if c != CANDIDATES]
     if CANDIDATES in lines.columns:
         lines = lines.where(F.size(CANDIDATES) > 0)
-        wanted = [F.array_contains(CANDIDATES, n) for n in range(len(rows))]
+        wanted = [f"array_contains({CANDIDATES}, {n})" for n in range(len(rows))]
     else:
-        wanted = [F.lit(True)] * len(rows)
+        wanted = ["true"] * len(rows)
     values = [
-        F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.name).alias("rule_name"), F.lit(r.severity).alias("severity"),
-                 F.lit(i).cast("long").alias("pattern_idx"), F.lit(p).alias("pattern"))
+        f"named_struct('rule_id', {sql_text(r.rule_id)}, 'rule_name', {sql_text(r.name)}, 'severity', {sql_text(r.severity)}, "
+        f"'pattern_idx', CAST({i} AS BIGINT), 'pattern', {sql_text(p)})"
         for r, i, p in rows
     ]
-    found = searchable(lines, "line").select(*keep, F.explode(matching(F.col("line"), [p for *_, p in rows], values, wanted)).alias("hit"))
+    found = searchable(lines, "line").select(*keep, F.explode(matching("line", [p for *_, p in rows], values, wanted)).alias("hit"))
     return found.select(*keep, "hit.*")
 
 
+#: Length of the grams that lead from a line to the patterns of a pack, and places of the filter before that.
+GRAM = 3
+PLACES = 1 << 16
+
+
+def _grams(text: Column) -> Column:
+    """Distinct runs of GRAM characters."""
+    starts = F.sequence(F.lit(1), F.length(text) - GRAM + 1)
+    return F.when(F.length(text) >= GRAM, F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
+
+
+def _place(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(PLACES)).cast("int")
+
+
+def pack_index(rules: DataFrame) -> DataFrame:
+    """Each pattern of a pack (rule_id, rule_name, severity, pattern_idx, pattern) with ``key``, the longest text that all its
+    matches hold, and ``gram``, the run of that text which the fewest patterns share; '' for patterns whose text is shorter or unknown.
+    """
+
+    @F.pandas_udf("string")
+    def keys(patterns: pd.Series) -> pd.Series:
+        return patterns.map(key_of)
+
+    keyed = rules.select("rule_id", "rule_name", "severity", F.col("pattern_idx").cast("long").alias("pattern_idx"), "pattern").withColumn("key", keys("pattern"))
+    texts = keyed.select("key").distinct().withColumn("gram", F.explode_outer(_grams(F.col("key"))))
+    shared = texts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    best = texts.join(shared, "gram", "left").groupBy("key").agg(F.min(F.struct("n", "gram")).alias("least"))
+    return keyed.join(best, "key").withColumn("gram", F.coalesce("least.gram", F.lit(""))).drop("least")
+
+
+def scan_pack(lines: DataFrame, rules: DataFrame) -> DataFrame:
+    """One row per line and pattern of a pack of any size that matches anywhere in it; the pack stays a table.
+
+    A line's grams meet the patterns' by an equi-join, after a filter of PLACES marks (a constant, whatever the pack) has left out nearly all that no pattern
+    has. Only pairs whose whole required text is in the line meet the regular expression, sorted by pattern, so that each is compiled once in a
+    row. Patterns without a required text of GRAM characters meet every line.
+    """
+    index = computed_table(pack_index(rules))
+    marks = {r["place"] for r in index.select(_place(F.col("gram")).alias("place")).distinct().collect()}
+    bits = F.expr(f"split('{','.join('1' if i in marks else '0' for i in range(PLACES))}', ',')")
+    low = F.lower(F.translate("line", FOLDING, FOLDED))
+    ready = computed_once(lines, __text=low)
+    found = F.filter(F.concat(F.array(F.lit("")), _grams(F.col("__text"))), lambda g: F.get(bits, _place(g)) == "1")
+    pairs = ready.withColumn("gram", F.explode(found)).join(index, "gram").where(F.contains("__text", "key"))
+    hits = pairs.sortWithinPartitions("pattern").where(F.rlike("line", F.concat(F.lit("(?iu)"), F.col("pattern"))))
+    return hits.select(*lines.columns, "rule_id", "rule_name", "severity", "pattern_idx", "pattern")
+
+
+def computed_table(df: DataFrame) -> DataFrame:
+    """The frame written to the shared work folder and read again: worked out once, its size known to the planner."""
+    folder = work_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def match_details(findings: DataFrame) -> DataFrame:
     """Matched text and its 0-based place; findings are few, so patterns may vary by row."""
     pattern = F.concat(F.lit("(?iu)"), F.col("pattern"))

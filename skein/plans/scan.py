@@ -71,8 +71,7 @@ SELECT unit, path, line_no, rule_id, pattern_idx FROM {hits_sql(
     (V.Rule("LIC1", "", "info", (CUSTOM[0][4],)), V.Rule("PII1", "", "medium", (CUSTOM[1][4], CUSTOM[2][4])), V.Rule("PII2", "", "low", (CUSTOM[3][4], CUSTOM[4][4]))), 'cl')}""")
 def _(t):
     rows = t.spark.createDataFrame(CUSTOM, "rule_id string, rule_name string, severity string, pattern_idx int, pattern string")
-    pack = S.pack_from_rows(rows)
-    return S.scan_lines(corpus_lines(t, pack), pack).select("unit", "path", "line_no", "rule_id", "pattern_idx")
+    return S.scan_pack(D.explode_lines(scan_corpus(t)), rows).select("unit", "path", "line_no", "rule_id", "pattern_idx")
 
 
 @query("t26_match_details", CONTEXT + """

@@ -202,10 +202,26 @@ def test_scanning_equals_plain_regular_expressions(spark):
     marked = S.with_candidates(df.withColumn("text", F.col("line")), pack)
     assert sorted((r["n"], r["pattern_idx"]) for r in S.scan_lines(marked, pack).collect()) == want
     assert len(want) > 500
+    rows = spark.createDataFrame([("R", "r", "info", i, p) for i, p in enumerate(good)], PACK)
+    assert sorted((r["n"], r["pattern_idx"]) for r in S.scan_pack(df, rows).collect()) == want
 
 
-def test_a_large_pack_is_refused_not_cut(spark):
-    rows = spark.createDataFrame([(f"r{i}", "n", "info", 0, f"p{i}") for i in range(5)], "rule_id string, rule_name string, severity string, pattern_idx int, pattern string")
-    assert len(S.pack_from_rows(rows, most=5)) == 5
-    with pytest.raises(ValueError):
-        S.pack_from_rows(rows, most=4)
+PACK = "rule_id string, rule_name string, severity string, pattern_idx int, pattern string"
+
+
+def test_a_pack_of_twenty_thousand_patterns(spark):
+    rows = [(f"r{i}", "n", "info", 0, rf"\bmark{i}\s+end" if i % 2 else f"tail-{i}-x+") for i in range(20_000)] + [("any", "n", "low", 0, r"\d{4}$"), ("two", "n", "low", 0, "zq")]
+    lines = [(1, "see MARK7 end"), (2, "tail-8-xxx and tail-10-x, mark19999  end"), (3, "mark8 end, tail-7-x"), (4, "in 2024"), (5, ""), (6, "ZQ ﬁ"), (7, "mar\u212a9 end")]
+    found = S.scan_pack(spark.createDataFrame(lines, "n int, line string"), spark.createDataFrame(rows, PACK))
+    got = sorted((r["n"], r["rule_id"]) for r in found.collect())
+    assert got == sorted([(1, "r7"), (2, "r8"), (2, "r10"), (2, "r19999"), (4, "any"), (6, "two"), (7, "r9")])
+    assert len(found._jdf.queryExecution().analyzed().toString()) < 10_000 + 3 * S.PLACES
+
+
+def test_pack_as_rows_equals_pack_as_constants(spark, docs):
+    rows = [(r.rule_id, r.name, r.severity, i, p) for r in V.LINE_RULES for i, p in enumerate(r.patterns)]
+    lines = D.explode_lines(docs)
+    columns = ["path", "line_no", "rule_id", "severity", "pattern_idx"]
+    got, want = S.scan_pack(lines, spark.createDataFrame(rows, PACK)), S.scan_lines(lines, V.LINE_RULES)
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+    assert S.scan_pack(lines, spark.createDataFrame([], PACK)).count() == 0
