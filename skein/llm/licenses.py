@@ -1,7 +1,7 @@
 """Licence scans: phrases in word order, and an exact set-similarity join of text blocks with licence notices. DataFrame functions only.
 
-Blocks are windows of ``window`` words, one every ``stride`` words, over the whole text, so every run of up to ``window - stride`` words
-lies in one block. A block matches a notice if it holds at least ``share`` of the notice's distinct words. All words are put
+Blocks are windows of ``window`` words at every word of the whole text. A block matches a notice if it holds at least ``share`` of the notice's distinct words; only
+blocks that begin with a word of a notice are tried, as any other can move on to the next such word and lose none. All words are put
 in one order, rarest first by the number of documents that hold them. Of a notice with m words
 that needs c, a match must share one of the first m - c + 1 (prefix filter); the block must hold c words
 of the notices at all (length filter); and behind the shared word enough must be left on both sides
@@ -74,7 +74,6 @@ def scan(
     notices: tuple = NOTICES,
     share: float = 0.8,
     window: int = 64,
-    stride: int = 32,
 ) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row.
 
@@ -83,8 +82,8 @@ def scan(
     Repeated rows give a row each. An empty table gives no rows; other columns are not read.
     """
     longest = max(len(n.split(" ")) for _, n in notices)
-    if longest > window - stride:
-        raise ValueError(f"a notice of {longest} words needs window - stride of as many")
+    if longest > window:
+        raise ValueError(f"a notice of {longest} words needs a window of as many")
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     vocabulary = sorted({w for _, n in notices for w in n.split(" ")})
@@ -105,13 +104,15 @@ def scan(
 
     def read(found: Column) -> Column:
         def use(present: Column) -> Column:
-            starts = F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0)), F.lit(stride))
-            blocks = F.transform(starts, lambda i: F.array_intersect(texts(order), F.slice(found, i + 1, F.lit(window))))
             near = F.arrays_overlap(present, texts(prefixes))
+            held = lambda i: F.slice(found, i + 1, F.lit(window))
+            worth = lambda i: F.array_contains(texts(vocabulary), F.get(found, i)) & F.arrays_overlap(held(i), texts(prefixes))
+            starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0))), worth)
+            blocks = F.array_distinct(F.transform(starts, lambda i: F.array_intersect(texts(order), held(i))))
             return F.struct(
                 F.size(found).cast("long").alias("n_words"),
                 *[places(found, present, p).alias(f"phrase{n}") for n, (p, _) in enumerate(phrases)],
-                F.when(near, F.filter(blocks, lambda b: F.arrays_overlap(b, texts(prefixes)))).otherwise(F.array().cast("array<array<string>>")).alias("blocks"),
+                F.when(near, blocks).otherwise(F.array().cast("array<array<string>>")).alias("blocks"),
             )
 
         return let(F.array_intersect(texts(known), found), use)

@@ -149,7 +149,7 @@ def op8_top_k(table) -> DataFrame:
 
 
 def _op10_sql() -> str:
-    """Every block against every notice, without the filters."""
+    """Every block of 64 words against every notice that the whole text could hold."""
     listed = ", ".join(f"({i}, '{label}', list_distinct(string_split('{n}', ' ')))" for i, (label, n) in enumerate(licenses.NOTICES))
     phrases = ", ".join(f"('{label}', string_split('{p}', ' '))" for p, label in licenses.PHRASES)
     return f"""
@@ -165,10 +165,12 @@ place as (
   where w[i : i + len(p) - 1] = p
 ), base as (
   select r, count(*) as n_base, min(i) as first_word, max(i) as last_word, list(distinct label) as labels from place group by r
+), may as (
+  select r, w, label, t from d, notice where len(list_intersect(t, w)) * 1000 >= 800 * len(t)
 ), block as (
-  select r, w[i + 1 : i + 64] as b from (select r, w, unnest(range(0, len(w), 32)) as i from d)
+  select r, label, t, w[i + 1 : i + 64] as b from (select *, unnest(range(0, len(w))) as i from may)
 ), held as (
-  select r, label, len(list_intersect(t, b)) / len(t) as held from block, notice
+  select r, label, len(list_intersect(t, b)) / len(t) as held from block
   where len(list_intersect(t, b)) * 1000 >= 800 * len(t)
 ), more as (
   select r, max(held) as held, list(distinct label) as labels from held group by r

@@ -21,7 +21,9 @@ def plain(rows, notices=licenses.NOTICES, share=0.8):
             base |= {label} if here else set()
         for label, notice in notices:
             own = set(notice.split(" "))
-            for at in range(0, len(words), 32):
+            if len(own & set(words)) * 1000 < round(share * 1000) * len(own):
+                continue
+            for at in range(len(words)):
                 both = len(own & set(words[at : at + 64]))
                 if both * 1000 >= round(share * 1000) * len(own):
                     more.add(label)
@@ -45,6 +47,15 @@ CASES = [
 ]
 
 
+@pytest.mark.parametrize("start", [0, 7, *range(18, 36), 70])
+def test_a_notice_with_other_words_between_is_found_wherever_it_starts(frame, start):
+    notice = licenses.NOTICES[0][1].split(" ")
+    spread = " ".join(w + " filler0" * (2 if n % 2 else 1) for n, w in enumerate(notice))
+    rows = [(1, "before " * start + spread + " after" * 50)]
+    assert found(licenses.scan(frame(rows))) == plain(rows)
+    assert found(licenses.scan(frame(rows)))[0][6] == "mit"
+
+
 def test_awkward(frame):
     rows = [(i, t) for i, t in enumerate(CASES)] + [r[:2] for r in AWKWARD]
     assert found(licenses.scan(frame(rows))) == plain(rows)
@@ -71,4 +82,4 @@ def test_empty(frame):
 
 def test_long_notices_need_larger_windows(frame):
     with pytest.raises(ValueError):
-        licenses.scan(frame([]), window=32, stride=16)
+        licenses.scan(frame([]), window=16)
