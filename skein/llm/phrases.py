@@ -35,6 +35,8 @@ LONGEST = 5
 #: Bytes of text worked on together, and n-grams counted together.
 BLOCK = 1 << 22
 TOGETHER = 1 << 21
+#: Rows of counts that a task holds before it sends them on.
+HELD = 1 << 20
 #: Bytes of text per hash partition, the least number of partitions (powers of two), and the bits of a pass's bitmap.
 PART_BYTES = 1 << 23
 LEAST_PARTS = 256
@@ -271,18 +273,20 @@ def frequent(docs: DataFrame, threshold: int = 100, text: str = "text", lang: st
     more = spark.sparkContext.broadcast(survivors(rows, long, threshold, part_bits, bits) if longest > 2 else None)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for texts, langs, own in _blocks(batches):
             words = words_of(texts)
             if not len(words.start):
                 continue
             coded = langs.dictionary_encode()
-            names = coded.dictionary.to_pylist()
             tongue = np.asarray(coded.indices).astype("i8")[words.text]
             hashes = own[words.text]
             fits = places(open_places(words, hashes), longest)
             number = exact_words(words)
-            sizes = np.bincount(tongue, minlength=len(names))
-            out = {"lang": list(names), "phrase": [""] * len(names), "n": [0] * len(names), "f": sizes.tolist()}
+            sizes = np.bincount(tongue, minlength=len(coded.dictionary))
+            spoken = np.flatnonzero(sizes)
+            first = np.array([int(np.argmax(tongue == i)) for i in spoken])
+            found = [_Counted(hashes[first], coded.dictionary.take(pa.array(spoken)), pa.array([""] * len(spoken)), 0, sizes[spoken])]
             # A row of n words is numbered by the row of n - 1 words before it and its last word: exact at every length.
             before = tongue
             width = int(number.max()) + 1
@@ -293,24 +297,67 @@ def frequent(docs: DataFrame, threshold: int = 100, text: str = "text", lang: st
                 _, inverse = np.unique(before[at] * width + number[at + n - 1], return_inverse=True)
                 before = np.zeros(len(number), dtype="i8")
                 before[at] = inverse
-                bitmap = pairs.value if n < 3 else more.value
-                live = passes(bitmap, keys_at(words.key, hashes, at, n), bits)
+                keys = keys_at(words.key, hashes, at, n)
+                live = passes(pairs.value if n < 3 else more.value, keys, bits)
                 counts = np.bincount(inverse[live], minlength=int(inverse.max()) + 1)
                 where = np.zeros(len(counts), dtype="i8")
-                where[inverse[live]] = at[live]
-                for group in np.flatnonzero(counts).tolist():
-                    i = int(where[group])
-                    spans = zip(words.start[i : i + n].tolist(), words.size[i : i + n].tolist())
-                    out["phrase"].append(b" ".join(words.data[a : a + size].tobytes() for a, size in spans).decode())
-                    out["lang"].append(names[tongue[i]])
-                out["f"] += counts[counts > 0].tolist()
-                out["n"] += [n] * int((counts > 0).sum())
-            kinds = {"lang": pa.string(), "phrase": pa.string(), "n": pa.int32(), "f": pa.int64()}
-            yield pa.RecordBatch.from_pydict({c: pa.array(out[c], kind) for c, kind in kinds.items()})
-
-    counted = rows.mapInArrow(count, "lang string, phrase string, n int, f long")
-    summed = counted.groupBy("lang", "phrase", "n").agg(F.sum("f").alias("f"))
-    return summed.where((F.col("f") >= threshold) | (F.col("n") == 0))
+                where[inverse[live]] = np.flatnonzero(live)
+                where = where[counts > 0]
+                found.append(_Counted(keys[where], coded.dictionary.take(pa.array(tongue[at[where]])), _joined(words, number, at[where], n), n, counts[counts > 0]))
+            held = [_summed([*held, *map(_Counted.table, found)])]
+            if len(held[0]) > HELD:
+                yield _packed(held[0], part_bits)
+                held = []
+        if held:
+            yield _packed(held[0], part_bits)
+
+    def add(table: pa.Table) -> pa.Table:
+        columns = [pc.list_flatten(table[c].combine_chunks()) for c in ("lang", "phrase", "n", "f")]
+        whole = pa.table(dict(zip(("lang", "phrase", "n", "f"), columns))).group_by(["lang", "phrase", "n"]).aggregate([("f", "sum")])
+        whole = whole.rename_columns({"f_sum": "f"})
+        return whole.filter(pc.or_(pc.greater_equal(whole["f"], threshold), pc.equal(whole["n"], 0)))
+
+    dealt = rows.mapInArrow(count, "part int, lang array<string>, phrase array<string>, n array<int>, f array<long>")
+    return dealt.groupBy("part").applyInArrow(add, "lang string, phrase string, n int, f long")
+
+
+@dataclass
+class _Counted:
+    """Rows of n words with their hashes, languages, words and occurrences in a block."""
+
+    key: np.ndarray
+    lang: pa.Array
+    phrase: pa.Array
+    n: int
+    f: np.ndarray
+
+    def table(self) -> pa.Table:
+        return pa.table({"key": self.key, "lang": self.lang, "phrase": self.phrase, "n": np.full(len(self.f), self.n, dtype="i4"), "f": self.f.astype("i8")})
+
+
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    """Occurrences of equal rows of words, added up."""
+    keys = ["key", "lang", "phrase", "n"]
+    return pa.concat_tables(tables).group_by(keys, use_threads=False).aggregate([("f", "sum")]).rename_columns([*keys, "f"])
+
+
+def _joined(words: Words, number: np.ndarray, at: np.ndarray, n: int) -> pa.Array:
+    """The n words from each place on, with a space between."""
+    used, first, place = np.unique(number[(at[:, None] + np.arange(n)).ravel()], return_index=True, return_inverse=True)
+    where = (at[:, None] + np.arange(n)).ravel()[first].tolist()
+    names = pa.array([words.data[words.start[i] : words.start[i] + words.size[i]].tobytes().decode() for i in where], pa.string())
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * n, pa.int32()), names.take(pa.array(place.ravel()))), " ")
+
+
+def _packed(table: pa.Table, part_bits: int) -> pa.RecordBatch:
+    """One row per hash partition with all that a task found for it."""
+    part = (np.asarray(table["key"]) >> np.uint64(64 - part_bits)).astype("i4")
+    order = np.argsort(part, kind="stable")
+    parts, starts = np.unique(part[order], return_index=True)
+    offsets = pa.array(np.r_[starts, len(part)], pa.int32())
+    names = ["lang", "phrase", "n", "f"]
+    lists = [pa.ListArray.from_arrays(offsets, table[c].take(pa.array(order)).combine_chunks()) for c in names]
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *lists], ["part", *names])
 
 
 def _part(words: Column, start: Column, size: Column) -> Column:
