@@ -38,6 +38,8 @@ STOPS = ".!?\n。！？"
 HOT, CLIP = 0.6, 2.0
 #: Least G squared of a telling unit, and units of either other sort that teach.
 LEAST, USUAL = 20.0, 5000
+#: Words whose kernel values are worked out together on the driver.
+TOGETHER = 1000
 #: Largest table of weights over all triples of characters.
 MOST_CELLS = 1 << 23
 MASK = (1 << 21) - 1
@@ -322,7 +324,8 @@ class Space:
         new = [w for w in dict.fromkeys(words) if w not in self.place]
         if new:
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-            self.known = np.concatenate([self.known, self.kernel.of(spelled(new)) @ self.root])
+            found = [self.kernel.of(spelled(new[at : at + TOGETHER])) @ self.root for at in range(0, len(new), TOGETHER)]
+            self.known = np.concatenate([self.known, *found])
         return self.known[[self.place[w] for w in words]]
 
     def folded(self, w: np.ndarray) -> Machine:
@@ -379,7 +382,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str,
     found = sample.select("label", "text").mapInPandas(spellings, "unit string, bad long, good long")
     counted = stored(found.groupBy("unit").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "toxicity-units")
     strength = telling(F.col("bad"), F.col("good"), sizes[1], sizes[0])
-    worst = {r["unit"]: r["bad"] for r in counted.where(strength > LEAST).orderBy(strength.desc(), "unit").limit(5 * landmarks).collect()}
+    worst = {r["unit"]: r["bad"] for r in counted.where(strength > LEAST).orderBy(strength.desc(), "unit").limit(3 * landmarks).collect()}
     others = counted.where((strength <= LEAST) & (F.col("good") > 0))
     usual = [r["unit"] for r in others.orderBy(F.desc("good"), "unit").limit(USUAL).collect()]
     mixed = [r["unit"] for r in others.orderBy(F.xxhash64("unit"), "unit").limit(USUAL).collect()]
