@@ -335,14 +335,14 @@ class Space:
 def sample_of(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str, most_rows: int) -> tuple[DataFrame, dict[int, int]]:
     """id, text, label of about ``most_rows`` labelled documents of each kind at most, by a hash of the id, as a stored table; and the labels of each kind.
 
-    An id counts once, with the largest of its labels and texts, however often it occurs.
+    An id counts once, with the largest of its labels and texts, however often it occurs. So the chosen ids are bounded, and are broadcast to the documents.
     """
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     chance = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
     rate = F.when(F.col("label") == 1, min(1.0, most_rows / max(1, sizes.get(1, 0)))).otherwise(min(1.0, most_rows / max(1, sizes.get(0, 0))))
     chosen = known.where(chance < rate).groupBy("id").agg(F.max("label").alias("label"))
-    found = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(chosen, "id")
+    found = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
     rows = found.groupBy("id").agg(F.max(F.struct("label", "text")).alias("row")).select("id", "row.label", "row.text")
     return stored(rows, "toxicity-sample"), sizes
 
