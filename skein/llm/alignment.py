@@ -27,7 +27,7 @@ from skein.llm.common import stored
 from skein.llm.remembered import Words, slices, threads
 
 #: Bytes of text per block, and per set of counts.
-BLOCK = 1 << 23
+BLOCK = 1 << 22
 COUNTED = 1 << 26
 #: Bits of the second tokenizer's ids in the number of a pair of ids.
 BITS = 20
@@ -70,7 +70,7 @@ def byte_side(path: str) -> Side:
     raw = [bytes(table[c] for c in n) if all(c in table for c in n) else n.encode() for n in names]
     starts = np.array([n.startswith("Ġ") for n in names])
     tails = {c: np.array(encode([c])[0], "<u4").tobytes() for c in ".,"}
-    return side(Words(lambda texts: encode([" " + t for t in texts]), starts, "<u4", " ", True, tails=tails, most=120_000), raw)
+    return side(Words(lambda texts: encode([" " + t for t in texts]), starts, "<u4", " ", True, tails=tails, most=60_000), raw)
 
 
 @lru_cache(maxsize=2)
@@ -79,7 +79,7 @@ def piece_side(form: str) -> Side:
     codec = sentencepieces.codec(form, None)
     if codec.words is None:
         raise ValueError("the second tokenizer must put a space before texts and keep them as they are")
-    return side(Words(codec._raw, codec.words.starts, "<u4", sentencepieces.MARK, True, most=120_000), codec.raw)
+    return side(Words(codec._raw, codec.words.starts, "<u4", sentencepieces.MARK, True, most=60_000), codec.raw)
 
 
 @dataclass
@@ -248,6 +248,8 @@ def encoded(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
                 wide[some] = sizes
                 cells = [wide, sequence.astype("<u4"), links.astype("<u4"), found.pairs.astype("<u8")]
                 yield _block_row(task, ids, {c: v.tolist() for c, v in numbers.items()}, hashes.tolist(), [squeeze(x.tobytes()) for x in cells], schema)
+                del parts, found, rows, digests, cells
+                pa.default_memory_pool().release_unused()
                 seen += texts.nbytes
                 if seen > COUNTED:
                     yield _counts_row(task, tables[0], schema)
