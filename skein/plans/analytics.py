@@ -17,6 +17,7 @@ from skein.operators import fidelity as S
 from skein.operators import licenses as L
 from skein.operators import patterns as P
 from skein.operators import text as D
+from skein.operators.similar import similar_documents, similar_pairs
 from skein.plans.corpus import MD_SQL, pages_as_markdown
 from skein.plans.registry import ORACLES, Tables, query
 from skein.plans.text import ELEMENTS, group_case, lit, words
@@ -405,11 +406,15 @@ def _(t):
     return S.keyword_similarity(neighbours(d), d).withColumn("keyword_similarity", F.round("keyword_similarity", 6))
 
 
-#: Pairs of near copies among all documents SRC, after KW: the smallest ids of equal keyword sets, and each of them with its equals.
-CORPUS_PAIRS = """, ks AS MATERIALIZED (SELECT doc_id, list_sort(w) AS w, min(doc_id) OVER (PARTITION BY list_sort(w)) AS rep FROM k),
-prs AS MATERIALIZED (SELECT a.doc_id AS left_id, b.doc_id AS right_id, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS keyword_similarity
-  FROM ks a JOIN ks b ON a.doc_id = a.rep AND b.doc_id = b.rep AND a.doc_id < b.doc_id WHERE len(a.w) > 0 AND len(b.w) > 0 AND keyword_similarity >= 0.8
-  UNION ALL SELECT rep, doc_id, 1.0 FROM ks WHERE doc_id <> rep)
+#: Classes of equal keyword sets of documents SRC, after KW, and the words that any two of them share, counted word by word.
+SHARED_WORDS = """, cl AS MATERIALIZED (SELECT min(doc_id) AS class_id, count(*) AS copies, list_sort(w) AS w FROM k GROUP BY list_sort(w)),
+cw AS MATERIALIZED (SELECT class_id, unnest(w) AS word FROM cl),
+sh AS (SELECT a.class_id AS l, b.class_id AS r, count(*) AS n FROM cw a JOIN cw b ON a.word = b.word AND a.class_id <> b.class_id GROUP BY ALL),
+alike AS MATERIALIZED (SELECT l, r, n / (len(a.w) + len(b.w) - n) AS similarity, b.copies FROM sh JOIN cl a ON a.class_id = l JOIN cl b ON b.class_id = r WHERE similarity >= 0.8)
+"""
+#: The links as pairs of smallest ids, and each of these with its equals.
+CORPUS_PAIRS = SHARED_WORDS + """, prs AS MATERIALIZED (SELECT l AS left_id, r AS right_id, similarity AS keyword_similarity FROM alike WHERE l < r
+  UNION ALL SELECT class_id, doc_id, 1.0 FROM k JOIN cl ON list_sort(k.w) = cl.w WHERE doc_id <> class_id)
 """
 
 
@@ -422,11 +427,13 @@ def near_copies(t: Tables) -> DataFrame:
 COPIES = "src AS MATERIALIZED (SELECT doc_id, text FROM documents UNION ALL SELECT -doc_id - 1, text || ' nearcopyword' FROM documents WHERE doc_id % 3 = 0),"
 
 
-@query("t28_corpus_pairs", "WITH " + COPIES + KW.replace("SRC", "src") + CORPUS_PAIRS + "SELECT left_id, right_id, round(keyword_similarity, 6) AS keyword_similarity FROM prs")
+@query("t28_corpus_pairs", "WITH " + COPIES + KW.replace("SRC", "src") + SHARED_WORDS + """,
+li AS (SELECT l, sum(copies) AS links, first(r ORDER BY similarity DESC, r) AS nearest_id, max(similarity) AS nearest_similarity FROM alike GROUP BY l)
+SELECT k.doc_id, class_id, copies, (copies - 1 + coalesce(links, 0))::BIGINT AS links, nearest_id, round(nearest_similarity, 6) AS nearest_similarity
+FROM k JOIN cl ON list_sort(k.w) = cl.w LEFT JOIN li ON li.l = class_id""")
 def _(t):
-    """Pairs of similarity 0.8 or more at any ids."""
-    d = near_copies(t)
-    return S.keyword_similarity(S.similar_pairs(d), d).withColumn("keyword_similarity", F.round("keyword_similarity", 6))
+    """A row per document: its class, and its links of similarity 0.8 or more at any ids."""
+    return similar_documents(near_copies(t)).withColumn("nearest_similarity", F.round("nearest_similarity", 6))
 
 
 @query("t29_tfidf_similarity", f"""
@@ -511,19 +518,19 @@ MD_PAIRS = "WITH " + MD_SQL + "," + KW.replace("SRC", "md") + CORPUS_PAIRS + ","
     "SELECT a.doc_id AS left_id, b.doc_id AS right_id FROM documents a JOIN documents b ON " + NEXT, "SELECT left_id, right_id FROM prs").replace("AS w FROM documents", "AS w FROM src"))
 def _(t):
     d = near_copies(t)
-    return S.tfidf_similarity(S.similar_pairs(d), d).withColumn("tfidf_similarity", F.round("tfidf_similarity", 6))
+    return S.tfidf_similarity(similar_pairs(d), d).withColumn("tfidf_similarity", F.round("tfidf_similarity", 6))
 
 
 @query("t30_corpus_pairs", MD_PAIRS + ORACLES["t30_structure_similarity"].removeprefix("WITH " + STRUCTURE))
 def _(t):
     d = pages_as_markdown(t)
-    return S.structure_similarity(S.similar_pairs(d), d).withColumn("structure_similarity", F.round("structure_similarity", 6))
+    return S.structure_similarity(similar_pairs(d), d).withColumn("structure_similarity", F.round("structure_similarity", 6))
 
 
 @query("t32_corpus_pairs", MD_PAIRS + "," + META_SQL + ORACLES["t32_fidelity"].split(META_SQL)[1].replace("JOIN jac", "JOIN prs"))
 def _(t):
     d = pages_as_markdown(t)
-    return scored(S.similar_pairs(d), d)
+    return scored(similar_pairs(d), d)
 
 
 @query("j12_matched_conversions", """
