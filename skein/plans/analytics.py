@@ -6,7 +6,7 @@ kind. Nested documents come from the decomposed pages.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import license_values as LV
@@ -14,6 +14,7 @@ from skein.functions import text as X
 from skein.functions import text_values as V
 from skein.operators import documents as N
 from skein.operators import fidelity as S
+from skein.operators import flows as W
 from skein.operators import licenses as L
 from skein.operators import patterns as P
 from skein.operators import text as D
@@ -156,6 +157,38 @@ def _(t):
     return P.common_sequences(seq.select(F.transform("s", lambda x: x["kind"]).alias("sequence")))
 
 
+# Flows of the documents: the elements by place as a tree of branches (step i goes on to 2 i + 1 and 2 i + 2), some going back.
+FLOWS = "WITH RECURSIVE " + ELEMENTS + """, st AS MATERIALIZED (SELECT doc_id, kind, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, element_id) - 1 AS i FROM elements),
+walk(doc_id, kind, i, path) AS (SELECT doc_id, kind, i, [0] FROM st WHERE i = 0
+  UNION ALL SELECT s.doc_id, s.kind, s.i, list_append(path, (s.i % 2 = 0)::INT) FROM walk w JOIN st s ON s.doc_id = w.doc_id AND s.i > 0 AND (s.i - 1) // 2 = w.i),
+sq AS MATERIALIZED (SELECT doc_id, string_agg(kind, '->' ORDER BY path) AS seq FROM walk GROUP BY doc_id)
+"""
+
+
+def flow_steps(t: Tables) -> DataFrame:
+    e = D.decompose(pages_as_markdown(t), "doc_id")
+    place = Window.partitionBy("doc_id")
+    i, n = F.col("position"), F.count(F.lit(1)).over(place)
+    e = e.withColumn("position", F.row_number().over(place.orderBy("line_no", "element_id")) - 1)
+    back = F.when((i % 3 == 0) & (i > 0), ((i - 1) / 2).cast("int"))
+    targets = F.array_compact(F.array(F.when(2 * i + 1 < n, 2 * i + 1), F.when(2 * i + 2 < n, 2 * i + 2), back))
+    return e.select("doc_id", i.cast("string").alias("step"), "position", F.col("element_id").alias("element_ref"), targets.cast("array<string>").alias("targets"))
+
+
+@query("a17_flow_sequences", FLOWS + "SELECT doc_id, seq AS sequence FROM sq")
+def _(t):
+    return W.flow_sequences(flow_steps(t)).select("doc_id", F.array_join("sequence", "->").alias("sequence"))
+
+
+@query("a17_flow_patterns", FLOWS + """,
+kd AS (SELECT unnest(['action', 'rule', 'directive']) AS kind),
+pt AS (SELECT a.kind AS pattern, 1 AS length, a.kind AS re FROM kd a UNION ALL SELECT a.kind || '->' || b.kind, 2, a.kind || '.*' || b.kind FROM kd a, kd b
+  UNION ALL SELECT a.kind || '->' || b.kind || '->' || c.kind, 3, a.kind || '.*' || b.kind || '.*' || c.kind FROM kd a, kd b, kd c)
+SELECT pattern, length::BIGINT AS length, count(*) AS documents FROM pt JOIN sq ON regexp_matches(seq, re) GROUP BY ALL HAVING 4 * count(*) >= (SELECT count(*) FROM sq)""")
+def _(t):
+    return W.frequent_patterns(W.flow_sequences(flow_steps(t)), 0.25, 3)
+
+
 @query("a30_complexity", EL + COUNTS + """
 SELECT doc_id, actions, rules, directives, actions + rules + directives AS total, round(actions / total * 100, 1) AS action_share, round(rules / total * 100, 1) AS rule_share,
   round(directives / total * 100, 1) AS directive_share, CASE WHEN total < 8 THEN 'Simple' WHEN total < 15 THEN 'Medium' ELSE 'Complex' END AS complexity FROM cnt""")
