@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions import scan_values as SV
 from skein.functions import text_values as V
 from skein.operators import extension as X
+from skein.operators import manifest
 from skein.operators import patterns as P
 from skein.operators import registry as R
 from skein.operators import scan as S
@@ -125,6 +126,33 @@ def _(t):
     return R.asset_summaries(revisions(t).withColumn("name", F.col("source")))
 
 
+MANIFEST = ["doc_id", "text", "lang", "source"]
+LEAF = "sha256(" + " || '|' || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in MANIFEST) + ")"
+
+
+@query("a29_manifest", f"""
+WITH leaf AS (SELECT leaf, count(*) AS n FROM (SELECT {LEAF} AS leaf FROM documents) GROUP BY leaf),
+n2 AS (SELECT leaf[1:2] AS prefix, sha256(string_agg(leaf || '*' || n, ',' ORDER BY leaf || '*' || n)) AS digest, sum(n)::BIGINT AS "rows" FROM leaf GROUP BY 1),
+n1 AS (SELECT prefix[1:1] AS prefix, sha256(string_agg(prefix || '=' || digest, ',' ORDER BY prefix)) AS digest, sum("rows")::BIGINT AS "rows" FROM n2 GROUP BY 1),
+n0 AS (SELECT '' AS prefix, sha256(string_agg(prefix || '=' || digest, ',' ORDER BY prefix)) AS digest, sum("rows")::BIGINT AS "rows" FROM n1)
+SELECT 0 AS depth, * FROM n0 UNION ALL SELECT 1, * FROM n1 UNION ALL SELECT 2, * FROM n2""")
+def _(t):
+    return manifest.manifest(t.documents, MANIFEST, 2)
+
+
+@query("a29_manifest_changes", """
+SELECT doc_id, text, lang, source, 1::BIGINT AS n_before, 0::BIGINT AS n_after FROM documents WHERE doc_id % 97 IN (0, 1)
+UNION ALL SELECT doc_id, text || '!', lang, source, 0, 1 FROM documents WHERE doc_id % 97 = 0
+UNION ALL SELECT doc_id, text, lang, source, 1, 2 FROM documents WHERE doc_id % 97 = 2""")
+def _(t):
+    """Documents before and after an edit that changes some, drops some and repeats some."""
+    before, part = t.documents.select(*MANIFEST), F.col("doc_id") % 97
+    edited = before.withColumn("text", F.when(part == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).where(part != 1)
+    after = edited.unionByName(before.where(part == 2))
+    a, b = (snapshots.stored(manifest.manifest(d, MANIFEST), "manifest") for d in (before, after))
+    return manifest.changed_rows(before, after, MANIFEST, manifest.changed_buckets(a, b))
+
+
 @query("a29_corpus_digest", """
 WITH x AS (SELECT sha256('{"content_hash":"sha256:' || sha256(text) || '","source_path":"doc/' || doc_id || '"}') AS leaf FROM documents),
 s AS (SELECT count(*) AS n, sum(('0x' || substr(leaf, 1, 15))::HUGEINT) AS a, sum(('0x' || substr(leaf, 16, 15))::HUGEINT) AS b,
