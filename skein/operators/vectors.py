@@ -42,30 +42,40 @@ def nearest(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     )
 
 
-def _packed(rows: DataFrame, key: str, ident: str, prefix: str, block: int) -> DataFrame:
-    """Rows (key, id, embedding) as blocks of at most ``block``: key, ids, cells, dimension as bytes and a number."""
-    salted = rows.select(F.col(key).alias("key"), F.col(ident).alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    salted = salted.repartition("key", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("key")
+def packed(rows: DataFrame, key: str, ident: str, prefix: str, block: int = BLOCK) -> DataFrame:
+    """Rows (key, id, embedding) as blocks of at most ``block``, packed where they are read, without a shuffle: key, ids, cells, dimension.
+
+    A task holds at most 64 blocks' worth of rows; beyond that its largest key goes out early.
+    """
+    plain = rows.where(F.col("embedding").isNotNull()).select(
+        F.col(key).cast("long").alias("key"), F.col(ident).alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, ids, cells = None, [], []
+        held: dict[int, tuple[list, list]] = {}
+        n = 0
 
-        def out() -> pd.DataFrame:
+        def out(own: int) -> pd.DataFrame:
+            ids, cells = held.pop(own)
             matrix = np.stack(cells)
             return pd.DataFrame({"key": [own], f"{prefix}ids": [np.array(ids, dtype="<i8").tobytes()], f"{prefix}cells": [matrix.tobytes()], f"{prefix}dim": [matrix.shape[1]]})
 
         for batch in batches:
             for k, i, e in zip(batch["key"], batch["id"], batch["embedding"]):
-                if ids and (k != own or len(ids) >= block):
-                    yield out()
-                    ids, cells = [], []
-                own = k
+                ids, cells = held.setdefault(k, ([], []))
                 ids.append(i)
                 cells.append(np.asarray(e, dtype="<f8"))
-        if ids:
-            yield out()
+                n += 1
+                if len(ids) >= block:
+                    n -= len(ids)
+                    yield out(k)
+                elif n >= 64 * block:
+                    largest = max(held, key=lambda x: len(held[x][0]))
+                    n -= len(held[largest][0])
+                    yield out(largest)
+        for own in list(held):
+            yield out(own)
 
-    return salted.mapInPandas(pack, f"key long, {prefix}ids binary, {prefix}cells binary, {prefix}dim int")
+    return plain.mapInPandas(pack, f"key long, {prefix}ids binary, {prefix}cells binary, {prefix}dim int")
 
 
 def _best_of_block(ids: np.ndarray, queries: np.ndarray, point_ids: np.ndarray, points: np.ndarray, k: int) -> pd.DataFrame:
@@ -95,16 +105,18 @@ def _met(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top_n(found, ["query_id"], ["distance", "id"], k)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, slots: int = 64) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, slots: int | None = None) -> DataFrame:
     """V1: exact nearest k vectors for each query (query_id, embedding), by distance then id.
 
-    Vectors lie in ``slots`` by a hash of their id, in packed blocks; every packed block of queries is
-    sent to every slot, and each pair of blocks keeps k rows per query. Nothing passes the driver.
-    The work is queries times vectors, so the caller bounds the queries; for very many there is ``approximate_knn``.
+    Vectors are packed in blocks where they are read, and blocks lie in ``slots``, as many as there are blocks' worth of vectors
+    unless given; every block of queries is sent to every slot, and each pair of blocks keeps k rows per query. Nothing passes the
+    driver. The work is queries times vectors, so the caller bounds the queries; for very many there is ``quantised``.
     """
-    slot = F.pmod(F.xxhash64("id"), F.lit(slots).cast("long"))
-    points = _packed(vectors.withColumn("__slot", slot), "__slot", "id", "", block)
-    asked = _packed(queries.withColumn("__slot", F.lit(0).cast("long")), "__slot", "query_id", "q_", block)
+    if slots is None:
+        slots = max(1, -(-vectors.count() // block))
+    points = packed(vectors.withColumn("__one", F.lit(0)), "__one", "id", "", block)
+    points = points.withColumn("key", F.pmod(F.xxhash64("ids"), F.lit(slots).cast("long")))
+    asked = packed(queries.withColumn("__one", F.lit(0)), "__one", "query_id", "q_", block)
     sent = asked.withColumn("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
     return _met(points, sent, k)
 
@@ -133,9 +145,8 @@ def find_similar(vectors: DataFrame, names: DataFrame, name: str, k: int) -> Dat
     return knn(vectors, query, k + 1).where(F.col("id") != F.col("query_id")).where(F.col("rank") <= k + 1).orderBy("distance", "id").limit(k)
 
 
-def similar_for_all(vectors: DataFrame, k: int) -> DataFrame:
-    """V3 for every vector: k neighbours without itself."""
-    queries = vectors.select(F.col("id").alias("query_id"), "embedding")
+def similar_for_all(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """V3 for a set of queries: k neighbours without itself."""
     others = knn(vectors, queries, k + 1).where(F.col("id") != F.col("query_id")).drop("rank")
     return top_n(others, ["query_id"], ["distance", "id"], k)
 
@@ -145,13 +156,15 @@ def clusters(vectors: DataFrame, k: int, dimension: int, seed: int = 42, restart
     zeros = F.array_repeat(F.lit(0.0), dimension)
     points = vectors.select("id", array_to_vector(F.coalesce(F.col("embedding").cast("array<double>"), zeros)).alias("features")).persist()
     best = None
-    parts = min(k, points.count())
-    for step in range(restarts):
-        model = KMeans(k=parts, seed=seed + step, featuresCol="features", predictionCol="cluster").fit(points)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    cost = float(best.summary.trainingCost)
-    points.unpersist()
+    try:
+        parts = min(k, points.count())
+        for step in range(restarts):
+            model = KMeans(k=parts, seed=seed + step, featuresCol="features", predictionCol="cluster").fit(points)
+            if best is None or model.summary.trainingCost < best.summary.trainingCost:
+                best = model
+        cost = float(best.summary.trainingCost)
+    finally:
+        points.unpersist()
     return best.transform(points).select("id", F.col("cluster").cast("long").alias("cluster")), cost
 
 
@@ -173,7 +186,7 @@ def approximate_knn(vectors: DataFrame, queries: DataFrame, k: int, cells: int =
 
     points = vectors.select("id", "embedding", nearest_cells("embedding")[0].alias("cell"))
     asked = queries.select("query_id", "embedding", F.explode(nearest_cells("embedding")).alias("cell"))
-    return _met(_packed(points, "cell", "id", "", block), _packed(asked, "cell", "query_id", "q_", block), k)
+    return _met(packed(points, "cell", "id", "", block), packed(asked, "cell", "query_id", "q_", block), k)
 
 
 def embed_texts(documents: DataFrame, tokens: Column, dimension: int = 256) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.search import search_tokens, tokens
+from skein.operators import quantised as Q
 from skein.operators import retrieval as R
 from skein.operators import vectors as V
 from skein.operators import fidelity as S
@@ -20,7 +21,8 @@ def vectors(t: Tables) -> DataFrame:
 
 
 def as_queries(v: DataFrame) -> DataFrame:
-    return v.select(F.col("id").alias("query_id"), "embedding")
+    """The query set of the searches: every vector whose id is divisible by 50, against all vectors."""
+    return v.where(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), "embedding")
 
 
 def letter_profile(text: Column) -> Column:
@@ -32,7 +34,7 @@ def letter_profile(text: Column) -> Column:
 
 VEC = """
 WITH v AS MATERIALIZED (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
-d AS MATERIALIZED (SELECT q.id AS query_id, v.id, list_distance(q.e, v.e) AS distance FROM v q, v),
+d AS MATERIALIZED (SELECT q.id AS query_id, v.id, list_distance(q.e, v.e) AS distance FROM v q, v WHERE q.id % 50 = 0 OR q.id = 42),
 knn AS MATERIALIZED (SELECT * FROM (SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::BIGINT AS rank FROM d) WHERE rank <= 20)
 """
 
@@ -46,13 +48,13 @@ def _(t):
     return found.select("id", F.round("distance", 6).alias("distance"), F.round("similarity", 6).alias("similarity"))
 
 
-@query("v1_exact_knn", VEC + "SELECT query_id, id, round(distance, 6) AS distance, rank FROM knn WHERE rank <= 5")
+@query("v1_exact_knn", VEC + "SELECT query_id, id, round(distance, 6) AS distance, rank FROM knn WHERE rank <= 5 AND query_id % 50 = 0")
 def _(t):
     v = vectors(t)
     return V.knn(v, as_queries(v), 5).withColumn("distance", F.round("distance", 6))
 
 
-@query("t45_similarity", VEC + "SELECT query_id, id, round(1 / (1 + distance), 6) AS similarity FROM knn WHERE rank <= 3")
+@query("t45_similarity", VEC + "SELECT query_id, id, round(1 / (1 + distance), 6) AS similarity FROM knn WHERE rank <= 3 AND query_id % 50 = 0")
 def _(t):
     v = vectors(t)
     return V.knn(v, as_queries(v), 3).select("query_id", "id", F.round(V.similarity(F.col("distance")), 6).alias("similarity"))
@@ -61,7 +63,7 @@ def _(t):
 @query("v2_search_assets", """
 WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
 k AS (SELECT q.id AS query_id, v.id, list_distance(q.e, v.e) AS distance, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.e, v.e), v.id) AS rank
-  FROM v q, v JOIN documents ON doc_id = v.id)
+  FROM v q, v JOIN documents ON doc_id = v.id WHERE q.id % 50 = 0)
 SELECT query_id, id, 'asset-' || lang || '-' || id AS asset_id, source, rank, round(distance, 6) AS distance FROM k JOIN documents ON doc_id = id WHERE rank <= 5""")
 def _(t):
     v = vectors(t)
@@ -85,9 +87,10 @@ def _(t):
 
 
 @query("v3_similar_for_all", VEC + """
-SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::BIGINT AS rank FROM d WHERE id <> query_id) WHERE rank <= 5""")
+SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::BIGINT AS rank FROM d WHERE id <> query_id AND query_id % 50 = 0) WHERE rank <= 5""")
 def _(t):
-    return V.similar_for_all(vectors(t), 5).select("query_id", "id", "rank")
+    v = vectors(t)
+    return V.similar_for_all(v, as_queries(v), 5).select("query_id", "id", "rank")
 
 
 @query("v4_clusters", """
@@ -108,18 +111,43 @@ def _(t):
         "no_worse_than_one_run", F.lit(cost <= single + 1e-9))
 
 
+def quantised_search(t: Tables, k: int = 5) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Vectors, candidates (at most a tenth of the vectors per query), the k nearest of them, and the number of vectors."""
+    v = vectors(t)
+    n = v.count()
+    model = Q.fit(v)
+    index = stored(Q.encoded(v, model), "vector-codes")
+    found = stored(Q.candidates(index, model, as_queries(v), max(k, min(200, n // 10))), "candidates")
+    return v, found, Q.reranked(found, v, as_queries(v), k), n
+
+
 @query("v5_approximate_knn", """
-SELECT vec_id AS query_id, least(5, (SELECT count(*) FROM embeddings)) AS results, true AS distances_true, true AS recall_reached FROM embeddings""")
+SELECT vec_id AS query_id, least(5, (SELECT count(*) FROM embeddings)) AS results, true AS distances_true, true AS recall_reached, true AS read_a_tenth
+FROM embeddings WHERE vec_id % 50 = 0""")
 def _(t):
-    """Per query: its results, whether their distances are the true ones, and whether nine tenths of the exact results of all queries are found."""
-    v = vectors(t)
-    found, exact = V.approximate_knn(v, as_queries(v), 5), V.knn(v, as_queries(v), 5)
-    true = F.abs(V.l2_distance(F.col("a"), F.col("b")) - F.col("distance")) < 1e-6
-    met = found.join(v.select(F.col("id").alias("query_id"), F.col("embedding").alias("a")), "query_id").join(v.select("id", F.col("embedding").alias("b")), "id")
-    per = met.select("query_id", "id", true.alias("true")).join(exact.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
-    per = stored(per.groupBy("query_id").agg(F.count(F.lit(1)).alias("results"), F.bool_and("true").alias("distances_true"), F.count("hit").alias("hits")), "recalls")
+    """Per query: its results, whether their distances are the true ones, whether nine tenths of the exact results of all queries are
+    found, and whether at most a tenth of the vectors were read for it."""
+    v, read, found, n = quantised_search(t)
+    exact = V.knn(v, as_queries(v), 5)
+    true = F.abs(F.col("distance") - F.col("exact")) < 1e-6
+    per = found.join(exact.select("query_id", "id", F.col("distance").alias("exact")), ["query_id", "id"], "left")
+    worst = exact.groupBy("query_id").agg(F.max("distance").alias("worst"))
+    # A result that is not among the exact ones cannot be nearer than the last of those.
+    per = per.join(worst, "query_id").withColumn("true", F.when(F.col("exact").isNull(), F.col("distance") >= F.col("worst") - 1e-6).otherwise(true))
+    per = per.groupBy("query_id").agg(F.count(F.lit(1)).alias("results"), F.bool_and("true").alias("distances_true"), F.count("exact").alias("hits"))
+    per = stored(per.join(read.groupBy("query_id").agg(F.count(F.lit(1)).alias("read")), "query_id"), "recalls")
     reached = per.agg((F.sum("hits") / F.sum("results") >= 0.9).alias("recall_reached"))  # one row
-    return per.crossJoin(F.broadcast(reached)).select("query_id", "results", "distances_true", "recall_reached")
+    return per.crossJoin(F.broadcast(reached)).select("query_id", "results", "distances_true", "recall_reached", (F.col("read") * 10 <= n).alias("read_a_tenth"))
+
+
+@query("v5_search_figures")
+def _(t):
+    """One row: queries, recall of the quantised search, and the largest share of the vectors that a query read."""
+    v, read, found, n = quantised_search(t)
+    exact = V.knn(v, as_queries(v), 5).select("query_id", "id")
+    share = read.groupBy("query_id").agg(F.count(F.lit(1)).alias("read")).agg(F.count(F.lit(1)).alias("queries"), (F.max("read") / n).alias("share_read"))
+    hits = exact.join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
+    return share.crossJoin(F.broadcast(hits))
 
 
 @query("v11_text_vectors", """

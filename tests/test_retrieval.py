@@ -161,3 +161,45 @@ def test_recall_needs_no_window_over_all_queries(spark, sf):
     load_all()
     found = QUERIES["v5_approximate_knn"](spark, sf)
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_quantised_search_against_brute_force(vectors, data, spark):
+    from skein.operators import quantised as Q
+
+    queries = vectors.where(F.col("id") % 10 == 0).select(F.col("id").alias("query_id"), "embedding")
+    model = Q.fit(vectors, cells=12, parts=5, codes=64)
+    index = Q.encoded(vectors, model, block=64).persist()
+    assert sorted(i for r in index.collect() for i in np.frombuffer(r.ids, "<i8").tolist()) == list(range(len(data)))
+    found = Q.candidates(index, model, queries, 40, probes=4).persist()
+    got = {(r.query_id, r.id): r.distance for r in Q.reranked(found, vectors, queries, 5).collect()}
+    want = {(q, i): d for q in range(0, len(data), 10) for i, d in brute(data, q, 5)}
+    assert len(got) == len(want) and len(got.keys() & want.keys()) / len(want) > 0.95
+    assert all(got[x] == pytest.approx(want[x], abs=1e-6) for x in got.keys() & want.keys())
+    assert found.groupBy("query_id").count().where("count > 40").count() == 0
+    # All cells and all vectors as candidates: exact.
+    whole = Q.reranked(Q.candidates(index, model, queries, len(data), probes=12), vectors, queries, 5)
+    assert {(r.query_id, r.id) for r in whole.collect()} == want.keys()
+
+
+def test_quantised_codes_of_few_distinct_vectors_are_exact(spark):
+    from skein.operators import quantised as Q
+
+    rows = [(i, [float(i % 3), 1.0, float(i % 2)]) for i in range(30)] + [(99, None)]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>")
+    model = Q.fit(v, cells=2, parts=8)
+    queries = v.where("id < 6").select(F.col("id").alias("query_id"), "embedding")
+    got = Q.reranked(Q.candidates(Q.encoded(v, model), model, queries, 5, probes=2), v, queries, 5).collect()
+    # Copies tie at distance zero and go by id.
+    assert sorted((r.query_id, r.rank, r.id) for r in got) == [(q, n + 1, q + 6 * n) for q in range(6) for n in range(5)]
+    assert {r.distance for r in got} == {0.0}
+    with pytest.raises(ValueError):
+        Q.fit(v.where("id = 99"))
+
+
+def test_search_figures(spark, sf):
+    from skein.plans import load_all
+    from skein.plans.registry import QUERIES
+
+    load_all()
+    row = QUERIES["v5_search_figures"](spark, sf).first()
+    assert row.queries == 10 and row.recall >= 0.9 and row.share_read <= 0.1
