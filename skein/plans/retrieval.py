@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,11 +73,17 @@ def _(t):
     return V.search_assets(v, identity, as_queries(v), 5, ["skill"]).select("query_id", "id", "asset_id", "source", "rank", F.round("distance", 6).alias("distance"))
 
 
-@query("p14_asset_type_guard", "SELECT vec_id AS query_id, vec_id AS id FROM embeddings WHERE false")
+@query("p14_asset_type_guard", """
+SELECT types, CASE WHEN contains(types, 'skill') THEN (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0) * least(5, (SELECT count(*) FROM embeddings JOIN documents ON doc_id = vec_id)) ELSE 0 END::BIGINT AS results
+FROM (SELECT unnest(['skill', 'workflow', 'workflow,skill']) AS types)""")
 def _(t):
+    """Searches for skills, for another type, and for both: only those that ask for skills find something."""
     v = vectors(t)
     identity = t.documents.select(F.col("doc_id").alias("id"), "source")
-    return V.search_assets(v, identity, as_queries(v), 5, ["workflow"]).select("query_id", "id")
+    asked = as_queries(v)
+    counts = [V.search_assets(v, identity, asked, 5, types.split(",")).agg(F.count(F.lit(1)).alias("results")).select(F.lit(types).alias("types"), "results")
+              for types in ("skill", "workflow", "workflow,skill")]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query("v3_find_similar", VEC + """
