@@ -25,6 +25,17 @@ def _filesystem(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
 
+def content_version(df: DataFrame) -> tuple:
+    """Names, sizes and times of the files of a scan: changes when they do, and reads none of them."""
+    spark = df.sparkSession
+    out = []
+    for name in sorted(df.inputFiles()):
+        fs, hadoop = _filesystem(spark, name)
+        status = fs.getFileStatus(hadoop.Path(spark._jvm.java.net.URI(name)))
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
 def current_version(spark: SparkSession, table: str) -> str | None:
     """Name of the version the pointer names, None for a table without one."""
     fs, hadoop = _filesystem(spark, table)
