@@ -15,13 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.search import search_tokens
-from skein.operators.retrieval import B, K1, LEAST_IDF, postings
+from skein.operators.retrieval import B, K1, LEAST_IDF
 from skein.operators.skew import top_n
 from skein.sources.snapshots import read_snapshot, stored, write_snapshot
 
 # Documents per block, on average, and folders that the terms of a run are dealt to.
 BLOCK_DOCUMENTS = 64
-BUCKETS = 32
+BUCKETS = 16
 RUNS = "run long, folder string"
 #: Scores are compared at six digits; a bound this much below the k-th score cannot matter.
 SLACK = 2e-6
@@ -62,10 +62,19 @@ def index_run(documents: DataFrame, table: str, weights: dict[str, float], remov
     number = done[-1][0] + 1 if done else 0
     folder = f"{table}/run-{number}-{uuid.uuid4().hex}"
     old = live_documents(spark, table)
-    entries = stored(postings(documents, weights), "postings")
-    own = documents.select("id").join(
-        entries.groupBy("id").agg(F.max("length").cast("long").alias("length"), F.sort_array(F.collect_list("term")).alias("terms")), "id", "left")
-    own = own.select("id", F.coalesce("length", F.lit(0).cast("long")).alias("length"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms"), F.lit(number).cast("long").alias("run"))
+    count = documents.count()
+    block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-count // block_documents))).cast("long"))
+    # One shuffle, of the documents by block: their words are counted and packed where the block lies.
+    placed = documents.withColumn("block", block).repartition("block")
+    arrays = placed.select("block", "id", *[search_tokens(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in weights])
+
+    def entry(field: str, weight: float) -> Column:
+        return F.transform(field, lambda w: F.struct(w.alias("term"), F.lit(float(weight)).alias("w")))
+
+    weighted = F.concat(*[entry(f, w) for f, w in weights.items()])
+    length = sum((F.size(f) for f in weights), F.lit(0)).cast("long")
+    entries = arrays.select("block", "id", length.alias("length"), F.explode(weighted).alias("t")).groupBy("block", "id", "length", "t.term").agg(F.sum("t.w").alias("wtf"))
+    own = arrays.select("id", length.alias("length"), F.array_sort(F.array_distinct(F.concat(*weights))).alias("terms"), F.lit(number).cast("long").alias("run"))
     own.write.parquet(f"{folder}/documents")
     own = spark.read.schema(SCHEMAS["documents"]).parquet(f"{folder}/documents")
 
@@ -73,13 +82,10 @@ def index_run(documents: DataFrame, table: str, weights: dict[str, float], remov
     ended = stored(old.join(gone, "id", "left_semi"), "ended")
     ended.select("id", "run").write.parquet(f"{folder}/dead")
 
-    count = own.count()
-    block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-count // block_documents))).cast("long"))
-    packed = entries.groupBy("term", block.alias("block")).agg(
-        F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("id", "wtf", F.col("length").cast("long").alias("length")))).alias("entries"),
+    packed = entries.groupBy("block", "term").agg(
+        F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("id", "wtf", "length"))).alias("entries"),
     ).withColumn("best", _undominated(F.col("entries"))).withColumn("run", F.lit(number).cast("long")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-    # A hot term has a block per group of documents, so it is dealt to as many tasks as the rest.
-    packed.repartition("bucket", F.pmod(F.col("block"), F.lit(8))).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{folder}/blocks")
+    packed.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{folder}/blocks")
 
     changes = own.select(F.explode("terms").alias("term"), F.lit(1).alias("by")).unionByName(ended.select(F.explode("terms").alias("term"), F.lit(-1).alias("by")))
     changes.groupBy("term").agg(F.sum("by").alias("df")).where(F.col("df") != 0).write.parquet(f"{folder}/terms")
@@ -129,10 +135,13 @@ def search(spark: SparkSession, table: str, queries: DataFrame, k: int, first_bl
     def scored(wanted: DataFrame) -> DataFrame:
         """Scores of the documents of some blocks, each block met by the words of the queries that want it."""
         met = wanted.select("query_id", "run", "block").join(known, "query_id")
-        found = blocks.select("bucket", "term", "run", "block", "entries").join(met, ["bucket", "term", "run", "block"])
-        rows = found.select("query_id", "run", "weight", F.explode("entries").alias("e")).select("query_id", "run", "weight", "e.*")
+        # A block's postings go to one task once, however many queries want them, and its documents are summed up there.
+        wants = blocks.select("bucket", "term", "run", "block", "entries").join(known.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
+        wants = wants.join(wanted.select("run", "block").distinct(), ["run", "block"], "left_semi").repartition("run", "block")
+        found = wants.join(met, ["bucket", "term", "run", "block"])
+        rows = found.select("query_id", "run", "block", "weight", F.explode("entries").alias("e")).select("query_id", "run", "block", "weight", "e.*")
         rows = rows.join(dead, ["id", "run"], "left_anti")
-        return rows.groupBy("query_id", "id").agg(F.sum(F.col("weight") * _part(F.col("wtf"), F.col("length"), mean)).alias("score"))
+        return rows.groupBy("run", "block", "query_id", "id").agg(F.sum(F.col("weight") * _part(F.col("wtf"), F.col("length"), mean)).alias("score")).drop("run", "block")
 
     early = stored(scored(first), "early-scores")
     order = [F.desc(F.round("score", 6)), "id"]
