@@ -94,6 +94,25 @@ def test_planted_insults(spark, frame):
     assert {r.doc_id: round(r.score, 6) for r in again} == {r.doc_id: round(r.score, 6) for r in got}
 
 
+def test_known_words_in_other_spellings_and_long_texts(spark, frame):
+    docs, labels = corpus(800)
+    clean = [text for i, text, *_ in docs if i % 4]
+    forms = ["1d10t", "5cum", "$tup1d", "m0r0n1c", "tr@shy", "idiooot", "scúm", "moronically", "stupid"]
+    made = [(10_000 + 4 * i, " ".join([*clean[i : i + 12], form, *clean[i + 12 : i + 24]]), "en", "s") for i, form in enumerate(forms * 4)]
+    plain = [(20_000 + i, " ".join(clean[i : i + 24]), "en", "s") for i in range(0, 200, 4)]
+    got = toxicity.classify(frame(docs + made + plain), spark.createDataFrame(labels, "doc_id long, toxic int")).where("doc_id >= 10000").collect()
+    caught = [r.predicted for r in got if r.doc_id < 20_000]
+    spared = [r.predicted for r in got if r.doc_id >= 20_000]
+    assert len(caught) == 36 and sum(caught) / len(caught) > 0.9 and sum(spared) / len(spared) < 0.1
+
+
+def test_beginnings_of_units():
+    units = toxicity.spelled(["loser", "loserly", "looser", "löser", "closer"])
+    found = toxicity.lexicon(np.array([k for k, own in toxicity.heads(toxicity.spelled(["loser"])) for k in k[own == 0]]), np.arange(1.0, 4.0)).of(units)
+    assert found[0] == found[2] == found[3] == 3 and 0 < found[1] < 3 and found[4] == 0
+    assert toxicity.spell(toxicity.spoiled(units, np.array([4.0, 0, 0, 0, 0])), 0) == "l#ser"
+
+
 def test_awkward_rows(spark, frame):
     docs, labels = corpus(300)
     known = spark.createDataFrame([*labels, (None, 1), (5, None), (6, 7), (1, 0), (1, 1)], "doc_id long, toxic int")
