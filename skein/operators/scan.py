@@ -195,8 +195,9 @@ def scan_lines(lines: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return found.select(*keep, "hit.*")
 
 
-#: Length of the grams that lead from a line to the patterns of a pack, and places of the filter before that.
+#: Length of the grams that lead from a line to the patterns of a pack, most patterns without one that are constants of the plan, and places of the filter before the join.
 GRAM = 3
+FREE = 64
 PLACES = 1 << 16
 
 
@@ -229,11 +230,32 @@ def pack_index(rules: DataFrame) -> DataFrame:
 def scan_pack(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """One row per line and pattern of a pack of any size that matches anywhere in it; the pack stays a table.
 
-    A line's grams meet the patterns' by an equi-join, after a filter of PLACES marks (a constant, whatever the pack) has left out nearly all that no pattern
-    has. Only pairs whose whole required text is in the line meet the regular expression, sorted by pattern, so that each is compiled once in a
-    row. Patterns without a required text of GRAM characters meet every line.
+    Patterns without a required text of GRAM characters must meet every line. Up to FREE of them are constants of the plan, tried where a line lies, without a
+    copy of it; lines are read once for these and once for the others. More than FREE stay in the table.
+    A line's grams meet the other patterns' by an equi-join, after a filter of PLACES marks (a constant, whatever the pack) has left out nearly all that no pattern
+    has. Only pairs whose whole required text is in the line meet the regular expression, sorted by pattern, so that each is compiled once in a row.
     """
     index = computed_table(pack_index(rules))
+    free = index.where("gram = ''").limit(FREE + 1).collect()
+    if not free or len(free) > FREE:
+        return _by_grams(lines, index)
+    values = [
+        f"named_struct('rule_id', {_constant(r['rule_id'])}, 'rule_name', {_constant(r['rule_name'])}, 'severity', {_constant(r['severity'])}, "
+        f"'pattern_idx', CAST({'NULL' if r['pattern_idx'] is None else r['pattern_idx']} AS BIGINT), 'pattern', {sql_text(r['pattern'])})"
+        for r in free
+    ]
+    found = searchable(lines, "line").select(*lines.columns, F.explode(matching("line", [r["pattern"] for r in free], values, ["true"] * len(free))).alias("hit"))
+    found = found.select(*lines.columns, "hit.*")
+    others = index.where("gram <> ''")
+    return found if others.isEmpty() else found.unionByName(_by_grams(lines, others))
+
+
+def _constant(value: str | None) -> str:
+    return "CAST(NULL AS STRING)" if value is None else sql_text(value)
+
+
+def _by_grams(lines: DataFrame, index: DataFrame) -> DataFrame:
+    """Lines and patterns of a ``pack_index`` that share a gram, and match."""
     marks = {r["place"] for r in index.select(_place(F.col("gram")).alias("place")).distinct().collect()}
     bits = F.expr(f"split('{','.join('1' if i in marks else '0' for i in range(PLACES))}', ',')")
     low = F.lower(F.translate("line", FOLDING, FOLDED))

@@ -225,3 +225,19 @@ def test_pack_as_rows_equals_pack_as_constants(spark, docs):
     got, want = S.scan_pack(lines, spark.createDataFrame(rows, PACK)), S.scan_lines(lines, V.LINE_RULES)
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
     assert S.scan_pack(lines, spark.createDataFrame([], PACK)).count() == 0
+
+
+def test_patterns_without_a_text_meet_lines_where_these_lie(spark, monkeypatch):
+    rows = [("a", None, "low", 0, r"it's\s\d|\bx\b"), ("a", None, "low", 0, r"it's\s\d|\bx\b"), (None, "n", None, None, r"[a-z]+@[a-z]"), ("t", "n", "info", 1, "required text")]
+    lines = spark.createDataFrame([(1, "It's 5"), (2, "A@B, x"), (3, None), (4, ""), (5, "Required text"), (2, "A@B, x"), (6, "\u017f@\u212a")], "n int, line string")
+    free = S.scan_pack(lines, spark.createDataFrame(rows[:3], PACK))
+    plan = free._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Sort" not in plan and free.columns == ["n", "line", "rule_id", "rule_name", "severity", "pattern_idx", "pattern"]
+
+    def found():
+        return sorted(map(str, S.scan_pack(lines, spark.createDataFrame(rows, PACK)).select("n", "rule_id", "rule_name", "severity", "pattern_idx").collect()))
+
+    constants = found()
+    assert len(constants) == 2 + 2 * 2 + 2 + 1 + 1
+    monkeypatch.setattr(S, "FREE", 2)
+    assert found() == constants
