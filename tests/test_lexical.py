@@ -94,3 +94,12 @@ def test_empty(spark, tmp_path):
     X.index_run(spark.createDataFrame([], DOCS), table, WEIGHTS)
     assert X.search(spark, table, asked, 5)[0].count() == 0
     assert X.search(spark, table, asked.limit(0), 5)[0].count() == 0
+
+
+def test_no_posting_becomes_a_row(spark, index):
+    """Scores and bounds come from lists of postings: no plan of a search explodes them, and a query's ties over pieces hold."""
+    table, state = index
+    found, _ = X.search(spark, table, spark.createDataFrame([(1, "w0 w1 w2")], ASKED), 5)
+    assert "Generate" not in found._jdf.queryExecution().toString()
+    blocks = X._table(spark, X.runs(spark, table), "blocks")
+    assert dict(blocks.dtypes)["ids"] == "array<bigint>" and blocks.where("size(ids) != n or size(wtf) != n or size(lengths) != n").count() == 0
