@@ -1,7 +1,8 @@
 """V5: nearest neighbours from short codes: a residual per cell, quantised part by part, exact distances last.
 
 A vector is kept as the number of its cell and one byte per part of its residual. A query reads the codes of the cells it
-probes through a table of distances per part, and only its best candidates are read as vectors and compared exactly.
+probes through a table of distances per part, and only its best candidates are read as vectors and compared exactly. The codes of
+a cell lie together, in pieces of many cells; a piece keeps a query's best candidates of all its cells.
 """
 
 from __future__ import annotations
@@ -21,12 +22,17 @@ from pyspark.sql import functions as F
 
 from skein.operators.skew import top_n
 from skein.operators.vectors import BLOCK, l2_distance, packed
+from skein.sources.snapshots import stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MOST_CELLS = 4096
-# Queries whose distance tables a task holds at once.
+# Queries whose distance tables a task holds at once, and queries that are sent to a piece at once.
 QUERIES = 64
+QUERY_BLOCK = 512
+# Vectors of a piece of the index, on average, and sampled vectors per task of the fit.
+PIECE = 65_536
+FITTED = 4096
 
 
 @dataclass
@@ -53,7 +59,7 @@ class Quantiser:
         rest, at = points - self.centers[cell], self.bounds
         out = np.full((len(points), len(self.books), max(len(b) for b in self.books)), np.inf)
         for p, (a, b, book) in enumerate(zip(at, at[1:], self.books)):
-            out[:, p, : len(book)] = ((rest[:, None, a:b] - book[None]) ** 2).sum(axis=2)
+            out[:, p, : len(book)] = (rest[:, a:b] ** 2).sum(axis=1)[:, None] + (book**2).sum(axis=1)[None, :] - 2.0 * (rest[:, a:b] @ book.T)
         return out
 
 
@@ -86,7 +92,12 @@ def fit(vectors: DataFrame, cells: int | None = None, parts: int = 16, codes: in
     if not total:
         raise ValueError("no vectors to learn from")
     cells = cells or max(1, min(MOST_CELLS, round(math.sqrt(total))))
-    sample = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_rows).persist()
+    sample = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_rows)
+    tasks = -(-min(total, sample_rows) // FITTED)
+    if tasks > 1:
+        # The first rows arrive in one partition, and rounds over them would be one task's work.
+        sample = sample.repartition(tasks, "id").sortWithinPartitions(F.xxhash64("id", F.lit(seed)), "id")
+    sample = sample.persist()
     try:
         centers = np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(sample.select(array_to_vector("embedding").alias("features"))).clusterCenters())
         at = np.linspace(0, centers.shape[1], min(parts, centers.shape[1]) + 1).round().astype(int).tolist()
@@ -137,14 +148,42 @@ def encoded(vectors: DataFrame, model: Quantiser, block: int = BLOCK) -> DataFra
     return rows.mapInPandas(run, "cell long, ids binary, codes binary")
 
 
-def _candidates(model: Quantiser, cell: int, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, codes: np.ndarray, most: int) -> Iterator[pd.DataFrame]:
-    parts = np.arange(codes.shape[1])
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Index rows sorted by cell as pieces of ``PIECE`` vectors and more: cells, ids, codes of each."""
+    def out(held: list) -> pd.DataFrame:
+        cells = np.concatenate([np.full(len(r.ids) // 8, r.cell, "<i4") for r in held])
+        return pd.DataFrame({"cells": [cells.tobytes()], "ids": [b"".join(r.ids for r in held)], "codes": [b"".join(r.codes for r in held)]})
+
+    held, n = [], 0
+    for batch in batches:
+        for r in batch.itertuples(index=False):
+            held.append(r)
+            n += len(r.ids) // 8
+            if n >= PIECE:
+                yield out(held)
+                held, n = [], 0
+    if held:
+        yield out(held)
+
+
+def _candidates(model: Quantiser, probes: int, query_ids: np.ndarray, queries: np.ndarray, cells: np.ndarray, ids: np.ndarray, codes: np.ndarray, most: int) -> Iterator[pd.DataFrame]:
+    """Best ``most`` vectors of a piece for each query, in the cells that it probes."""
+    starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+    ends = np.r_[starts[1:], len(cells)]
+    take = min(most, len(ids))
     for start in range(0, len(queries), QUERIES):
-        tables = model.tables(queries[start : start + QUERIES], cell)
-        rough = np.stack([t[parts[None, :], codes].sum(axis=1) for t in tables])
-        take = min(most, rough.shape[1])
+        points = queries[start : start + QUERIES]
+        near = np.argsort(model.far(points), axis=1, kind="stable")[:, :probes]
+        probed = np.zeros((len(points), len(model.centers)), bool)
+        np.put_along_axis(probed, near, True, axis=1)
+        rough = np.full((len(points), len(ids)), np.inf)
+        for low, high in zip(starts, ends):
+            own = np.flatnonzero(probed[:, cells[low]])
+            if len(own):
+                tables = model.tables(points[own], cells[low])
+                rough[own, low:high] = sum(tables[:, p, codes[low:high, p]] for p in range(codes.shape[1]))
         limit = np.partition(rough, take - 1, axis=1)[:, take - 1]
-        q, p = np.nonzero(rough <= limit[:, None])
+        q, p = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
         score = rough[q, p]
         order = np.lexsort((ids[p], score, q))
         q, p, score = q[order], p[order], score[order]
@@ -152,25 +191,25 @@ def _candidates(model: Quantiser, cell: int, query_ids: np.ndarray, queries: np.
         yield pd.DataFrame({"query_id": query_ids[start + q[keep]], "id": ids[p[keep]], "rough": score[keep]})
 
 
-def candidates(index: DataFrame, model: Quantiser, queries: DataFrame, most: int, probes: int | None = None, block: int = BLOCK) -> DataFrame:
-    """Best ``most`` ids per query (query_id, embedding) by the distances of the codes in its nearest cells; half of the cells unless ``probes`` is given."""
-    probes = probes or max(1, (len(model.centers) + 1) // 2)
-
-    @F.pandas_udf("array<long>")
-    def nearest_cells(found: pd.Series) -> pd.Series:
-        return pd.Series(list(np.argsort(model.far(np.stack(found.to_numpy()).astype(np.float64)), axis=1, kind="stable")[:, :probes]))
+def candidates(index: DataFrame, model: Quantiser, queries: DataFrame, most: int, probes: int | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """Best ``most`` ids per query (query_id, embedding) by the distances of the codes in its nearest cells; half of the cells unless ``probes`` is given.
 
-    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding", F.explode(nearest_cells("embedding")).alias("cell"))
+    The codes are shuffled once by cell and packed in pieces; blocks of queries meet pieces, and a pair keeps ``most`` rows per query, however many cells it probes there.
+    """
+    probes = probes or max(1, (len(model.centers) + 1) // 2)
+    size = index.agg(F.sum(F.length("ids") / 8)).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, math.ceil(size / PIECE))
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
                 query_ids, ids = np.frombuffer(r.q_ids, "<i8"), np.frombuffer(r.ids, "<i8")
-                yield from _candidates(model, r.key, query_ids, np.frombuffer(r.q_cells, "<f8").reshape(len(query_ids), -1), ids,
+                yield from _candidates(model, probes, query_ids, np.frombuffer(r.q_cells, "<f8").reshape(len(query_ids), -1), np.frombuffer(r.cells, "<i4"), ids,
                                        np.frombuffer(r.codes, np.uint8).reshape(len(ids), -1), most)
 
-    met = index.withColumnRenamed("cell", "key").join(packed(asked, "cell", "query_id", "q_", block), "key")
-    found = met.mapInPandas(look, "query_id long, id long, rough double")
+    pieces = index.repartition(tasks, "cell").sortWithinPartitions("cell").mapInPandas(_pieces, "cells binary, ids binary, codes binary")
+    asked = stored(packed(queries.withColumn("__one", F.lit(0)), "__one", "query_id", "q_", block).drop("key"), "query-blocks")
+    found = pieces.crossJoin(asked).mapInPandas(look, "query_id long, id long, rough double")
     return top_n(found, ["query_id"], ["rough", "id"], most, "place")
 
 

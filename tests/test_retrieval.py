@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,3 +253,21 @@ def test_passages_inside_words_and_short_ones(spark, tmp_path):
     assert {(r.query_id, r.id) for r in P.qrels(t).collect()} == {(10, 1), (10, 2), (11, 4)}
     plan = P.methods(t)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapIn" not in plan and "Window" not in plan
+
+
+def test_a_piece_keeps_a_query_s_candidates_of_all_its_cells(spark):
+    """However many cells a query probes and however the index was written, what is shuffled is bounded by pieces."""
+    from skein.operators import quantised as Q
+
+    rnd = np.random.default_rng(5)
+    points = rnd.normal(size=(600, 6))
+    model = Q.fit(spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, embedding array<double>"), cells=20, parts=3, codes=16)
+    cells = np.sort(model.far(points).argmin(axis=1)).astype("<i4")
+    order = np.argsort(model.far(points).argmin(axis=1), kind="stable")
+    codes = model.codes(points[order], cells)
+    got = pd.concat(Q._candidates(model, 20, np.arange(70), points[:70], cells, order, codes, 9))
+    assert got.groupby("query_id").size().eq(9).all()
+    decoded = model.centers[cells] + np.concatenate([book[codes[:, p]] for p, book in enumerate(model.books)], axis=1)
+    for q in (0, 69):
+        far = ((decoded - points[q]) ** 2).sum(axis=1)
+        assert set(got[got["query_id"] == q]["id"]) == set(order[np.lexsort((order, far.round(9)))[:9]])
