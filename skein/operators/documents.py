@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.functions import text_values as V
+from skein.sources.snapshots import stored
+
+#: Rows of distinct bindings per task, on average.
+BINDINGS = 500_000
 
 
 def filled(c: Column) -> Column:
@@ -122,27 +126,34 @@ def unknown_references(references: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def binding_problems(bindings: DataFrame) -> DataFrame:
-    """Contract problems of action bindings (doc_id, action_id, role, compensation_id)."""
+    """Contract problems of action bindings (doc_id, action_id, role, compensation_id).
+
+    Equal bindings are counted first and stored, so the input is read once; what follows moves a row per action and per named compensation,
+    in as many tasks as there are ``BINDINGS`` rows, whatever they are compressed to.
+    """
     key = ["doc_id", "action_id"]
-    twice = bindings.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(
-        *key, F.lit("duplicate_binding").alias("problem"))
-    role = bindings.where(~F.coalesce(F.col("role").isin("primary", "compensation"), F.lit(False))).select(
-        *key, F.lit("invalid_role").alias("problem"))
-    named = bindings.where(F.coalesce("compensation_id", F.lit("")) != "")
-    self_ref = named.where(F.col("compensation_id") == F.col("action_id")).select(*key, F.lit("compensates_itself").alias("problem"))
-    targets = bindings.groupBy("doc_id", F.col("action_id").alias("compensation_id")).agg(
-        F.bool_or(F.col("role") == "compensation").alias("is_compensation"))
-    checked = named.select(*key, "compensation_id").join(targets, ["doc_id", "compensation_id"], "left")
-    state = F.when(F.col("is_compensation").isNull(), "target_has_no_binding").when(
-        ~F.col("is_compensation"), "target_role_is_not_compensation")
-    target = checked.withColumn("problem", state).where(F.col("problem").isNotNull()).select(*key, "problem")
-    used = named.select("doc_id", F.col("compensation_id").alias("action_id")).distinct()
-    orphan = bindings.where(F.col("role") == "compensation").join(used, key, "left_anti").select(
-        *key, F.lit("orphan_compensation").alias("problem"))
-    out = twice
-    for part in (role, self_ref, target, orphan):
-        out = out.unionByName(part)
-    return out.distinct()
+    compensates = F.col("role") == "compensation"
+    named = F.when(F.coalesce("compensation_id", F.lit("")) != "", F.col("compensation_id"))
+    one = stored(bindings.groupBy(*key, named.alias("target")).agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(compensates).alias("is_compensation"),
+        F.bool_or(~F.coalesce(F.col("role").isin("primary", "compensation"), F.lit(False))).alias("other_role")), "bindings")
+    tasks = max(1, -(-one.count() // BINDINGS))
+    by_action = one.repartition(tasks, *key)
+    actions = by_action.groupBy(*key).agg(
+        F.sum("n").alias("n"), F.bool_or("is_compensation").alias("is_compensation"), F.bool_or("other_role").alias("other_role"),
+        F.bool_or(F.col("target") == F.col("action_id")).alias("to_itself"))
+    problems = F.array(
+        F.when(F.col("n") > 1, F.lit("duplicate_binding")), F.when(F.col("other_role"), F.lit("invalid_role")), F.when(F.col("to_itself"), F.lit("compensates_itself")))
+    own = actions.select(*key, F.explode(F.array_compact(problems)).alias("problem"))
+
+    named = one.where(F.col("target").isNotNull()).select(*key, "target").repartition(tasks, "doc_id", "target")
+    targets = by_action.groupBy(*key).agg(F.bool_or("is_compensation").alias("is_compensation")).withColumnRenamed("action_id", "target")
+    state = F.when(F.col("is_compensation").isNull(), "target_has_no_binding").when(~F.col("is_compensation"), "target_role_is_not_compensation")
+    target = named.join(targets, ["doc_id", "target"], "left").select(*key, state.alias("problem")).where(F.col("problem").isNotNull())
+    target = target.repartition(tasks, *key).distinct()
+    used = named.select("doc_id", F.col("target").alias("action_id")).distinct()
+    orphan = by_action.where("is_compensation").select(*key).distinct().join(used, key, "left_anti").select(*key, F.lit("orphan_compensation").alias("problem"))
+    return own.unionByName(target).unionByName(orphan)
 
 
 def manifest_overlap(manifest: DataFrame) -> DataFrame:
