@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.codes import flattened, lowered, mapped, pieces
-from skein.llm.common import crc_mod
+from skein.llm.common import crc_mod, release, releasing
 
 ORDERS = (1, 2, 3)
 FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
@@ -119,7 +119,7 @@ def fit(rows: DataFrame, text: str, label: str, doc_id: str, per_language: int =
         return group.iloc[:1].assign(counts=[total.tobytes()])
 
     shape = "lang int, part int, counts binary"
-    found = sample.mapInPandas(count, shape).groupBy("lang", "part").applyInPandas(add, shape).collect()
+    found = sample.mapInPandas(releasing(count), shape).groupBy("lang", "part").applyInPandas(add, shape).collect()
     counts = np.zeros((1 << bits, len(languages)))
     for row in found:
         counts[row["part"] * PART : (row["part"] + 1) * PART, row["lang"]] = np.frombuffer(row["counts"], "i8")
@@ -133,9 +133,11 @@ def predict(docs: DataFrame, model: Model, text: Column) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
-    def guess(texts: pd.Series) -> pd.DataFrame:
-        names, sure = score(texts.tolist(), sent.value)
-        return pd.DataFrame({"lang": names, "score": sure})
+    def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            names, sure = score(texts.tolist(), sent.value)
+            yield pd.DataFrame({"lang": names, "score": sure})
+        release()
 
     return docs.withColumn("__guess", guess(F.coalesce(text, F.lit(""))))
 

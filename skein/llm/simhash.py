@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import stored
+from skein.llm.common import releasing, stored
 from skein.llm.components import Sets, components
 
 BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -172,7 +172,7 @@ def links(values: DataFrame, radius: int = 3, tree_size: int = 1024) -> DataFram
             yield pd.DataFrame(done(key, own, value), columns=["a", "b"], dtype="int64")
 
     order = ["shard", "tree", "query"]
-    return rows.repartition(*order).sortWithinPartitions(*order, "value").mapInPandas(search, "a long, b long")
+    return rows.repartition(*order).sortWithinPartitions(*order, "value").mapInPandas(releasing(search), "a long, b long")
 
 
 def groups(marked: DataFrame, doc_id: str = "doc_id", mark: str = "mark", radius: int = 3, tree_size: int = 1024) -> DataFrame:
