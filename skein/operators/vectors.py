@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 
@@ -21,6 +22,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Vectors or queries per packed block.
 BLOCK = 2048
+# Vectors and queries that a task meets at most, on average.
+PIECE, STRIP = 65_536, 131_072
+# Pairs whose differences are taken at once.
+PAIRS = 100_000
 
 
 def l2_distance(a: Column, b: Column) -> Column:
@@ -78,19 +83,54 @@ def packed(rows: DataFrame, key: str, ident: str, prefix: str, block: int = BLOC
     return plain.mapInPandas(pack, f"key long, {prefix}ids binary, {prefix}cells binary, {prefix}dim int")
 
 
+class Nearest:
+    """The k nearest points of every query of a block, by distance then id, while blocks of points come."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int) -> None:
+        self.ids, self.queries, self.k = ids, queries, k
+        self.squares = (queries**2).sum(axis=1)
+        # Squared distance of the k-th point so far.
+        self.limit = np.full(len(ids), np.inf)
+        self.q, self.p, self.distance = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def take(self, ids: np.ndarray, points: np.ndarray, open_: np.ndarray | None = None) -> None:
+        """A matrix product finds who can be among them, direct differences give their distances. ``open_`` says which points a query may see."""
+        squares = (points**2).sum(axis=1)
+        rough = self.queries @ (-2.0 * points.T)
+        rough += squares
+        rough += self.squares[:, None]
+        if open_ is not None:
+            rough[~open_] = np.inf
+        limit = self.limit
+        if np.isinf(limit).any():
+            some = min(self.k, rough.shape[1])
+            limit = np.minimum(limit, np.partition(rough, some - 1, axis=1)[:, some - 1])
+        slack = 1e-6 + 1e-12 * (self.squares + squares.max(initial=0))
+        # Not even the largest number: what is infinite is not seen.
+        near = np.flatnonzero(rough <= np.minimum(limit + slack, np.finfo(np.float64).max)[:, None])
+        # Many copies of a point are as near as the k-th, so pairs are compared a portion at a time.
+        for low in range(0, len(near), PAIRS):
+            q, p = np.divmod(near[low : low + PAIRS], rough.shape[1])
+            self._add(q, ids[p], np.sqrt(((points[p] - self.queries[q]) ** 2).sum(axis=1)))
+
+    def _add(self, q: np.ndarray, p: np.ndarray, distance: np.ndarray) -> None:
+        q, p, distance = np.r_[self.q, q], np.r_[self.p, p], np.r_[self.distance, distance]
+        order = np.lexsort((p, distance, q))
+        q, p, distance = q[order], p[order], distance[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = place < self.k
+        self.q, self.p, self.distance = q[keep], p[keep], distance[keep]
+        last = place[keep] == self.k - 1
+        self.limit[self.q[last]] = self.distance[last] ** 2
+
+    def rows(self, distance: str = "distance") -> pd.DataFrame:
+        return pd.DataFrame({"query_id": self.ids[self.q], "id": self.p, distance: self.distance})
+
+
 def _best_of_block(ids: np.ndarray, queries: np.ndarray, point_ids: np.ndarray, points: np.ndarray, k: int) -> pd.DataFrame:
-    """k best points per query: a matrix product finds who can be among them, direct differences
-    give their distances."""
-    rough = (queries**2).sum(axis=1)[:, None] + (points**2).sum(axis=1)[None, :] - 2.0 * (queries @ points.T)
-    take = min(k, rough.shape[1])
-    limit = np.partition(rough, take - 1, axis=1)[:, take - 1] + 1e-6
-    q, p = np.nonzero(rough <= limit[:, None])
-    distance = np.sqrt(((points[p] - queries[q]) ** 2).sum(axis=1))
-    order = np.lexsort((point_ids[p], distance, q))
-    q, p, distance = q[order], p[order], distance[order]
-    place = np.arange(len(q)) - np.searchsorted(q, q)
-    keep = place < take
-    return pd.DataFrame({"query_id": ids[q[keep]], "id": point_ids[p[keep]], "distance": distance[keep]})
+    best = Nearest(ids, queries, k)
+    best.take(point_ids, points)
+    return best.rows()
 
 
 def _met(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -105,20 +145,81 @@ def _met(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top_n(found, ["query_id"], ["distance", "id"], k)
 
 
+def unpacked(ids: bytes, cells: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a packed block."""
+    found = np.frombuffer(ids, "<i8")
+    return found, np.frombuffer(cells, "<f8").reshape(len(found), -1)
+
+
+def grid(points: DataFrame, queries: DataFrame, strips: int, slots: int, others: DataFrame | None = None) -> DataFrame:
+    """Rows of ``points`` (slot, ...) and of ``queries`` (strip, q_ids, q_cells) in the tasks where every strip meets every slot, and ``others`` (task, kind, ...).
+
+    A partition is a task, with its queries first (``kind`` 0), then its points (1), then the others.
+    """
+    sent = points.select("*", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))).alias("strip"))
+    asked = queries.select("*", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    task = (F.col("strip") * slots + F.col("slot")).cast("int").alias("task")
+    rest = [c for c in points.columns if c != "slot"]
+    rows = asked.select(task, F.lit(0).alias("kind"), "q_ids", "q_cells").unionByName(sent.select(task, F.lit(1).alias("kind"), *rest), allowMissingColumns=True)
+    if others is not None:
+        rows = rows.unionByName(others, allowMissingColumns=True)
+    return rows.repartitionById(strips * slots, F.col("task")).sortWithinPartitions("task", "kind")
+
+
+def by_task(batches: Iterator[pd.DataFrame], begin, end) -> Iterator[pd.DataFrame]:
+    """Rows of a grid: ``begin`` makes the state of a task, called with each of its rows; ``end`` gives what the state found."""
+    task, state = None, None
+    for batch in batches:
+        for r in batch.itertuples(index=False):
+            if r.task != task:
+                if state is not None:
+                    yield from end(state)
+                task, state = r.task, begin()
+            state(r)
+    if state is not None:
+        yield from end(state)
+
+
+class Search:
+    """A task of a grid: its blocks of queries are held, blocks of points pass."""
+
+    def __init__(self, k: int, pass_by) -> None:
+        self.k, self.pass_by, self.held = k, pass_by, []
+
+    def __call__(self, row) -> None:
+        if row.kind == 0:
+            self.held.append(Nearest(*unpacked(row.q_ids, row.q_cells), self.k))
+        else:
+            self.pass_by(self.held, row)
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, slots: int | None = None) -> DataFrame:
     """V1: exact nearest k vectors for each query (query_id, embedding), by distance then id.
 
-    Vectors are packed in blocks where they are read, and blocks lie in ``slots``, as many as there are blocks' worth of vectors
-    unless given; every block of queries is sent to every slot, and each pair of blocks keeps k rows per query. Nothing passes the
-    driver. The work is queries times vectors, so the caller bounds the queries; for very many there is ``quantised``.
+    Vectors and queries are packed in blocks where they are read, and dealt to ``slots`` and strips, of about ``PIECE`` vectors and ``STRIP`` queries at
+    most; every strip meets every slot in a task of its own, which holds the strip, lets the blocks of the slot pass and keeps k rows per query.
+    Nothing passes the driver. The work is queries times vectors; what is sent is vectors times strips and queries times slots.
     """
+    asked, n = queries.count(), vectors.count()
+    # As many strips as slots if both sides are of one size, so that least is sent.
+    tasks = 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    strips = max(1, math.ceil(asked / STRIP), min(math.ceil(asked / block), round(math.sqrt(tasks * asked / max(n, 1)))))
     if slots is None:
-        slots = max(1, -(-vectors.count() // block))
+        slots = max(1, math.ceil(n / PIECE), min(math.ceil(n / block), math.ceil(tasks / strips)))
     points = packed(vectors.withColumn("__one", F.lit(0)), "__one", "id", "", block)
-    points = points.withColumn("key", F.pmod(F.xxhash64("ids"), F.lit(slots).cast("long")))
-    asked = packed(queries.withColumn("__one", F.lit(0)), "__one", "query_id", "q_", block)
-    sent = asked.withColumn("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
-    return _met(points, sent, k)
+    points = points.select(F.pmod(F.xxhash64("ids"), F.lit(slots).cast("long")).alias("slot"), "ids", "cells")
+    blocks = packed(queries.withColumn("__one", F.lit(0)), "__one", "query_id", "q_", block)
+    blocks = blocks.select(F.pmod(F.xxhash64("q_ids"), F.lit(strips).cast("long")).alias("strip"), "q_ids", "q_cells")
+
+    def pass_by(held: list[Nearest], row) -> None:
+        for best in held:
+            best.take(*unpacked(row.ids, row.cells))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return by_task(batches, lambda: Search(k, pass_by), lambda done: (best.rows() for best in done.held))
+
+    found = grid(points, blocks, strips, slots).mapInPandas(search, "query_id long, id long, distance double")
+    return top_n(found, ["query_id"], ["distance", "id"], k)
 
 
 def search_assets(vectors: DataFrame, identity: DataFrame, queries: DataFrame, k: int, asset_types: list[str]) -> DataFrame:
