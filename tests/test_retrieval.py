@@ -284,7 +284,7 @@ def test_every_vector_is_asked(spark, tmp_path):
     spark.createDataFrame([(i + 1, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     spark.createDataFrame([(i + 1, "en", "web") for i in range(90)], "doc_id long, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     want = {q + 1: [i + 1 for i, _ in brute(points, q, 6)] for q in range(90)}
-    for name, k in (("v1_exact_knn", 5), ("t45_similarity", 3), ("v2_search_assets", 5),):
+    for name, k in (("v1_exact_knn", 5), ("t45_similarity", 3), ("v2_search_assets", 5), ("v3_similar_for_all", 5)):
         got = {}
         for r in QUERIES[name](spark, str(tmp_path)).collect():
             got.setdefault(r.query_id, set()).add(r.id)
