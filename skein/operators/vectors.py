@@ -104,8 +104,9 @@ class Nearest:
         limit = self.limit
         if np.isinf(limit).any():
             some = min(self.k, rough.shape[1])
-            limit = np.minimum(limit, np.partition(rough, some - 1, axis=1)[:, some - 1])
-        slack = 1e-6 + 1e-12 * (self.squares + squares.max(initial=0))
+            limit = np.fmin(limit, np.partition(rough, some - 1, axis=1)[:, some - 1])
+        # Points with an unknown number are near to nothing.
+        slack = 1e-6 + 1e-12 * (self.squares + squares[np.isfinite(squares)].max(initial=0))
         # Not even the largest number: what is infinite is not seen.
         near = np.flatnonzero(rough <= np.minimum(limit + slack, np.finfo(np.float64).max)[:, None])
         # Many copies of a point are as near as the k-th, so pairs are compared a portion at a time.
